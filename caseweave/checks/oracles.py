@@ -221,3 +221,149 @@ SELECT CASE grouping(r.size, r.unit_id) WHEN 3 THEN 'overall' WHEN 1 THEN 'size'
          AS scope, r.size, r.unit_id, m.category, count(*) AS n
 FROM measures m JOIN records r USING (case_id) WHERE r.has_email
 GROUP BY GROUPING SETS ((m.category), (r.size, m.category), (r.unit_id, m.category))"""
+
+# --- case graph ---------------------------------------------------------------------
+
+GRAPH = """
+item AS (SELECT l_orderkey AS o, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk,
+                'e' || concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS e,
+                l_returnflag AS flag, l_linestatus AS status FROM lineitem),
+nodes AS (
+  SELECT 'p' || o_orderkey AS id, 'ProcessInstance' AS label, o_orderkey AS pos,
+         'application_' || o_custkey || '__' || o_orderkey AS stable,
+         'Purchase order' AS shown FROM orders
+  UNION ALL SELECT 'ac' || o_orderkey, 'ActivityCluster', o_orderkey, '#ac' || o_orderkey,
+         'no details' FROM orders
+  UNION ALL SELECT 'd' || o_orderkey, 'DecisionNode', o_orderkey, 'dec_' || o_orderkey,
+         'final_choice=' || o_orderstatus || ' | decision_type=' || o_orderpriority FROM orders
+  UNION ALL SELECT 'r' || o_orderkey, 'RationaleNode', o_orderkey, 'rat_' || o_orderkey,
+         '"' || o_orderpriority || '"' FROM orders
+  UNION ALL SELECT 'x' || o_orderkey, 'Event', o_orderkey, '#x' || o_orderkey, o_orderstatus
+         FROM orders WHERE o_orderstatus = 'F'
+  UNION ALL SELECT e, 'EvidenceNode', o, 'ev_' || concat_ws('_', o, pk, sk) || '__s' || ln,
+         '"' || min(flag) || ' ' || min(status) || '", this email, span=' || ln
+         FROM item GROUP BY e, o, ln, pk, sk
+  UNION ALL SELECT 's' || s_suppkey, 'Actor', s_suppkey, '#s' || s_suppkey,
+         s_name || ' | actor_type=Supplier' FROM supplier
+  UNION ALL SELECT 'v' || p_partkey, 'ValueNode', p_partkey, '#v' || p_partkey, p_name FROM part),
+edges AS (
+  SELECT 'ac' || o_orderkey AS src, 'part_of' AS rel, 'p' || o_orderkey AS dst FROM orders
+  UNION ALL SELECT 'ac' || o_orderkey, 'has_decision', 'd' || o_orderkey FROM orders
+  UNION ALL SELECT 'd' || o_orderkey, 'justified_by', 'r' || o_orderkey FROM orders
+  UNION ALL SELECT 'x' || o_orderkey, 'names', 'ac' || o_orderkey FROM orders WHERE o_orderstatus = 'F'
+  UNION ALL SELECT 'ac' || o, 'produced', e FROM item
+  UNION ALL SELECT 's' || sk, ['prepared', 'reviewed', 'ran', 'completed', 'approved',
+         'signed_off'][least(ln, 6)], 'ac' || o FROM item
+  UNION ALL SELECT 'd' || o, 'supported_by', e FROM item WHERE ln = 1
+  UNION ALL SELECT 'd' || o, 'about', 'v' || pk FROM item WHERE ln = 1 AND flag = 'R'),
+flagged AS (SELECT *, label IN ('ProcessInstance', 'ActivityCluster', 'Actor') AS boundary,
+                   label = 'Actor' AS actor, label = 'Event' AS leaky,
+                   CASE WHEN label = 'ProcessInstance' THEN stable END AS app FROM nodes),
+adj AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)),
+masked AS (SELECT DISTINCT src, CASE WHEN rel IN ('prepared', 'reviewed', 'ran', 'completed',
+                  'approved', 'signed_off') THEN 'linked_to' ELSE rel END AS rel, dst FROM edges)"""
+
+
+def around(hops: int) -> str:
+    """Nodes within some hops of each case: walks whose inner nodes may be left."""
+    return f""",
+seeds AS (SELECT app AS asked, id AS node FROM flagged WHERE app IS NOT NULL
+          UNION SELECT f.app, a.dst FROM flagged f JOIN adj a ON a.src = f.id
+            JOIN flagged c ON c.id = a.dst AND c.label = 'ActivityCluster' WHERE f.app IS NOT NULL),
+reach AS (
+  SELECT asked, node, 0 AS depth FROM seeds
+  UNION
+  SELECT r.asked, a.dst, r.depth + 1 FROM reach r
+  JOIN flagged f ON f.id = r.node JOIN adj a ON a.src = r.node JOIN flagged g ON g.id = a.dst
+  WHERE r.depth < {hops} AND (r.depth = 0 OR NOT f.boundary) AND NOT g.leaky),
+members AS (SELECT DISTINCT asked, node FROM reach)"""
+
+
+def lines(hops: int) -> str:
+    return around(hops) + """,
+tags AS (
+  SELECT m.asked, m.node, f.label, f.shown,
+         CASE f.label WHEN 'EvidenceNode' THEN 0 WHEN 'ActivityCluster' THEN 1
+           WHEN 'ProcessInstance' THEN 2 WHEN 'DecisionNode' THEN 4 WHEN 'RationaleNode' THEN 5
+           WHEN 'Actor' THEN 7 ELSE 8 END AS rank,
+         CASE f.label WHEN 'EvidenceNode' THEN 'E' WHEN 'ActivityCluster' THEN 'AC'
+           WHEN 'ProcessInstance' THEN 'P' WHEN 'DecisionNode' THEN 'D'
+           WHEN 'RationaleNode' THEN 'R' WHEN 'Actor' THEN 'A' ELSE 'N' END AS prefix,
+         row_number() OVER (PARTITION BY m.asked, f.label ORDER BY
+           CASE WHEN f.label = 'EvidenceNode'
+                THEN regexp_extract(f.stable, '__s([0-9]+)$', 1)::INT ELSE 0 END, m.node) AS n
+  FROM members m JOIN flagged f ON f.id = m.node),
+rels AS (
+  SELECT a.asked, a.prefix || a.n AS s, e.rel, b.prefix || b.n AS d
+  FROM tags a JOIN masked e ON e.src = a.node JOIN tags b ON b.asked = a.asked AND b.node = e.dst),
+lines AS (
+  SELECT asked, 0 AS section, rank, n, prefix || n || ' ' || label || '(' || shown || ')' AS line
+  FROM tags
+  UNION ALL
+  SELECT asked, 1, 0, row_number() OVER (PARTITION BY asked ORDER BY s, rel, d),
+         s || ' is ' || rel || ' ' || d FROM rels),
+texts AS (
+  SELECT asked, 'Node:' || chr(10)
+         || string_agg(line, chr(10) ORDER BY rank, n) FILTER (section = 0)
+         || chr(10) || chr(10) || 'Relationships:'
+         || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY n) FILTER (section = 1), '') AS text
+  FROM lines GROUP BY asked)"""
+
+
+ORACLES["graph_nodes"] = f"""WITH {GRAPH}
+SELECT id AS node_id, label, stable AS stable_id, app AS app_id, boundary AS is_boundary,
+       leaky AS is_leaky,
+       coalesce(try_cast(regexp_extract(stable, '__s([0-9]+)$', 1) AS BIGINT), 0) AS span
+FROM flagged"""
+ORACLES["graph_adjacency"] = f"""WITH {GRAPH}
+SELECT a.src, a.dst, f.app AS src_app, g.actor AS dst_actor, g.boundary AS dst_boundary,
+       g.leaky AS dst_leaky
+FROM adj a JOIN flagged f ON f.id = a.src JOIN flagged g ON g.id = a.dst"""
+ORACLES["alias_resolution"] = f"""WITH {GRAPH}
+SELECT app AS asked, id AS node_id FROM flagged WHERE app IS NOT NULL
+UNION ALL SELECT 'Purchase order', arg_min(id, pos) FROM flagged WHERE app IS NOT NULL"""
+ORACLES["alias_fanout"] = f"""WITH {GRAPH}
+SELECT 'Purchase order' AS alias, count(*) AS n_cases, min(app) AS min_app
+FROM flagged WHERE app IS NOT NULL"""
+for hops in (1, 2):
+    ORACLES[f"case_neighbourhood_{hops}"] = f"""WITH RECURSIVE {GRAPH}{around(hops)}
+SELECT asked, node AS node_id FROM members"""
+ORACLES["node_owner"] = f"""WITH RECURSIVE {GRAPH},
+reach AS (
+  SELECT id AS start, id AS node, 0 AS depth FROM flagged
+  WHERE label IN ('DecisionNode', 'RationaleNode')
+  UNION
+  SELECT r.start, a.dst, r.depth + 1 FROM reach r JOIN flagged f ON f.id = r.node
+  JOIN adj a ON a.src = r.node JOIN flagged g ON g.id = a.dst
+  WHERE r.depth < 4 AND f.app IS NULL AND NOT f.actor AND NOT g.actor)
+SELECT start AS node_id, min(f.app) AS app FROM reach r JOIN flagged f ON f.id = r.node
+WHERE f.app IS NOT NULL GROUP BY start"""
+ORACLES["case_seed_ids"] = f"""WITH RECURSIVE {GRAPH}{around(2)}
+SELECT asked, CASE label WHEN 'DecisionNode' THEN 'decisions' WHEN 'RationaleNode' THEN 'rationales'
+       ELSE 'evidence' END AS kind, stable AS stable_id
+FROM members m JOIN flagged f ON f.id = m.node
+WHERE label IN ('DecisionNode', 'RationaleNode', 'EvidenceNode')"""
+ORACLES["masked_edges"] = f"WITH {GRAPH} SELECT src, rel, dst FROM masked"
+ORACLES["bare_case_drop"] = f"""WITH RECURSIVE {GRAPH},
+reach AS (
+  SELECT id AS asked, id AS node, 0 AS depth FROM flagged WHERE label = 'ValueNode'
+  UNION
+  SELECT r.asked, a.dst, r.depth + 1 FROM reach r
+  JOIN flagged f ON f.id = r.node JOIN adj a ON a.src = r.node JOIN flagged g ON g.id = a.dst
+  WHERE r.depth < 3 AND (r.depth = 0 OR NOT f.boundary) AND NOT g.leaky),
+members AS (SELECT DISTINCT asked, node FROM reach)
+SELECT m.asked, m.node AS node_id FROM members m JOIN flagged f ON f.id = m.node
+WHERE f.app IS NULL OR EXISTS (
+  SELECT 1 FROM adj a JOIN members o ON o.node = a.dst JOIN flagged g ON g.id = a.dst
+  WHERE a.src = m.node AND o.asked = m.asked
+    AND g.label IN ('EvidenceNode', 'DecisionNode', 'RationaleNode', 'ActivityCluster'))"""
+ORACLES["induced_edges"] = f"""WITH RECURSIVE {GRAPH}{around(2)}
+SELECT a.asked, e.src, e.rel, e.dst FROM members a JOIN masked e ON e.src = a.node
+JOIN members b ON b.asked = a.asked AND b.node = e.dst"""
+ORACLES["render_subgraph"] = f"WITH RECURSIVE {GRAPH}{lines(2)} SELECT * FROM lines"
+ORACLES["subgraph_text"] = f"WITH RECURSIVE {GRAPH}{lines(1)} SELECT * FROM texts"
+ORACLES["evidence_spans"] = f"""WITH {GRAPH}
+SELECT stable AS stable_id, regexp_extract(stable, '__s([0-9]+)$', 1)::BIGINT AS span,
+       string_split(stable, '__')[1] AS base, shown AS details,
+       regexp_extract(shown, '^("[^"]*")', 1) AS props
+FROM flagged WHERE label = 'EvidenceNode'"""

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from caseweave.checks import tables as T
 from caseweave.fixed import MEAN_METRICS
+from caseweave.functions import text
 from caseweave.functions.sequences import with_pair_metrics
+from caseweave.operators import graph, render, walk
 from caseweave.plans import scoring
+from caseweave.runtime import materialise
 
 QUERIES = {}
 
@@ -157,3 +160,127 @@ def summary_grouping_sets(spark, sf_dir):
 @query
 def category_mix(spark, sf_dir):
     return scoring.category_mix(_scored(spark, sf_dir))
+
+
+# --- case graph ---------------------------------------------------------------------
+
+class Graph:
+    """The test graph with its adjacency written once per query."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.nodes = graph.node_table(T.graph_nodes(spark, sf_dir))
+        self.edges = T.graph_edges(spark, sf_dir)
+
+    def walk_tables(self) -> "Graph":
+        self.nodes = materialise(self.nodes, "nodes")
+        self.edges = materialise(self.edges, "edges")
+        self.adjacency = materialise(graph.adjacency(self.nodes, self.edges), "adjacency")
+        return self
+
+    def all_cases(self) -> DataFrame:
+        asked = self.nodes.where("app_id is not null").select(F.col("app_id").alias("asked"))
+        return asked.distinct()
+
+    def around(self, hops: int) -> DataFrame:
+        seeds = walk.case_seeds(graph.resolve(self.all_cases(), self.nodes), self.adjacency)
+        return walk.neighbourhood(seeds, self.nodes, self.adjacency, hops)
+
+
+@query
+def graph_nodes(spark, sf_dir):
+    return Graph(spark, sf_dir).nodes.select(
+        "node_id", "label", "stable_id", "span", "app_id", "is_boundary", "is_leaky"
+    )
+
+
+@query
+def graph_adjacency(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    return graph.adjacency(g.nodes, g.edges).select(
+        "src", "dst", "src_app", "dst_actor", "dst_boundary", "dst_leaky"
+    )
+
+
+@query
+def alias_resolution(spark, sf_dir):
+    return graph.case_ids(Graph(spark, sf_dir).nodes)
+
+
+@query
+def alias_fanout(spark, sf_dir):
+    return graph.alias_fanout(Graph(spark, sf_dir).nodes)
+
+
+@query
+def case_neighbourhood_1(spark, sf_dir):
+    return Graph(spark, sf_dir).walk_tables().around(1)
+
+
+@query
+def case_neighbourhood_2(spark, sf_dir):
+    return Graph(spark, sf_dir).walk_tables().around(2)
+
+
+@query
+def node_owner(spark, sf_dir):
+    g = Graph(spark, sf_dir).walk_tables()
+    return walk.owners(g.nodes, g.adjacency)
+
+
+@query
+def case_seed_ids(spark, sf_dir):
+    g = Graph(spark, sf_dir).walk_tables()
+    return walk.seed_ids(g.around(2), g.nodes)
+
+
+@query
+def masked_edges(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    return render.masked_edges(g.edges, g.nodes)
+
+
+@query
+def bare_case_drop(spark, sf_dir):
+    """Two hops around every value node: cases that no rendered node touches go."""
+    g = Graph(spark, sf_dir).walk_tables()
+    values = g.nodes.where("label = 'ValueNode'").select(F.col("node_id").alias("asked"), "node_id")
+    reached = materialise(walk.neighbourhood(values, g.nodes, g.adjacency, 3), "reached")
+    return walk.without_bare_cases(reached, g.nodes, g.adjacency)
+
+
+@query
+def induced_edges(spark, sf_dir):
+    g = Graph(spark, sf_dir).walk_tables()
+    members = materialise(g.around(2), "members")
+    return walk.induced_edges(members, render.masked_edges(g.edges, g.nodes))
+
+
+def _lines(spark: SparkSession, sf_dir: str, hops: int) -> DataFrame:
+    g = Graph(spark, sf_dir).walk_tables()
+    members = walk.without_bare_cases(
+        materialise(g.around(hops), "members"), g.nodes, g.adjacency
+    )
+    return render.subgraph_lines(
+        members, g.nodes, render.masked_edges(g.edges, g.nodes), "asked", this_email=True
+    )
+
+
+@query
+def render_subgraph(spark, sf_dir):
+    return _lines(spark, sf_dir, 2)
+
+
+@query
+def subgraph_text(spark, sf_dir):
+    return render.subgraph_text(_lines(spark, sf_dir, 1), "asked")
+
+
+@query
+def evidence_spans(spark, sf_dir):
+    nodes = Graph(spark, sf_dir).nodes
+    return nodes.where("label = 'EvidenceNode'").select(
+        "stable_id", "span",
+        text.base_case(F.col("stable_id")).alias("base"),
+        text.evidence_details(F.col("props"), F.lit(True), F.col("span")).alias("details"),
+        text.format_props(F.col("props")).alias("props"),
+    )

@@ -75,3 +75,94 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~F.array_contains(F.slice("true_members", 1, 1), "error")
          | (F.size("true_members") > 1)).alias("has_email"),
     )
+
+
+# --- case graph ---------------------------------------------------------------------
+#
+# An order is a case occurrence of its customer; line items are evidence, suppliers
+# actors, parts values shared between cases, fulfilled orders carry a leaky event.
+
+VERBS = ["prepared", "reviewed", "ran", "completed", "approved", "signed_off"]
+
+
+def application_id(customer: Column, order: Column) -> Column:
+    return F.concat(F.lit("application_"), customer, F.lit("__"), order)
+
+
+def _item_key() -> Column:
+    return F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _node(node_id: Column, label: str, pos: Column, **props) -> Column:
+    return F.struct(
+        node_id.alias("node_id"),
+        pos.cast("long").alias("pos"),
+        F.array(F.lit(label)).alias("labels"),
+        (F.create_map(*[x for k, v in props.items() for x in (F.lit(k), v)]) if props
+         else F.map_from_arrays(*[F.array().cast("array<string>")] * 2)).alias("props"),
+    )
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    app = application_id(F.col("o_custkey"), key)
+    event = _node(F.concat(F.lit("x"), key), "Event", key, name=F.col("o_orderstatus"))
+    per_order = orders.select(F.inline(F.filter(F.array(
+        _node(F.concat(F.lit("p"), key), "ProcessInstance", key,
+              id=app, external_system_id=app, name=F.lit("Purchase order")),
+        _node(F.concat(F.lit("ac"), key), "ActivityCluster", key),
+        _node(F.concat(F.lit("d"), key), "DecisionNode", key,
+              id=F.concat(F.lit("dec_"), key), final_choice=F.col("o_orderstatus"),
+              decision_type=F.col("o_orderpriority")),
+        _node(F.concat(F.lit("r"), key), "RationaleNode", key,
+              id=F.concat(F.lit("rat_"), key), text=F.col("o_orderpriority")),
+        F.when(F.col("o_orderstatus") == "F", event),
+    ), lambda n: n.isNotNull())))
+    evidence = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        .agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
+        .select(F.inline(F.array(_node(
+            F.concat(F.lit("e"), _item_key()), "EvidenceNode", F.col("l_orderkey"),
+            id=F.concat(F.lit("ev_"), F.concat_ws("_", "l_orderkey", "l_partkey", "l_suppkey"),
+                        F.lit("__s"), F.col("l_linenumber")),
+            text=F.concat_ws(" ", "flag", "status"),
+        ))))
+    )
+    actors = table(spark, sf_dir, "supplier").select(F.inline(F.array(_node(
+        F.concat(F.lit("s"), F.col("s_suppkey")), "Actor", F.col("s_suppkey"),
+        name=F.col("s_name"), actor_type=F.lit("Supplier"),
+    ))))
+    values = table(spark, sf_dir, "part").select(F.inline(F.array(_node(
+        F.concat(F.lit("v"), F.col("p_partkey")), "ValueNode", F.col("p_partkey"),
+        name=F.col("p_name"),
+    ))))
+    return per_order.unionByName(evidence).unionByName(actors).unionByName(values)
+
+
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def edge(src: Column, rel: Column, dst: Column) -> Column:
+        return F.struct(src.alias("src"), rel.alias("rel"), dst.alias("dst"))
+
+    def node(prefix: str, key: str) -> Column:
+        return F.concat(F.lit(prefix), F.col(key))
+
+    o, item = "o_orderkey", F.concat(F.lit("e"), _item_key())
+    per_order = table(spark, sf_dir, "orders").select(F.inline(F.filter(F.array(
+        edge(node("ac", o), F.lit("part_of"), node("p", o)),
+        edge(node("ac", o), F.lit("has_decision"), node("d", o)),
+        edge(node("d", o), F.lit("justified_by"), node("r", o)),
+        F.when(F.col("o_orderstatus") == "F", edge(node("x", o), F.lit("names"), node("ac", o))),
+    ), lambda e: e.isNotNull())))
+    l, verbs = "l_orderkey", F.array(*[F.lit(v) for v in VERBS])
+    first = F.col("l_linenumber") == 1
+    per_item = table(spark, sf_dir, "lineitem").select(F.inline(F.filter(F.array(
+        edge(node("ac", l), F.lit("produced"), item),
+        edge(node("s", "l_suppkey"),
+             F.element_at(verbs, F.least(F.col("l_linenumber"), F.lit(6))), node("ac", l)),
+        F.when(first, edge(node("d", l), F.lit("supported_by"), item)),
+        F.when(first & (F.col("l_returnflag") == "R"),
+               edge(node("d", l), F.lit("about"), node("v", "l_partkey"))),
+    ), lambda e: e.isNotNull())))
+    return per_order.unionByName(per_item)
