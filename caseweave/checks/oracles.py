@@ -367,3 +367,39 @@ SELECT stable AS stable_id, regexp_extract(stable, '__s([0-9]+)$', 1)::BIGINT AS
        string_split(stable, '__')[1] AS base, shown AS details,
        regexp_extract(shown, '^("[^"]*")', 1) AS props
 FROM flagged WHERE label = 'EvidenceNode'"""
+
+# --- similarity ---------------------------------------------------------------------------
+
+VECTORS = """
+vec AS (SELECT 'd' || vec_id AS id, 'application_' || label || '__' || vec_id % 5 AS app,
+               'application_' || label AS base,
+               list_transform(embedding[1:32], lambda x: x::DOUBLE) AS t,
+               list_transform(embedding[33:64], lambda x: x::DOUBLE) AS s FROM embeddings),
+unit AS (SELECT id, app, base,
+           list_transform(t, lambda x: x / (sqrt(list_dot_product(t, t)) + 1e-12)) AS t,
+           list_transform(s, lambda x: x / (sqrt(list_dot_product(s, s)) + 1e-12)) AS s FROM vec)"""
+
+
+def topk(k: int, alpha: float, rule: str) -> str:
+    return f"""WITH {VECTORS},
+scored AS (
+  SELECT q.id AS request_id, c.id AS node_id, c.app,
+         list_dot_product(q.t, c.t) AS semantic, list_dot_product(q.s, c.s) AS structural
+  FROM unit q JOIN unit c ON q.id <> c.id AND {rule}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY
+             round({alpha} * semantic + (1.0 - {alpha}) * structural, 12) DESC, node_id) AS rank
+           FROM scored)
+SELECT request_id, rank, node_id, app, {r6(f'{alpha} * semantic + (1.0 - {alpha}) * structural')} AS score,
+       {r6('semantic')} AS semantic, {r6('structural')} AS structural
+FROM ranked WHERE rank <= {k}"""
+
+
+ORACLES["hybrid_topk"] = topk(5, 0.5, "q.app <> c.app")
+ORACLES["guarded_topk"] = topk(3, 0.7, "q.base <> c.base")
+ORACLES["chained_guard_topk"] = topk(
+    4, 0.5, "q.base <> c.base AND c.base <> 'application_' || length(q.id)"
+)
+ORACLES["vector_gate"] = """
+SELECT 'DecisionNode' AS kind, vector, 32 AS min_size, 32 AS max_size, count(*) AS n
+FROM embeddings CROSS JOIN (SELECT unnest(['text_embedding', 'fastrp_embedding']) AS vector)
+GROUP BY vector"""

@@ -9,7 +9,7 @@ from caseweave.checks import tables as T
 from caseweave.fixed import MEAN_METRICS
 from caseweave.functions import text
 from caseweave.functions.sequences import with_pair_metrics
-from caseweave.operators import graph, render, walk
+from caseweave.operators import graph, render, similarity, walk
 from caseweave.plans import scoring
 from caseweave.runtime import materialise
 
@@ -284,3 +284,52 @@ def evidence_spans(spark, sf_dir):
         text.evidence_details(F.col("props"), F.lit(True), F.col("span")).alias("details"),
         text.format_props(F.col("props")).alias("props"),
     )
+
+
+# --- similarity ---------------------------------------------------------------------------
+
+def _pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    raw = T.vector_nodes(spark, sf_dir)
+    nodes = graph.node_table(raw.drop("app"))
+    return nodes, similarity.candidates(nodes, raw.select("node_id", "app"))
+
+
+def _requests(pool: DataFrame, k: int, current_app) -> DataFrame:
+    return pool.select(
+        F.col("node_id").alias("request_id"), "kind", F.col("stable_id").alias("query_id"),
+        F.lit(k).alias("k"), current_app.alias("current_app"),
+    )
+
+
+def _hits(spark, sf_dir, k, current_app, **options) -> DataFrame:
+    _, pool = _pool(spark, sf_dir)
+    queries = similarity.query_rows(_requests(pool, k, current_app), pool)
+    hits = similarity.top_k(queries, pool, **options)
+    measures = ["score", "semantic", "structural"]
+    return rounded(hits.select("request_id", "rank", "node_id", "app", *measures), *measures)
+
+
+@query
+def hybrid_topk(spark, sf_dir):
+    """Own application out, siblings allowed."""
+    return _hits(spark, sf_dir, 5, F.lit(None).cast("string"), exclude_same_case=False)
+
+
+@query
+def guarded_topk(spark, sf_dir):
+    """Siblings of the query's case out as well, text weighted higher."""
+    return _hits(spark, sf_dir, 3, F.lit(""), alpha=0.7)
+
+
+@query
+def chained_guard_topk(spark, sf_dir):
+    """Each query asked on behalf of another case, which must not come back either."""
+    target = F.concat(F.lit("application_"), F.length("node_id"), F.lit("__0"))
+    return _hits(spark, sf_dir, 4, target)
+
+
+@query
+def vector_gate(spark, sf_dir):
+    nodes, _ = _pool(spark, sf_dir)
+    similarity.check_vectors(nodes)
+    return similarity.vector_sizes(nodes)

@@ -166,3 +166,25 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
                edge(node("d", l), F.lit("about"), node("v", "l_partkey"))),
     ), lambda e: e.isNotNull())))
     return per_order.unionByName(per_item)
+
+
+# --- vectors ------------------------------------------------------------------------------
+
+def vector_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One decision per embedding: first half text vector, second half structure vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    vec = F.col("embedding").cast("array<double>")
+    return vectors.select(
+        F.concat(F.lit("d"), F.col("vec_id")).alias("node_id"),
+        F.col("vec_id").alias("pos"),
+        F.array(F.lit("DecisionNode")).alias("labels"),
+        F.create_map(F.lit("id"), F.concat(F.lit("dec_"), F.col("vec_id"))).alias("props"),
+        F.slice(vec, 1, 32).alias("text_vec"),
+        F.slice(vec, 33, 32).alias("struct_vec"),
+        vector_app("label", "vec_id").alias("app"),
+    )
+
+
+def vector_app(label: str, vec_id: str) -> Column:
+    """The label is the base case, the last digit's half the occurrence."""
+    return F.concat(F.lit("application_"), F.col(label), F.lit("__"), F.col(vec_id) % 5)
