@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from caseweave.checks.tables import FixedCatalog
 from caseweave.fixed import MEAN_METRICS
+from caseweave.plans import prompts
 
 ORACLES: dict[str, str] = {}
 
@@ -403,3 +405,254 @@ ORACLES["vector_gate"] = """
 SELECT 'DecisionNode' AS kind, vector, 32 AS min_size, 32 AS max_size, count(*) AS n
 FROM embeddings CROSS JOIN (SELECT unnest(['text_embedding', 'fastrp_embedding']) AS vector)
 GROUP BY vector"""
+
+# --- reports --------------------------------------------------------------------------------
+
+# printf rounds the binary value correctly, which round() does not on ties
+def d4(expr: str) -> str:
+    return f"printf('%.4f', round({expr}, 12))::DOUBLE"
+
+
+def cell(mean: str, std: str | None = None) -> str:
+    text = f"printf('%.3f', {d4(mean)} + 0.0)"
+    return text if std is None else f"{text} || ' ± ' || printf('%.3f', {d4(std)} + 0.0)"
+
+
+EXPORTED = [*MEAN_METRICS, *[f"{m}_std" for m in MEAN_METRICS], "exact_rate"]
+ORACLES["summary_export"] = f"WITH RECURSIVE {RECORDS}{SUMMARY} " + " UNION ALL ".join(
+    f"SELECT scope, size, unit_id, n, '{m}' AS metric, {d4(m)} + 0.0 AS value FROM summary"
+    for m in EXPORTED
+)
+SHOWN = {
+    "ms_f1": "multiset_f1", "ms_prec": "multiset_precision", "ms_rec": "multiset_recall",
+    "seq_f1": "seq_f1", "seq_prec": "seq_precision", "seq_rec": "seq_recall",
+    "norm_edit": "normalized_edit_distance", "jaccard": "jaccard", "len_bias": "length_bias",
+}
+ORACLES["report_table"] = f"""WITH RECURSIVE {RECORDS}{SUMMARY}
+SELECT scope, size, n, {cell('exact_rate')} AS exact,
+  {', '.join(f'{cell(m, m + "_std")} AS {name}' for name, m in SHOWN.items())}
+FROM summary WHERE scope <> 'unit'"""
+ORACLES["unit_report"] = f"""WITH RECURSIVE {RECORDS}{SUMMARY}
+SELECT unit_id AS unit, first_size AS size, n, {cell('exact_rate')} AS exact,
+  {cell('multiset_f1', 'multiset_f1_std')} AS multiset_f1,
+  {cell('normalized_edit_distance', 'normalized_edit_distance_std')} AS norm_edit
+FROM summary WHERE scope = 'unit'"""
+
+
+def counted(kind: str) -> str:
+    return f"n_{kind} || ' (' || printf('%.3f', n_{kind} / n_aligned::DOUBLE) || ')'"
+
+
+ORACLES["ops_report"] = (
+    "SELECT size, n_aligned, "
+    + ", ".join(f'{counted(k)} AS "{k}"' for k in ("match", "sub", "ins", "del"))
+    + f" FROM ({ORACLES['confusion_totals']}) WHERE n_sub + n_ins + n_del > 0"
+)
+
+# --- logs, mails, prompts ---------------------------------------------------------------------
+
+MARK = ">>> THIS hidden email TO RECONSTRUCT (activities unknown) <<<"
+MAILS = f"""
+mev AS (SELECT user_id, strftime(ts, '%Y%m%d') AS day, event_id // 4096 AS stretch, event_id,
+              event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time FROM events),
+placed AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id, day, stretch)
+             // 2 AS middle, 'application_' || user_id || '__' || day || 'x' || stretch AS case_id
+           FROM mev WINDOW w AS (PARTITION BY user_id, day, stretch ORDER BY event_id)),
+mails AS (SELECT conv_id AS user_id, arg_min(text, turn) AS body FROM conversations
+          WHERE role = 'user' GROUP BY conv_id),
+logs AS (SELECT p.case_id, p.pos, p.time, p.event_id, p.pos = p.middle AS hidden,
+                CASE WHEN p.pos = p.middle THEN 'internal_email_sent' ELSE p.event_type END AS type,
+                p.user_id, m.body FROM placed p LEFT JOIN mails m USING (user_id)),
+recs AS (SELECT case_id, any_value(user_id) AS user_id, any_value(body) AS body,
+                min(event_id) AS record_pos, count(*) AS n,
+                string_agg(CASE WHEN hidden THEN '{MARK}' ELSE '- ' || time || ' | ' || type END,
+                           chr(10) ORDER BY pos) AS timeline
+         FROM logs GROUP BY case_id)"""
+
+
+def event_lines(subject: str, body: str) -> str:
+    return f""",
+lines AS (
+  SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY time, pos) AS n,
+    CASE WHEN hidden THEN '- ' || time || ' | internal_email_sent (HIDDEN activities are here)' || chr(10)
+      || '  EmailID=m' || event_id || CASE WHEN body IS NULL THEN '' ELSE ' | Sender=user' END
+      || ' | objects: u' || user_id || chr(10)
+      || '  Subject: ' || {subject} || chr(10) || '  Body: ' || {body}
+    ELSE '- ' || time || ' | ' || type || ' [objects: u' || user_id || ']' END AS line
+  FROM logs)"""
+
+
+SHOWN_MAIL = event_lines("coalesce(left(body, 40), '')", "coalesce(body, '')")
+ORACLES["nested_log_flatten"] = f"""WITH {MAILS}
+SELECT case_id AS graph_key, pos, type, time, CASE WHEN hidden THEN 'm' || event_id END AS email_id,
+       'u' || user_id AS objects FROM logs"""
+ORACLES["case_timeline"] = f"""WITH {MAILS}{SHOWN_MAIL}
+SELECT case_id AS graph_key, n, line FROM lines"""
+ORACLES["case_timeline_redacted"] = f"""WITH {MAILS}{event_lines("'[redacted]'", "'[redacted]'")}
+SELECT case_id AS graph_key, string_agg(line, chr(10) ORDER BY n) AS body FROM lines GROUP BY case_id"""
+ORACLES["log_requests"] = f"""WITH {MAILS}{SHOWN_MAIL},
+bodies AS (SELECT case_id, string_agg(line, chr(10) ORDER BY n) AS body, count(*) AS n
+           FROM lines GROUP BY case_id),
+asked AS (SELECT 'A' || case_id[2:] AS id, case_id FROM bodies
+          UNION ALL SELECT case_id, case_id FROM bodies)
+SELECT id AS application_id, CASE WHEN n > 1 THEN 'ok' ELSE 'missing_file' END AS status,
+       CASE WHEN n > 1 THEN 'Observed event log of application ' || id
+         || ' (hidden activities are behind the internal_email_sent event):' || chr(10)
+         || 'Events (chronological):' || chr(10) || body END AS text
+FROM asked JOIN bodies USING (case_id)
+UNION ALL SELECT 'no_' || case_id, 'unknown_id', NULL FROM bodies"""
+
+ORACLES["guarded_requests"] = """WITH r AS (
+  SELECT vec_id, 'application_' || label AS base, 'application_' || label || '__' || vec_id % 5
+           AS application_id,
+         CASE WHEN label < 5 THEN 'application_' || label || '__0'
+              WHEN label < 9 THEN 'application_0__1' END AS current_app,
+         CASE WHEN label < 5 THEN 'application_' || label
+              WHEN label < 9 THEN 'application_0' END AS current_base FROM embeddings)
+SELECT vec_id, application_id, current_app,
+       CASE WHEN application_id = current_app THEN 'refused_current'
+            WHEN base = current_base THEN 'refused_sibling' ELSE 'allowed' END AS verdict,
+       CASE WHEN application_id = current_app THEN 'refused_current' ELSE 'allowed' END
+         AS verdict_same_case_allowed FROM r"""
+OTHERS_TEXT = lines(1).replace("f.label, f.shown,", "f.label, replace(f.shown, ', this email', ', other') AS shown,")
+ORACLES["guarded_subgraph"] = f"""WITH RECURSIVE {GRAPH}{OTHERS_TEXT},
+r AS (SELECT 'application_' || o_custkey || '__' || o_orderkey AS application_id, o_orderstatus AS s,
+             o_custkey FROM orders)
+SELECT application_id, CASE s WHEN 'O' THEN application_id
+         WHEN 'P' THEN 'application_' || o_custkey || '__none' ELSE 'application_none__1' END AS current_app,
+       CASE s WHEN 'O' THEN 'refused_current' WHEN 'P' THEN 'refused_sibling' ELSE 'allowed' END AS verdict,
+       CASE WHEN s = 'F' THEN 'ok' END AS status,
+       CASE WHEN s = 'F' THEN 'Context subgraph for application ' || application_id
+         || ' (<= 1 hop(s)):' || chr(10) || text END AS text
+FROM r JOIN texts ON texts.asked = r.application_id"""
+ORACLES["coverage_gate"] = f"""SELECT count(*) AS n_records,
+  count(*) FILTER (o_orderpriority <> '1-URGENT') AS n_resolved,
+  {r6("count(*) FILTER (o_orderpriority <> '1-URGENT') / count(*)::DOUBLE")} AS coverage FROM orders"""
+ORACLES["case_subgraph_text"] = f"""WITH RECURSIVE {GRAPH}{lines(2)},
+named AS (SELECT asked AS id, asked FROM texts
+          UNION ALL SELECT 'Purchase order', arg_min(app, pos) FROM flagged WHERE app IS NOT NULL)
+SELECT id AS asked, 'ok' AS status, 'Context subgraph for application ' || id || ' (<= 2 hop(s)):'
+       || chr(10) || text AS text FROM named JOIN texts USING (asked)
+UNION ALL SELECT 'application_none', 'unknown_id', NULL"""
+
+SIMILAR = lines(1)
+SIMILAR = SIMILAR[SIMILAR.index(",\ntags AS"):].replace(
+    "f.label, f.shown,", "f.label, replace(f.shown, ', this email', ', other') AS shown,"
+)
+ORACLES["similar_context"] = f"""WITH RECURSIVE {GRAPH},
+{topk(2, 0.5, "q.base <> c.base")[5:topk(2, 0.5, "q.base <> c.base").index("SELECT request_id, rank")]},
+hits AS (SELECT *, request_id || '#' || rank AS hit FROM ranked WHERE rank <= 2),
+members AS (SELECT hit AS asked, node_id AS node FROM hits
+            UNION SELECT h.hit, a.dst FROM hits h JOIN adj a ON a.src = h.node_id
+              JOIN flagged g ON g.id = a.dst WHERE NOT g.leaky){SIMILAR},
+entries AS (
+  SELECT h.request_id, h.rank, rank || '. [dec_' || node_id[2:] || '] score='
+    || printf('%.3f', 0.5 * semantic + 0.5 * structural) || ' (semantic=' || printf('%.3f', semantic)
+    || ', structural=' || printf('%.3f', structural) || ') application=' || app || chr(10)
+    || '   neighborhood (<= 1 hop(s)):' || chr(10) || '   '
+    || replace(t.text, chr(10), chr(10) || '   ') AS entry
+  FROM hits h JOIN texts t ON t.asked = h.hit)
+SELECT request_id, 'Top ' || count(*) || ' decisions similar to dec_' || request_id[2:]
+  || ' (hybrid score = 0.50*semantic + 0.50*structural):' || chr(10)
+  || string_agg(chr(10) || entry, chr(10) ORDER BY rank) AS text
+FROM entries GROUP BY request_id"""
+
+ORACLES["timeline_text"] = f"""WITH {MAILS}
+SELECT record_pos, timeline, CASE WHEN body IS NULL THEN '' ELSE 'u' || user_id END AS objects FROM recs"""
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+MAIL_BLOCK = (
+    quoted(f"{prompts.EMAIL_HEADING}\n{prompts.EMAIL_NOTE}\nSender : user\nObjects: u")
+    + " || user_id || " + quoted("\nSubject: ") + " || left(body, 40) || " + quoted("\nBody:\n")
+    + " || body || " + quoted("\n\n")
+)
+LOG_BLOCK = (
+    quoted(f"{prompts.TIMELINE_HEADING}\n{prompts.TIMELINE_NOTE}\n") + " || timeline || " + quoted("\n\n")
+)
+CATALOG_BLOCK = quoted(f"{prompts.CATALOG_NOTE}\n{FixedCatalog().text}\n\n")
+
+
+def keyed(user: str, cap: int) -> str:
+    return f"sha256(concat_ws(chr(0), '{cap}', '0', 'high', {quoted(prompts.SYSTEM)}, {user}))"
+
+
+WITH_CAP = quoted(prompts._task(False, 3))
+ORACLES["prompt_table"] = f"""WITH {MAILS},
+p AS (SELECT record_pos, {CATALOG_BLOCK} || {MAIL_BLOCK} || {LOG_BLOCK} || {WITH_CAP} AS "user"
+      FROM recs WHERE body IS NOT NULL)
+SELECT record_pos, {quoted(prompts.SYSTEM)} AS system, "user", {keyed('"user"', 3)} AS prompt_key FROM p"""
+MAIL_PROMPTS = f"""WITH {MAILS},
+p AS (SELECT record_pos, case_id, {CATALOG_BLOCK} || CASE WHEN body IS NULL THEN '' ELSE {MAIL_BLOCK} END
+        || {quoted(prompts._task(False, 0))} AS "user" FROM recs),
+k AS (SELECT record_pos, case_id, {keyed('"user"', 0)} AS prompt_key FROM p)"""
+ORACLES["prompt_dedup"] = f"""{MAIL_PROMPTS}
+SELECT prompt_key, count(*) AS n_records, min(record_pos) AS record_pos FROM k GROUP BY prompt_key"""
+
+GRAPH_HEAD = quoted("List the ordered activities hidden behind the e-mail of application ")
+ORACLES["prompt_table_graph"] = f"""WITH RECURSIVE {GRAPH}{lines(1)},
+o AS (SELECT *, 'application_' || o_custkey || '__' || o_orderkey AS app FROM orders)
+SELECT o_orderkey AS record_pos, app AS application_id,
+  {GRAPH_HEAD} || app || {quoted(f".{chr(10)}{chr(10)}{prompts.CATALOG_NOTE}{chr(10)}{FixedCatalog().text}")}
+  || {quoted(f"{chr(10)}{chr(10)}Current application id: ")} || app
+  || {quoted(f"{chr(10)}Seed node ids in this application:{chr(10)}- decisions: ")} || 'dec_' || o_orderkey
+  || {quoted(f"{chr(10)}- rationales: ")} || 'rat_' || o_orderkey
+  || {quoted(f"{chr(10)}{chr(10)}The case as a graph. Evidence marked span=<n> is the mail, in reading order.{chr(10)}")}
+  || 'Context subgraph for application ' || app || ' (<= 1 hop(s)):' || chr(10) || text
+  || {quoted(f"{chr(10)}{chr(10)}{prompts.TIMELINE_HEADING}{chr(10)}{prompts.TIMELINE_NOTE}{chr(10)}")}
+  || '- ' || strftime(o_orderdate, '%Y-%m-%d') || ' | ' || o_orderstatus
+  || {quoted(f"{chr(10)}{chr(10)}Compare with similar cases before answering; this case's own log is above.{chr(10)}{chr(10)}Respond with one JSON object: {prompts.ANSWER_MANY}")}
+    AS "user"
+FROM o JOIN texts ON texts.asked = o.app"""
+
+# --- answers ------------------------------------------------------------------------------------
+
+ANSWERS = RECORDS + """,
+raw AS (SELECT record_pos, case_id, has_email, confidence,
+               list_filter(p, lambda x: x <> 'refund') AS named,
+               list_contains(p, 'error') AND len(p) > 3 AS vague, len(p) = 0 AS lost,
+               NOT list_contains(p, 'refund') AND t[len(t)] = 'click' AS chatty FROM records),
+plain AS (SELECT *, CASE WHEN lost OR chatty THEN 'no_json' WHEN vague THEN 'bad_confidence' END AS error
+          FROM raw)"""
+ORACLES["response_normalise"] = f"""WITH {ANSWERS}
+SELECT record_pos, error, CASE WHEN error IS NULL THEN array_to_string(named[1:4], '>') ELSE '' END AS pred,
+       CASE WHEN error IS NULL THEN {r6('confidence')} ELSE 0.0 END AS confidence FROM plain"""
+ORACLES["response_normalise_agent"] = f"""WITH {ANSWERS}
+SELECT record_pos, CASE WHEN lost THEN 'no_json' END AS error, array_to_string(named, '>') AS pred,
+       CASE WHEN lost OR vague THEN 0.0 ELSE {r6('confidence')} END AS confidence FROM raw"""
+ORACLES["response_outcomes"] = f"""WITH {ANSWERS}
+SELECT coalesce(error, 'ok') AS outcome, count(*) AS n FROM plain GROUP BY 1"""
+ORACLES["predictions_echo"] = f"""WITH {ANSWERS}
+SELECT record_pos, case_id,
+       CASE WHEN has_email AND error IS NULL THEN array_to_string(named, '>') ELSE '' END AS pred,
+       CASE WHEN has_email AND error IS NULL THEN {r6('confidence')} ELSE 0.0 END AS confidence FROM plain"""
+
+# --- scans ----------------------------------------------------------------------------------------
+
+ORACLES["graph_json_scan"] = f"""WITH {GRAPH}
+SELECT id AS node_id, label, stable AS stable_id, app AS app_id,
+       CASE WHEN label = 'RationaleNode' THEN shown
+            WHEN label = 'EvidenceNode' THEN regexp_extract(shown, '^("[^"]*")', 1)
+            ELSE shown END AS props
+FROM flagged WHERE label <> 'ValueNode' OR id IN (SELECT dst FROM edges)"""
+ORACLES["graph_json_edges"] = f"WITH {GRAPH} SELECT * FROM edges"
+ORACLES["graph_json_rejects"] = f"""WITH {GRAPH}
+SELECT (SELECT count(*) FROM nodes WHERE label <> 'ValueNode') + (SELECT count(*) FROM edges)
+       + (SELECT count(*) FROM supplier) AS n_lines, (SELECT count(*) FROM supplier) AS n_rejected"""
+ORACLES["vector_json_scan"] = f"""
+SELECT 'd' || vec_id AS node_id, 'dec_' || vec_id AS stable_id, 32 AS n_text, label = 0 AS lacks_structure,
+       {r6('list_sum(list_transform(embedding[1:32], lambda x: x::DOUBLE))')} AS text_sum FROM embeddings"""
+ORACLES["records_json_scan"] = f"""WITH {RECORDS}
+SELECT record_pos, case_id, unit_id, has_email, {r6('confidence')} AS confidence,
+       CASE WHEN size = 1 THEN 0 ELSE size END AS declared_size, array_to_string(t, '>') AS true_list,
+       array_to_string(p, '>') AS pred_list, CASE WHEN has_email THEN case_id END AS subject FROM records"""
+ORACLES["prompt_audit"] = f"""{MAIL_PROMPTS},{ANSWERS},
+firsts AS (SELECT prompt_key, min(record_pos) AS first_pos FROM k GROUP BY prompt_key),
+asked AS (SELECT f.prompt_key, f.first_pos, a.error FROM firsts f JOIN plain a ON a.record_pos = f.first_pos)
+SELECT k.record_pos, k.case_id AS folder,
+       CASE WHEN error IS NOT NULL THEN 'failed' WHEN k.record_pos <> first_pos THEN 'cache-hit'
+            ELSE 'ok' END AS status, error
+FROM k JOIN asked USING (prompt_key) WHERE error IS NULL OR k.record_pos = first_pos"""

@@ -9,9 +9,11 @@ from caseweave.checks import tables as T
 from caseweave.fixed import MEAN_METRICS
 from caseweave.functions import text
 from caseweave.functions.sequences import with_pair_metrics
-from caseweave.operators import graph, render, similarity, walk
-from caseweave.plans import scoring
+from caseweave.operators import graph, guards, render, similarity, timeline, walk
+from caseweave.plans import context, predictions, prompts, reports, scoring
 from caseweave.runtime import materialise
+from caseweave.sources import event_log, graph_dump
+from caseweave.sources import records as record_source
 
 QUERIES = {}
 
@@ -333,3 +335,286 @@ def vector_gate(spark, sf_dir):
     nodes, _ = _pool(spark, sf_dir)
     similarity.check_vectors(nodes)
     return similarity.vector_sizes(nodes)
+
+
+# --- reports --------------------------------------------------------------------------------
+
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.summary(_scored(spark, sf_dir))
+
+
+@query
+def summary_export(spark, sf_dir):
+    return reports.summary_export(_summary(spark, sf_dir))
+
+
+@query
+def report_table(spark, sf_dir):
+    return reports.metric_table(_summary(spark, sf_dir))
+
+
+@query
+def unit_report(spark, sf_dir):
+    return reports.unit_table(_summary(spark, sf_dir))
+
+
+@query
+def ops_report(spark, sf_dir):
+    cells = scoring.confusion_cells(_scored(spark, sf_dir))
+    return reports.ops_table(scoring.confusion_totals(cells, ["size"]))
+
+
+# --- event logs -----------------------------------------------------------------------------
+
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_log.parse_logs(T.log_documents(spark, sf_dir))
+
+
+@query
+def nested_log_flatten(spark, sf_dir):
+    return event_log.flatten(_logs(spark, sf_dir)).select(
+        "graph_key", "pos", "type", "time",
+        timeline.attribute(F.col("attributes"), "EmailID").alias("email_id"),
+        F.array_join("object_ids", ",").alias("objects"),
+    )
+
+
+@query
+def case_timeline(spark, sf_dir):
+    """Lines with the mail shown."""
+    return timeline.timeline_lines(event_log.flatten(_logs(spark, sf_dir)), use_email=True)
+
+
+@query
+def case_timeline_redacted(spark, sf_dir):
+    logs = _logs(spark, sf_dir)
+    lines = timeline.timeline_lines(event_log.flatten(logs), use_email=False)
+    return timeline.timeline_texts(logs, lines)
+
+
+@query
+def log_requests(spark, sf_dir):
+    """Every run's log asked for by case id, by graph key, and by an id nobody has."""
+    runs = T.mail_records(spark, sf_dir).withColumn(
+        "case_id", F.regexp_replace("case_id", "^a", "A")
+    )
+    logs = _logs(spark, sf_dir).where("size(events) > 1")   # the others have no file
+    lines = timeline.timeline_lines(event_log.flatten(logs), use_email=True)
+    asked = runs.select(F.explode(F.array(
+        F.col("case_id"), F.col("graph_key"), F.concat(F.lit("no_"), F.col("graph_key"))
+    )).alias("application_id"))
+    return timeline.answer(asked, timeline.log_keys(runs), timeline.timeline_texts(logs, lines))
+
+
+# --- guards and gates -----------------------------------------------------------------------
+
+@query
+def guarded_requests(spark, sf_dir):
+    vectors = T.table(spark, sf_dir, "embeddings")
+    asked = vectors.select(
+        "vec_id", T.vector_app("label", "vec_id").alias("application_id"),
+        F.when(F.col("label") < 5, F.concat(F.lit("application_"), "label", F.lit("__0")))
+        .when(F.col("label") < 9, F.lit("application_0__1")).alias("current_app"),
+    )
+    strict = guards.guard(asked)
+    lenient = guards.guard(asked, exclude_same_case=False)
+    return strict.join(
+        lenient.select("vec_id", F.col("verdict").alias("verdict_same_case_allowed")), "vec_id"
+    )
+
+
+def _order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's case asked for: on its own behalf, a sibling's, or a stranger's."""
+    status, customer = F.col("o_orderstatus"), F.col("o_custkey")
+    own = T.application_id(customer, F.col("o_orderkey"))
+    return T.table(spark, sf_dir, "orders").select(
+        own.alias("application_id"),
+        F.when(status == "O", own)
+        .when(status == "P", F.concat(F.lit("application_"), customer, F.lit("__none")))
+        .otherwise("application_none__1").alias("current_app"),
+    )
+
+
+def _case_graph(spark: SparkSession, sf_dir: str) -> context.CaseGraph:
+    return context.CaseGraph(T.graph_nodes(spark, sf_dir), T.graph_edges(spark, sf_dir))
+
+
+@query
+def guarded_subgraph(spark, sf_dir):
+    return _case_graph(spark, sf_dir).answer_subgraph_requests(
+        _order_requests(spark, sf_dir), hops=1
+    )
+
+
+@query
+def coverage_gate(spark, sf_dir):
+    orders = T.table(spark, sf_dir, "orders")
+    app = T.application_id(F.col("o_custkey"), F.col("o_orderkey"))
+    asked = orders.select(
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(None)).otherwise(app)
+        .alias("graph_key"),
+        F.lit("application_none").alias("case_id"),
+    )
+    return rounded(guards.coverage(asked, Graph(spark, sf_dir).nodes), "coverage")
+
+
+# --- retrieval texts --------------------------------------------------------------------------
+
+@query
+def case_subgraph_text(spark, sf_dir):
+    """Every case by its id, one by a shared name, one that does not exist."""
+    g = _case_graph(spark, sf_dir)
+    apps = g.nodes.where("app_id is not null").select(F.explode(F.array(
+        F.col("app_id"), F.try_element_at("props", F.lit("name")), F.lit("application_none")
+    )).alias("asked")).distinct()
+    return g.application_texts(apps, hops=2, this_email=True)
+
+
+@query
+def similar_context(spark, sf_dir):
+    """Two most similar decisions of every decision, each with its neighbourhood."""
+    raw = T.vector_nodes(spark, sf_dir)
+    nodes = graph.node_table(raw.drop("app"))
+    pool = similarity.candidates(nodes, raw.select("node_id", "app"))
+    hits = context.similar_hits(
+        nodes, raw.select("node_id", "app"),
+        _requests(pool, 2, F.lit(None).cast("string")),
+    )
+    return _case_graph(spark, sf_dir).similar_texts(hits, "decision", 0.5, hops=1)
+
+
+# --- prompts ------------------------------------------------------------------------------------
+
+@query
+def timeline_text(spark, sf_dir):
+    return T.mail_records(spark, sf_dir).select(
+        "record_pos",
+        text.timeline_text(F.col("observed_timeline"), True, F.col("graph_key")).alias("timeline"),
+        text.objects_list(F.col("email.objects")).alias("objects"),
+    )
+
+
+@query
+def prompt_table(spark, sf_dir):
+    records = predictions.predictable(T.mail_records(spark, sf_dir), True, False)
+    return prompts.prompts(records, T.FixedCatalog(), cap=3)
+
+
+@query
+def prompt_dedup(spark, sf_dir):
+    """Mail only: runs of one user share a prompt, runs without a mail another one."""
+    made = prompts.prompts(T.mail_records(spark, sf_dir), T.FixedCatalog(), use_timeline=False)
+    return prompts.to_send(made).select("prompt_key", "n_records", "record_pos")
+
+
+@query
+def prompt_table_graph(spark, sf_dir):
+    g = _case_graph(spark, sf_dir)
+    app = T.application_id(F.col("o_custkey"), F.col("o_orderkey"))
+    records = T.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("record_pos"), app.alias("graph_key"),
+        F.lit("").alias("case_id"), F.lit(None).cast("string").alias("email_uid"),
+        F.concat_ws("", F.lit("OBSERVED CASE TIMELINE (offline): use BOTH sides.\n\n- "),
+                    F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" | "), "o_orderstatus",
+                    F.lit("\n")).alias("observed_timeline"),
+    )
+    asked = records.select(F.col("graph_key").alias("asked"))
+    texts = g.application_texts(asked, hops=1, this_email=True).select("asked", "text")
+    return prompts.graph_prompts(
+        records, T.FixedCatalog(), texts, g.seed_lists(asked, hops=2)
+    ).drop("system")
+
+
+def _answers(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return predictions.parse_responses(
+        T.responses(spark, sf_dir), T.FixedCatalog(), **options
+    )
+
+
+@query
+def prompt_audit(spark, sf_dir):
+    records = T.mail_records(spark, sf_dir)
+    made = materialise(
+        prompts.prompts(records, T.FixedCatalog(), use_timeline=False), "prompts"
+    )
+    firsts = prompts.to_send(made).select("record_pos", "prompt_key")
+    answers = _answers(spark, sf_dir).join(firsts, "record_pos").select(
+        "prompt_key", "raw", "error"
+    )
+    shared = prompts.share_answers(made, answers)
+    return prompts.audit(records, made, shared).drop("system", "user", "assistant")
+
+
+# --- answers --------------------------------------------------------------------------------------
+
+@query
+def response_normalise(spark, sf_dir):
+    return rounded(_answers(spark, sf_dir, max_activities=4).select(
+        "record_pos", F.array_join("pred", ">").alias("pred"), "confidence", "error"
+    ), "confidence")
+
+
+@query
+def response_normalise_agent(spark, sf_dir):
+    return rounded(_answers(spark, sf_dir, agent=True).select(
+        "record_pos", F.array_join("pred", ">").alias("pred"), "confidence", "error"
+    ), "confidence")
+
+
+@query
+def response_outcomes(spark, sf_dir):
+    return predictions.failure_rate(_answers(spark, sf_dir))
+
+
+@query
+def predictions_echo(spark, sf_dir):
+    """Predictions of the records with a mail, put back onto all of them."""
+    records = T.records(spark, sf_dir)
+    asked = predictions.predictable(records, use_email=True, use_graph=False)
+    answers = _answers(spark, sf_dir).join(asked.select("record_pos"), "record_pos", "left_semi")
+    return rounded(predictions.onto_records(records, answers).select(
+        "record_pos", "case_id", F.array_join("pred", ">").alias("pred"), "confidence"
+    ), "confidence")
+
+
+# --- scans ----------------------------------------------------------------------------------------
+
+@query
+def graph_json_scan(spark, sf_dir):
+    """The test graph written as dump lines, some of them broken, and read back."""
+    parsed = materialise(graph_dump.parse(T.dump_lines(spark, sf_dir)), "parsed")
+    nodes = graph.node_table(graph_dump.merge_copies(graph_dump.node_copies(parsed)))
+    return nodes.select(
+        "node_id", "label", "stable_id", "app_id", text.format_props(F.col("props")).alias("props")
+    )
+
+
+@query
+def graph_json_edges(spark, sf_dir):
+    return graph_dump.edges(graph_dump.parse(T.dump_lines(spark, sf_dir)))
+
+
+@query
+def graph_json_rejects(spark, sf_dir):
+    return graph_dump.rejected(T.dump_lines(spark, sf_dir))
+
+
+@query
+def vector_json_scan(spark, sf_dir):
+    """Embeddings as typed JSON values, unwrapped again."""
+    parsed = graph_dump.parse(T.vector_dump_lines(spark, sf_dir))
+    nodes = graph.node_table(graph_dump.merge_copies(graph_dump.node_copies(parsed)))
+    total = F.aggregate("text_vec", F.lit(0.0), lambda a, x: a + x)
+    return rounded(nodes.select(
+        "node_id", "stable_id", F.size("text_vec").alias("n_text"), total.alias("text_sum"),
+        F.col("struct_vec").isNull().alias("lacks_structure"),
+    ), "text_sum")
+
+
+@query
+def records_json_scan(spark, sf_dir):
+    return rounded(record_source.parse_records(T.record_lines(spark, sf_dir)).select(
+        "record_pos", "case_id", "unit_id", "has_email", "confidence", "declared_size",
+        F.array_join("true_members", ">").alias("true_list"),
+        F.array_join("pred", ">").alias("pred_list"), F.col("email.subject").alias("subject"),
+    ), "confidence")

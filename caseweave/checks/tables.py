@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseweave.sources.records import Catalog
+
 # Events of one user and day are cut into stretches by event id, so that a run
 # holds at most this many events however many one user produces in a day.
 STRETCH = 4096
@@ -188,3 +190,190 @@ def vector_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_app(label: str, vec_id: str) -> Column:
     """The label is the base case, the last digit's half the occurrence."""
     return F.concat(F.lit("application_"), F.col(label), F.lit("__"), F.col(vec_id) % 5)
+
+
+# --- logs, mails, responses ------------------------------------------------------------------
+
+# Activity classes; "refund" is deliberately not among them.
+CATALOG = {
+    "signup": "a new account is opened",
+    "error": "a request could not be served",
+    "click": "an element of a page is chosen",
+    "view": "a page is shown",
+    "purchase": "an order is paid",
+}
+
+
+class FixedCatalog(Catalog):
+    """The catalog above, without a file."""
+
+    def __init__(self):
+        self.text = "\n".join(f"- {k}: {v}" for k, v in CATALOG.items())
+        self.canonical = {k.lower(): k for k in CATALOG}
+
+
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First user turn of each conversation as the mail of the user of that number."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return turns.groupBy(F.col("conv_id").alias("user_id")).agg(
+        F.min_by("text", "turn").alias("body")
+    )
+
+
+def mail_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with a mail (where the user has one) and the timeline around it."""
+    return runs_with_times(spark, sf_dir).join(mails(spark, sf_dir), "user_id", "left").select(
+        "record_pos", "case_id", F.col("case_id").alias("graph_key"),
+        F.lit(None).cast("string").alias("email_uid"), "user_id",
+        F.col("body").isNotNull().alias("has_email"),
+        F.when(F.col("body").isNotNull(), F.struct(
+            F.left("body", F.lit(40)).alias("subject"), F.col("body"),
+            F.lit("user").alias("sender"),
+            F.concat(F.lit("u"), F.col("user_id"), F.lit("| ")).alias("objects"),
+        )).alias("email"),
+        timeline(F.col("items")).alias("observed_timeline"), "items",
+    )
+
+
+def runs_with_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(
+        "user_id", F.date_format("ts", "yyyyMMdd").alias("day"),
+        F.floor(F.col("event_id") / STRETCH).alias("stretch"), "event_id", "event_type",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"),
+    )
+    return events.groupBy("user_id", "day", "stretch").agg(
+        F.array_sort(F.collect_list(F.struct("event_id", "event_type", "time"))).alias("items")
+    ).select(
+        "user_id", F.col("items")[0]["event_id"].alias("record_pos"), "items",
+        occurrence_id(F.col("user_id"), F.col("day"), F.col("stretch")).alias("case_id"),
+    )
+
+
+def _is_middle(items: Column, index: Column) -> Column:
+    return index == F.floor(F.size(items) / 2)
+
+
+def timeline(items: Column) -> Column:
+    """Observed timeline text: the middle event is the hidden mail."""
+    shown = F.transform(items, lambda e, i: F.when(
+        _is_middle(items, i), ">>> THIS hidden email TO RECONSTRUCT (activities unknown) <<<"
+    ).otherwise(F.concat(F.lit("- "), e["time"], F.lit(" | "), e["event_type"])))
+    return F.concat(
+        F.lit("OBSERVED CASE TIMELINE (offline): use BOTH sides.\n\n"),
+        F.array_join(shown, "\n"), F.lit("\n"),
+    )
+
+
+def log_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(graph_key, document): each run's log as JSON, answer attributes included."""
+    def attribute(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), value.alias("value"))
+
+    records = mail_records(spark, sf_dir)
+    items = F.col("items")
+    events = F.transform(items, lambda e, i: F.struct(
+        F.when(_is_middle(items, i), "internal_email_sent").otherwise(e["event_type"]).alias("type"),
+        e["time"].alias("time"),
+        F.when(_is_middle(items, i), F.array(
+            attribute("EmailID", F.concat(F.lit("m"), e["event_id"].cast("string"))),
+            attribute("Sender", F.col("email.sender")),
+            attribute("Subject", F.col("email.subject")),
+            attribute("Body", F.col("email.body")),
+            attribute("true_members", F.concat(F.lit("SECRET "), e["event_type"])),
+        )).alias("attributes"),
+        F.array(F.struct(F.concat(F.lit("u"), F.col("user_id")).alias("objectId")))
+        .alias("relationships"),
+    ))
+    return records.select(
+        F.col("case_id").alias("graph_key"), F.to_json(F.struct(events.alias("events"))).alias("document")
+    )
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's raw answer per run: fenced, upper-cased, bare or broken ones among them."""
+    base = records(spark, sf_dir)
+    pred = F.col("pred")
+    loud = F.transform(pred, lambda x: F.concat(F.lit(" "), F.upper(x), F.lit("\t")))
+    listed = F.when(F.element_at("true_members", 1) == "view", loud).otherwise(pred)
+    confidence = F.when(F.array_contains(pred, "error") & (F.size(pred) > 3), F.lit('"high"')
+                        ).otherwise(F.col("confidence").cast("string"))
+    activities = F.when(F.size(pred) == 1, F.concat(F.lit('"'), pred[0], F.lit('"'))).otherwise(
+        F.to_json(listed)
+    )
+    body = F.concat(F.lit('{"activities": '), activities, F.lit(', "confidence": '), confidence,
+                    F.lit(', "reasoning": "as told"}'))
+    raw = (
+        F.when(F.size(pred) == 0, "I cannot tell {from this}.")
+        .when(F.array_contains(pred, "refund"), F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(F.element_at("true_members", -1) == "click",
+              F.concat(F.lit("Here it is: "), body, F.lit(" Done.")))
+        .otherwise(body)
+    )
+    return base.select("record_pos", "case_id", "has_email", "pred", raw.alias("raw"),
+                       F.col("confidence").alias("stated"))
+
+
+# --- dump and record lines ------------------------------------------------------------------------
+
+def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph as dump lines (pos, line).
+
+    Values come as ends of relationships only; every node that is the start of
+    one is repeated there without properties, and each actor adds a broken line.
+    """
+    nodes = graph_nodes(spark, sf_dir)
+    labels = nodes.select("node_id", "labels", "props")
+    typed = F.transform_values(
+        "props", lambda k, v: F.struct(F.lit("String").alias("type"), v.alias("value"))
+    )
+    own = nodes.where("labels[0] <> 'ValueNode'").select(
+        F.concat(F.lit("n"), "node_id").alias("pos"),
+        F.concat(F.to_json(F.struct(
+            F.lit("node").alias("type"), F.col("node_id").alias("id"),
+            F.concat(F.array(F.lit("__Entity__")), "labels").alias("labels"),
+            typed.alias("properties"),
+        )), F.lit(",")).alias("line"),
+    )
+    broken = nodes.where("labels[0] = 'Actor'").select(
+        F.concat(F.lit("b"), "node_id").alias("pos"),
+        F.concat(F.lit('{"type": "node", "id": "'), "node_id").alias("line"),
+    )
+    end = labels.select(F.col("node_id").alias("dst"), F.struct(
+        F.col("node_id").alias("id"), "labels", F.col("props").alias("properties")
+    ).alias("end"))
+    ties = graph_edges(spark, sf_dir).join(end, "dst").select(
+        F.concat_ws("_", F.lit("r"), "src", "rel", "dst").alias("pos"),
+        F.to_json(F.struct(
+            F.lit("relationship").alias("type"), F.col("rel").alias("label"),
+            F.struct(F.col("src").alias("id"), F.array(F.lit("inline_text")).alias("labels"))
+            .alias("start"), F.col("end"),
+        )).alias("line"),
+    )
+    return own.unionByName(broken).unionByName(ties)
+
+
+def vector_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as typed JSON lists; label 0 lacks the structure vector."""
+    nodes = vector_nodes(spark, sf_dir)
+    wrapped = F.struct(
+        F.lit("List").alias("type"),
+        F.transform("text_vec", lambda x: F.struct(F.lit("Double").alias("type"), x.alias("value")))
+        .alias("value"),
+    )
+    bare = F.when(~F.startswith("app", F.lit("application_0__")), F.col("struct_vec"))
+    return nodes.select("pos", F.to_json(F.struct(
+        F.lit("node").alias("type"), F.col("node_id").alias("id"), "labels",
+        F.struct(F.col("props")["id"].alias("id"), wrapped.alias("text_embedding"),
+                 bare.alias("fastrp_embedding")).alias("properties"),
+    )).alias("line"))
+
+
+def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as JSON lines; one-event runs declare a size of 0."""
+    rows = records(spark, sf_dir)
+    subject = F.when(F.col("has_email"), F.struct(F.col("case_id").alias("subject")))
+    short = F.size("true_members") == 1
+    return rows.select("record_pos", F.to_json(F.struct(
+        "case_id", "unit_id", subject.alias("email"), "true_members", "pred", "confidence",
+        F.when(short, F.lit(0)).alias("gram_size"), F.col("declared_size").alias("size"),
+    )).alias("line"))
