@@ -582,7 +582,7 @@ def predictions_echo(spark, sf_dir):
 @query
 def graph_json_scan(spark, sf_dir):
     """The test graph written as dump lines, some of them broken, and read back."""
-    parsed = materialise(graph_dump.parse(T.dump_lines(spark, sf_dir)), "parsed")
+    parsed = graph_dump.parse(T.dump_lines(spark, sf_dir))
     nodes = graph.node_table(graph_dump.merge_copies(graph_dump.node_copies(parsed)))
     return nodes.select(
         "node_id", "label", "stable_id", "app_id", text.format_props(F.col("props")).alias("props")
