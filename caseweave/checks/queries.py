@@ -132,12 +132,13 @@ def confusion_labels(spark, sf_dir):
 
 @query
 def confusion_matrix_dense(spark, sf_dir):
-    return scoring.dense_matrix(confusion_cells(spark, sf_dir))
+    return scoring.dense_matrix(materialise(confusion_cells(spark, sf_dir), "cells"))
 
 
 @query
 def confusion_matrix_sparse(spark, sf_dir):
-    return scoring.sparse_matrix(scoring.dense_matrix(confusion_cells(spark, sf_dir)))
+    cells = materialise(confusion_cells(spark, sf_dir), "cells")
+    return scoring.sparse_matrix(scoring.dense_matrix(cells))
 
 
 @query
@@ -166,6 +167,10 @@ def category_mix(spark, sf_dir):
 
 # --- case graph ---------------------------------------------------------------------
 
+def _all_cases(nodes: DataFrame) -> DataFrame:
+    return nodes.where("app_id is not null").select(F.col("app_id").alias("asked")).distinct()
+
+
 class Graph:
     """The test graph with its adjacency written once per query."""
 
@@ -179,12 +184,9 @@ class Graph:
         self.adjacency = materialise(graph.adjacency(self.nodes, self.edges), "adjacency")
         return self
 
-    def all_cases(self) -> DataFrame:
-        asked = self.nodes.where("app_id is not null").select(F.col("app_id").alias("asked"))
-        return asked.distinct()
-
     def around(self, hops: int) -> DataFrame:
-        seeds = walk.case_seeds(graph.resolve(self.all_cases(), self.nodes), self.adjacency)
+        resolved = graph.resolve(_all_cases(self.nodes), self.nodes)
+        seeds = walk.case_seeds(resolved, self.adjacency)
         return walk.neighbourhood(seeds, self.nodes, self.adjacency, hops)
 
 
@@ -258,13 +260,8 @@ def induced_edges(spark, sf_dir):
 
 
 def _lines(spark: SparkSession, sf_dir: str, hops: int) -> DataFrame:
-    g = Graph(spark, sf_dir).walk_tables()
-    members = walk.without_bare_cases(
-        materialise(g.around(hops), "members"), g.nodes, g.adjacency
-    )
-    return render.subgraph_lines(
-        members, g.nodes, render.masked_edges(g.edges, g.nodes), "asked", this_email=True
-    )
+    g = _case_graph(spark, sf_dir)
+    return g.lines(g.application_members(_all_cases(g.nodes), hops), "asked", this_email=True)
 
 
 @query

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from caseweave.fixed import RENDER_CLIP, RENDER_KEYS
 
+# All characters Unicode calls white space, plus the four ASCII separators.
+WHITESPACE = "".join(map(chr, [
+    *range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]))
+
 
 def base_case(case_id: Column) -> Column:
     """Part of an occurrence id shared by all occurrences of one case."""
@@ -15,19 +21,21 @@ def base_case(case_id: Column) -> Column:
 
 def span_index(stable_id: Column) -> Column:
     """Trailing ``__s<n>`` of an id, 0 when there is none."""
-    digits = F.regexp_extract(stable_id, r"__s(\d+)$", 1)
-    return F.coalesce(F.nullif(digits, F.lit("")).cast("long"), F.lit(0).cast("long"))
+    # the leading zero makes "no digits" a number: a failing cast is caught, but slow
+    digits = F.concat(F.lit("0"), F.regexp_extract(stable_id, r"__s(\d+)$", 1))
+    return F.coalesce(digits.try_cast("long"), F.lit(0).cast("long"))
 
 
 def strip(text: Column) -> Column:
-    """Trim every kind of whitespace; ``trim`` takes spaces only."""
-    return F.regexp_replace(text, r"^[\s \u0085]+|[\s \u0085]+$", "")
+    """Trim every kind of whitespace; plain ``trim`` takes spaces only."""
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def clip(text: Column, limit: int) -> Column:
-    return F.when(
-        F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("…"))
-    ).otherwise(text)
+    # every operand is always evaluated, so the text is computed once per row
+    return F.concat(
+        F.left(text, F.lit(limit)), F.repeat(F.lit("…"), (F.length(text) > limit).cast("int"))
+    )
 
 
 def _present(props: Column, key: str) -> Column:
@@ -69,7 +77,8 @@ def objects_list(pipe_objects: Column) -> Column:
 
 def strip_timeline_header(timeline: Column) -> Column:
     """Drop the generator's instruction lines and the blank lines at both ends."""
-    lines = F.split(timeline, r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]")
+    # every line boundary of Unicode text
+    lines = F.split(timeline, r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]")
     kept = F.filter(
         lines,
         lambda x: ~F.contains(x, F.lit("use BOTH sides"))

@@ -140,12 +140,15 @@ def without_bare_cases(
     return members.join(bare, [key, "node_id"], "left_anti").select(key, "node_id")
 
 
-def induced_edges(members: DataFrame, edges: DataFrame, key: str = "asked") -> DataFrame:
+def induced_edges(
+    members: DataFrame, edges: DataFrame, key: str = "asked", tag: str | None = None
+) -> DataFrame:
     """Directed edges with both ends in the same set: (key, src, rel, dst).
 
     Each edge is looked up from the end that is in fewer sets. A hub that is in
     very many sets and has very many edges would otherwise pair every set with
-    every edge before the second end is checked.
+    every edge before the second end is checked. With *tag*, a column of
+    *members*, the ends' tags come along as ``src_tag`` and ``dst_tag``.
     """
     spread = members.groupBy("node_id").agg(F.count("*").alias("n"))
     sized = (
@@ -155,15 +158,22 @@ def induced_edges(members: DataFrame, edges: DataFrame, key: str = "asked") -> D
     )
     from_src = F.col("n_src") <= F.col("n_dst")
     keyed = sized.select(
-        "src", "rel", "dst",
+        "src", "rel", "dst", from_src.alias("from_src"),
         F.when(from_src, F.col("src")).otherwise(F.col("dst")).alias("node_id"),
         F.when(from_src, F.col("dst")).otherwise(F.col("src")).alias("other"),
     )
-    return (
-        members.select(key, "node_id")
+    near, far = ([F.col(tag).alias(n)] if tag else [] for n in ("near_tag", "far_tag"))
+    tied = (
+        members.select(key, "node_id", *near)
         .join(keyed, "node_id")
-        .join(members.select(key, F.col("node_id").alias("other")), [key, "other"], "left_semi")
-        .select(key, "src", "rel", "dst")
+        .join(members.select(key, F.col("node_id").alias("other"), *far), [key, "other"])
+    )
+    if not tag:
+        return tied.select(key, "src", "rel", "dst")
+    return tied.select(
+        key, "src", "rel", "dst",
+        F.when(F.col("from_src"), F.col("near_tag")).otherwise(F.col("far_tag")).alias("src_tag"),
+        F.when(F.col("from_src"), F.col("far_tag")).otherwise(F.col("near_tag")).alias("dst_tag"),
     )
 
 

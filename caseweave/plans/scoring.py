@@ -156,6 +156,7 @@ def dense_matrix(cells: DataFrame) -> DataFrame:
     """
     labels = (
         confusion_label_list(cells)
+        .limit(MAX_LABELS + 1)   # one more than allowed is enough to refuse
         .agg(F.sort_array(F.collect_set("label")).alias("labels"))
         .select(
             F.when(

@@ -133,7 +133,8 @@ def drawn(spark, dump, items, ids, mask=True, this_email=False):
     table = graph.node_table(nodes)
     members = spark.createDataFrame([("k", i) for i in ids], "key string, node_id string")
     lines = render.subgraph_lines(
-        members, table, render.masked_edges(edges, table, mask), "key", this_email
+        members, render.render_table(table), render.masked_edges(edges, table, mask), "key",
+        this_email,
     )
     return render.subgraph_text(lines, "key").first().text
 
