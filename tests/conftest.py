@@ -28,19 +28,19 @@ def occurrence(n, app, vector):
     """One case: case node <- cluster -> decision -> rationale."""
     vectors = {"text_embedding": vector, "fastrp_embedding": vector}
     return [
-        node(f"pi{n}", "ProcessInstance", id=app, external_system_id=app, name="Bank loan"),
+        node(f"pi{n}", "ProcessInstance", id=app, external_system_id=app, name="Permit"),
         node(f"cl{n}", "ActivityCluster", id=f"cluster_{app}"),
-        node(f"dec{n}", "DecisionNode", id=f"dec_{n}", text="offer returned", **vectors),
-        node(f"rat{n}", "RationaleNode", id=f"rat_{n}", text="being checked", **vectors),
+        node(f"dec{n}", "DecisionNode", id=f"dec_{n}", text="draft came back", **vectors),
+        node(f"rat{n}", "RationaleNode", id=f"rat_{n}", text="papers under review", **vectors),
         tie(f"cl{n}", "part_of", f"pi{n}"),
         tie(f"cl{n}", "has_decision", f"dec{n}"),
         tie(f"dec{n}", "justified_by", f"rat{n}"),
     ]
 
 
-CURRENT = "application_1__3f9c2d18b04a"
-SIBLING = "application_1__b71e0a4c9d52"
-UNRELATED = "application_2__c04d7f1a6e83"
+CURRENT = "application_1__t1a"
+SIBLING = "application_1__t2b"
+UNRELATED = "application_2__t3c"
 
 
 @pytest.fixture(scope="session")

@@ -117,11 +117,11 @@ def test_coverage(spark, three):
 
 def case_with_actor():
     return [
-        node("e1", "EvidenceNode", id="ev_mail1__s1", text="I created the offer."),
-        node("ac1", "ActivityCluster", id="cluster_app1"),
-        node("p1", "ProcessInstance", id="app1", name="Bank loan application"),
+        node("e1", "EvidenceNode", id="ev_note7__s1", text="The draft went out."),
+        node("ac1", "ActivityCluster", id="cluster_7"),
+        node("p1", "ProcessInstance", id="app1", name="Permit request"),
         node("d1", "DecisionNode", name="Approve"),
-        node("a1", "Actor", name="Ada Lovelace", actor_type="Person"),
+        node("a1", "Actor", name="Mara Quist", actor_type="Clerk"),
         tie("ac1", "part_of", "p1"), tie("a1", "prepared", "ac1"), tie("a1", "completed", "ac1"),
         tie("a1", "produced_evidence", "e1"), tie("ac1", "produced", "e1"),
         tie("ac1", "has_decision", "d1"), tie("d1", "acted_on", "ac1"), tie("d1", "supported_by", "e1"),
@@ -142,7 +142,7 @@ def drawn(spark, dump, items, ids, mask=True, this_email=False):
 def test_two_nodes_exact_text(spark, dump):
     items = [i for i in case_with_actor() if i.get("id") in ("e1", "d1") or i.get("label") == "supported_by"]
     assert drawn(spark, dump, items, ["e1", "d1"], this_email=True) == (
-        'Node:\nE1 EvidenceNode("I created the offer.", this email, span=1)\n'
+        'Node:\nE1 EvidenceNode("The draft went out.", this email, span=1)\n'
         "D1 DecisionNode(Approve)\n\nRelationships:\nD1 is supported_by E1"
     )
 
@@ -151,7 +151,7 @@ def test_masking_collapses_verbs_and_leaves_the_rest(spark, dump):
     ids = ["e1", "ac1", "p1", "d1", "a1"]
     masked = drawn(spark, dump, case_with_actor(), ids).split("Relationships:\n")[1].split("\n")
     plain = drawn(spark, dump, case_with_actor(), ids, mask=False)
-    assert "AC1 ActivityCluster(no details)\nP1 ProcessInstance(Bank loan application)" in plain
+    assert "AC1 ActivityCluster(no details)\nP1 ProcessInstance(Permit request)" in plain
     assert [x for x in masked if x.startswith("A1")] == [
         "A1 is linked_to AC1", "A1 is produced_evidence E1"
     ]
@@ -231,9 +231,9 @@ def test_similar_text(spark, three):
     assert text == (
         "Top 1 decisions similar to dec_1 (hybrid score = 0.50*semantic + 0.50*structural):\n\n"
         f"1. [dec_3] score=0.600 (semantic=0.600, structural=0.600) application={UNRELATED}\n"
-        '   text: "offer returned"\n   neighborhood (<= 1 hop(s)):\n   Node:\n'
+        '   text: "draft came back"\n   neighborhood (<= 1 hop(s)):\n   Node:\n'
         "   AC1 ActivityCluster(no details)\n"
-        '   D1 DecisionNode("offer returned")\n   R1 RationaleNode("being checked")\n   \n'
+        '   D1 DecisionNode("draft came back")\n   R1 RationaleNode("papers under review")\n   \n'
         "   Relationships:\n   AC1 is has_decision D1\n   D1 is justified_by R1"
     )
 
@@ -245,4 +245,4 @@ def test_seed_lists(spark, three):
 
 
 def test_alias_fanout(three):
-    assert rows(graph.alias_fanout(three.nodes), "alias", "n_cases") == [("Bank loan", 3)]
+    assert rows(graph.alias_fanout(three.nodes), "alias", "n_cases") == [("Permit", 3)]

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 
 class Catalog:
-    text = "- A_Accepted: application accepted\n- O_Created: offer record exists"
-    canonical = {"a_accepted": "A_Accepted", "o_created": "O_Created"}
+    text = "- P_Filed: a permit is filed\n- P_Granted: a permit is granted"
+    canonical = {"p_filed": "P_Filed", "p_granted": "P_Granted"}
 
 
 TIMELINE = (
     "OBSERVED CASE TIMELINE (offline): Events are given - use BOTH sides.\n\n"
-    "- 2016-03-10 | A_Submitted | objects: app1\n"
+    "- 2021-05-02 | P_Asked | objects: file9\n"
     ">>> THIS hidden email TO RECONSTRUCT (activities unknown) <<<\n"
-    "- 2016-03-18 | O_Accepted | objects: app1\n"
+    "- 2021-05-09 | P_Closed | objects: file9\n"
 )
 SCHEMA = (
     "record_pos int, graph_key string, case_id string, email_uid string, has_email boolean, "
@@ -28,7 +28,7 @@ def records(spark, *rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def one(spark, timeline=TIMELINE, mail=("Update", "I accepted {{body}}.", "ada", "app1| |x ")):
+def one(spark, timeline=TIMELINE, mail=("Update", "Granted {{body}} today.", "mara", "file9| |x ")):
     return records(spark, (0, "k", None, "e1", mail is not None, mail, timeline))
 
 
@@ -38,14 +38,14 @@ def user(df, **options):
 
 def test_header_is_stripped(spark):
     got = spark.range(1).select(text.strip_timeline_header(F.lit(TIMELINE))).first()[0]
-    assert got.startswith("- 2016-03-10 | A_Submitted") and ">>> THIS hidden email" in got
-    assert "use BOTH sides" not in got and got.endswith("app1")
+    assert got.startswith("- 2021-05-02 | P_Asked") and ">>> THIS hidden email" in got
+    assert "use BOTH sides" not in got and got.endswith("file9")
 
 
 def test_blocks_follow_the_arm(spark):
     both = user(one(spark))
     assert "=== EMAIL ===" in both and "=== OCEL CONTEXT" in both
-    assert "Objects: app1, x\n" in both and "I accepted {{body}}." in both
+    assert "Objects: file9, x\n" in both and "Granted {{body}} today." in both
     assert "=== EMAIL ===" not in user(one(spark), use_email=False)
     assert "=== OCEL CONTEXT" not in user(one(spark), use_timeline=False)
     assert "=== OCEL CONTEXT" not in user(one(spark, timeline=" \n"))
@@ -93,12 +93,12 @@ def test_graph_prompt(spark):
 
 
 ANSWERS = [
-    ('{"activities": ["a_accepted ", "O_Created", "x", "O_CREATED"], "confidence": "0.5"}', 3, 0.5, None),
-    ('```json\n{"activities": "A_Accepted", "confidence": null}\n```\nbye', 1, 0.0, None),
-    ('Sure: {"activities": ["A_Accepted"]} ok', 0, 0.0, "no_json"),
-    ('["A_Accepted"]', 0, 0.0, "not_an_object"),
+    ('{"activities": ["p_filed ", "P_Granted", "x", "P_GRANTED"], "confidence": "0.5"}', 3, 0.5, None),
+    ('```json\n{"activities": "P_Filed", "confidence": null}\n```\nbye', 1, 0.0, None),
+    ('Sure: {"activities": ["P_Filed"]} ok', 0, 0.0, "no_json"),
+    ('["P_Filed"]', 0, 0.0, "not_an_object"),
     ('{"activities": null}', 0, 0.0, "bad_activities"),
-    ('{"activities": ["A_Accepted"], "confidence": "high"}', 0, 0.0, "bad_confidence"),
+    ('{"activities": ["P_Filed"], "confidence": "high"}', 0, 0.0, "bad_confidence"),
     ('{"confidence": 0.25}', 0, 0.25, None),
 ]
 
@@ -111,15 +111,15 @@ def parsed(spark, **options):
 def test_plain_answers(spark):
     for (raw, n, confidence, error), r in zip(ANSWERS, parsed(spark)):
         assert (len(r.pred), r.confidence, r.error) == (n, confidence, error), raw
-    assert parsed(spark)[0].pred == ["A_Accepted", "O_Created", "O_Created"]
-    assert parsed(spark, single=True)[0].pred == ["A_Accepted"]
-    assert parsed(spark, max_activities=2)[0].pred == ["A_Accepted", "O_Created"]
+    assert parsed(spark)[0].pred == ["P_Filed", "P_Granted", "P_Granted"]
+    assert parsed(spark, single=True)[0].pred == ["P_Filed"]
+    assert parsed(spark, max_activities=2)[0].pred == ["P_Filed", "P_Granted"]
 
 
 def test_agent_answers_are_read_leniently(spark):
     got = parsed(spark, agent=True)
     assert [r.error for r in got] == [None, None, None, "no_json", None, None, None]
-    assert got[2].pred == ["A_Accepted"] and got[5].confidence == 0.0 and got[5].pred == ["A_Accepted"]
+    assert got[2].pred == ["P_Filed"] and got[5].confidence == 0.0 and got[5].pred == ["P_Filed"]
 
 
 def test_failure_gate(spark):
