@@ -516,7 +516,7 @@ def prompt_table_graph(spark, sf_dir):
                     F.lit("\n")).alias("observed_timeline"),
     )
     asked = records.select(F.col("graph_key").alias("asked"))
-    texts = g.application_texts(asked, hops=1, this_email=True).select("asked", "text")
+    texts = g.application_texts(asked, hops=1, this_email=True)
     return prompts.graph_prompts(
         records, T.FixedCatalog(), texts, g.seed_lists(asked, hops=2)
     ).drop("system")

@@ -184,8 +184,9 @@ def graph_prompts(
 ) -> DataFrame:
     """(record_pos, application_id, system, user) of the graph arm.
 
-    *subgraphs* is (asked, text) and *seeds* (asked, decisions, rationales) as
-    joined lists; a record whose application is unknown says so.
+    *subgraphs* is (asked, status, text) and *seeds* (asked, decisions, rationales)
+    as joined lists. A record whose application is unknown says so; one whose
+    subgraph is too long to be a single text has no prompt (``user`` is NULL).
     """
     app = F.coalesce(F.nullif("graph_key", F.lit("")), "case_id", F.lit(""))
     timeline = timeline_text(F.col("observed_timeline"), use_timeline, _name(records))
@@ -207,8 +208,10 @@ def graph_prompts(
     ) if use_tools else F.lit("")
     graph = F.concat(
         F.lit("\n\nThe case as a graph. Evidence marked span=<n> is the mail, in reading order.\n"),
-        F.coalesce("text", F.concat(F.lit("No application "), F.col("asked"),
-                                    F.lit(" is in the graph."))),
+        F.when(
+            F.coalesce("status", F.lit("unknown_id")) == "unknown_id",
+            F.concat(F.lit("No application "), F.col("asked"), F.lit(" is in the graph.")),
+        ).otherwise(F.col("text")),
     )
     log = _block(
         strip(F.col("timeline")) != "", f"\n\n{TIMELINE_HEADING}\n{TIMELINE_NOTE}\n", F.col("timeline")

@@ -81,12 +81,17 @@ def test_equal_prompts_are_sent_once_and_failures_not_shared(spark):
 
 
 def test_graph_prompt(spark):
-    df = records(spark, (0, "app", None, None, True, None, TIMELINE), (1, "", "none", None, True, None, ""))
-    texts = spark.createDataFrame([("app", "THE GRAPH")], "asked string, text string")
+    df = records(spark, (0, "app", None, None, True, None, TIMELINE), (1, "", "none", None, True, None, ""),
+                 (2, "huge", None, None, True, None, ""))
+    texts = spark.createDataFrame(
+        [("app", "ok", "THE GRAPH"), ("huge", "in_parts", None)],
+        "asked string, status string, text string",
+    )
     seeds = spark.createDataFrame([("app", "dec_1", "")], "asked string, decisions string, rationales string")
     got = prompts.graph_prompts(df, Catalog(), texts, seeds).orderBy("record_pos").collect()
     assert "THE GRAPH" in got[0].user and "- decisions: dec_1\n- rationales: (none)" in got[0].user
     assert "No application none is in the graph." in got[1].user and "OCEL CONTEXT" not in got[1].user
+    assert got[2].user is None
     assert "linked_to" in got[0].system and "prepared" not in got[0].system
     plain = prompts.graph_prompts(df, Catalog(), texts, seeds, use_tools=False, mask=False).first()
     assert "Seed node ids" not in plain.user and "signed_off" in plain.system
