@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from caseweave.runtime import materialise, work_dir
 
 __all__ = [
-    "blank_out", "bind", "files_dir", "load", "materialise", "running_total", "stored",
-    "words_of", "work_dir",
+    "BLANKS", "bind", "files_dir", "load", "materialise", "running_total", "stored", "words_of",
+    "work_dir",
 ]
 
-OTHER_BLANKS = "\t\n\v\f\r"
+BLANKS = " \t\n\v\f\r"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,16 +38,9 @@ def files_dir(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def blank_out(text: Column) -> Column:
-    """*text* with each of the other five white-space characters as a space."""
-    for c in OTHER_BLANKS:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
-
-
 def words_of(text: Column) -> Column:
     """The words of *text* in order; null gives null."""
-    return F.array_remove(F.split(blank_out(text), " "), "")
+    return F.array_remove(F.split(text, r"[\t-\r ]+"), "")
 
 
 def bind(value: Column, body) -> Column:

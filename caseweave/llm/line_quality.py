@@ -1,13 +1,13 @@
 """Quality rules: lines that too many documents of a host share are removed.
 
 Only DataFrame functions run here. A document is a row; its host is a column.
-Lines are normalised (ASCII and other letters in lower case, runs of digits as
-``0``, words joined by single spaces) and hashed to 64 bits. For each host the
+Lines are normalised (white space at both ends dropped, letters in lower case)
+and hashed to 64 bits. For each host the
 number of *distinct texts* that hold a line is counted, so that copies of one
 document make none of its lines common. A line is over the limit when more than
 ``max_share`` of the host's distinct texts hold it and at least ``min_texts``
 do. A document is depleted, and rejected, when the lines over the limit hold
-more than ``max_removed`` of its words.
+more than ``max_removed`` of the characters of its lines.
 
 Defined cases: a null text has no words, counts zero everywhere and fails the
 base rules; an empty or blank text likewise. A null host is a host of its own.
@@ -20,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm.common import bind, blank_out, load, materialise, words_of
+from caseweave.llm.common import BLANKS, bind, load, materialise, words_of
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
 MIN_TEXTS = 10
@@ -33,18 +33,16 @@ SALTS = 16
 
 
 def symbol_count(text: Column) -> Column:
-    bare = text
-    for c in SYMBOLS:
-        bare = F.replace(bare, F.lit(c), F.lit(""))
-    return F.length(text) - F.length(bare)
+    return F.size(F.split(text, SYMBOLS)) - 1
 
 
 def repeated_words(words: Column) -> Column:
     """Number of words inside 3-word windows that the text holds at least twice.
 
-    Windows are compared by a 64-bit hash of their three words. Where any two
-    are equal they are sorted with their places, and equal neighbours tell the
-    repeated ones.
+    Windows are compared by a 64-bit hash of their three words. Only where any
+    two are equal the hashes are sorted, and equal neighbours tell the repeated
+    ones. Their places are then found by look-up in the list of repeated hashes
+    while that is short, else by sorting hashes with places; both give the same.
     """
 
     def windows(w: Column) -> Column:
@@ -53,30 +51,50 @@ def repeated_words(words: Column) -> Column:
             lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)),
         )
 
-    def twins(s: Column) -> Column:
-        def like(x: Column, i: Column) -> Column:
+    def covered(places: Column) -> Column:
+        return F.size(
+            F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2))))
+        )
+
+    def placed(h: Column) -> Column:
+        return F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+
+    def by_sorting(h: Column) -> Column:
+        def like(s: Column, x: Column, i: Column) -> Column:
             return F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
 
-        same = F.filter(s, lambda x, i: like(x, i - 1) | like(x, i + 1))
-        places = F.transform(same, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
-        return F.size(F.array_distinct(F.flatten(places)))
+        return bind(
+            F.sort_array(placed(h)),
+            lambda s: covered(
+                F.filter(s, lambda x, i: like(s, x, i - 1) | like(s, x, i + 1))["i"]
+            ),
+        )
+
+    def by_look_up(h: Column, twice: Column) -> Column:
+        return covered(F.filter(placed(h), lambda x: F.array_contains(twice, x["h"]))["i"])
 
-    def covered(h: Column) -> Column:
-        placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+    def counted(h: Column) -> Column:
+        twice = bind(
+            F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1)))
+        )
         return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(
-            bind(F.sort_array(placed), twins)
+            bind(
+                twice,
+                lambda t: F.when(F.size(t) <= 64, by_look_up(h, t)).otherwise(by_sorting(h)),
+            )
         )
 
-    return bind(bind(words, windows), covered)
+    return bind(bind(words, windows), counted)
+
+
+def _trimmed(x: Column) -> Column:
+    return F.trim(x, F.lit(BLANKS))
 
 
 def _line(x: Column) -> Column:
-    """Hash and number of words of one line after normalising."""
-    plain = F.regexp_replace(F.lower(x), "[0-9]+", "0")
-    return bind(
-        words_of(plain),
-        lambda w: F.struct(F.xxhash64(F.array_join(w, " ")).alias("h"), F.size(w).alias("n")),
-    )
+    """Hash and number of characters of one line after normalising."""
+    t = _trimmed(x)
+    return F.struct(F.xxhash64(F.lower(t)).alias("h"), F.length(t).alias("n"))
 
 
 def _measured(text: Column) -> Column:
@@ -91,7 +109,7 @@ def _measured(text: Column) -> Column:
 
 
 def _lined(text: Column) -> Column:
-    worded = F.filter(F.split(text, "\n"), lambda x: F.trim(blank_out(x)) != "")
+    worded = F.filter(F.split(text, "\n"), lambda x: F.length(_trimmed(x)) > 0)
     return bind(
         worded,
         lambda v: F.struct(
@@ -142,7 +160,7 @@ def judge(
     max_share: float = MAX_SHARE,
     max_removed: float = MAX_REMOVED,
 ) -> DataFrame:
-    """Carried columns, base measures, ``n_removed_words``, ``common`` (hashes of the document's
+    """Carried columns, base measures, ``n_removed_chars``, ``common`` (hashes of the document's
     lines over the limit), ``base_failed`` and ``kept`` for each document."""
     carried = carry or docs.columns
     rows = measure(docs, text, host, carried)
@@ -154,18 +172,21 @@ def judge(
         .join(limits, ["_host", "h", "_salt"])
         .groupBy("_row")
         .agg(
-            F.sum("n").cast("long").alias("n_removed_words"),
+            F.sum("n").cast("long").alias("n_removed_chars"),
             F.collect_set("h").alias("common"),
         )
     )
     words, repeats = F.col("_words.n_words"), F.col("_words.n_repeat_words")
     failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEATED * words)
-    removed = F.coalesce("n_removed_words", F.lit(0).cast("long"))
+    chars = F.aggregate(
+        F.col("_lines.lines"), F.lit(0).cast("long"), lambda total, x: total + x["n"]
+    )
+    removed = F.coalesce("n_removed_chars", F.lit(0).cast("long"))
     return rows.join(marked, "_row", "left").select(
         "_carried.*", "_words.n_words", "_words.word_chars", "n_symbols", "_lines.n_dup_lines",
-        "_words.n_repeat_words", removed.alias("n_removed_words"), "common",
+        "_words.n_repeat_words", removed.alias("n_removed_chars"), "common",
         failed.alias("base_failed"),
-        (~failed & (removed <= max_removed * words)).alias("kept"),
+        (~failed & (removed <= max_removed * chars)).alias("kept"),
     )
 
 
@@ -180,7 +201,7 @@ def without_common_lines(text: Column, common: Column) -> Column:
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(load(spark, sf_dir, "documents"), carry=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "n_removed_words", "base_failed", "kept",
+        "n_removed_chars", "base_failed", "kept",
     )
 
 
@@ -188,25 +209,26 @@ OP3_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
 l AS (SELECT r, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
-lw AS (SELECT r, source, t, line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lw AS (SELECT r, source, t, line, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM l
+       WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY r),
-norm AS (SELECT r, source, t, list_filter(string_split_regex(regexp_replace(lower(line), '[0-9]+', '0', 'g'),
-           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM lw),
-key AS (SELECT r, source, t, array_to_string(ws, ' ') AS k, len(ws) AS n FROM norm),
+key AS (SELECT r, source, t, lower(k) AS k, length(k) AS n FROM lw),
 held AS (SELECT source, k, count(DISTINCT t) AS n FROM key GROUP BY ALL),
 host AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY ALL),
 over_limit AS (SELECT held.source, held.k FROM held JOIN host ON held.source IS NOT DISTINCT FROM host.source
            WHERE held.n >= 10 AND held.n > host.n * CAST(0.1 AS DOUBLE)),
 gone AS (SELECT key.r, sum(key.n) AS n FROM key JOIN over_limit o
            ON key.source IS NOT DISTINCT FROM o.source AND key.k = o.k GROUP BY key.r),
+chars AS (SELECT r, sum(n) AS n FROM key GROUP BY r),
 pos AS (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
 win AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS x FROM pos),
 twin AS (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM win),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twin WHERE c > 1) GROUP BY r),
 m AS (SELECT d.doc_id, len(w.ws) AS n_words, CAST(coalesce(list_sum(list_transform(w.ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
-        coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
-      FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)),
+        coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_chars
+, coalesce(chars.n, 0) AS n_chars
+      FROM d JOIN w USING (r) LEFT JOIN chars USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT *, NOT base_failed AND n_removed_words <= 0.5 * n_words AS kept FROM f
+SELECT * EXCLUDE (n_chars), NOT base_failed AND n_removed_chars <= 0.5 * n_chars AS kept FROM f
 """

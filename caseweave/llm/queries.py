@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from caseweave.llm import line_quality, mixing
+from caseweave.llm import line_quality, mixing, packing, token_files
 
 QUERIES = {
     "op3_line_frequency": line_quality.op3_line_frequency,
     "op6_multinomial_mix": mixing.op6_multinomial_mix,
+    "op8_seekable_ids": token_files.op8_seekable_ids,
+    "op10_min_slack": packing.op10_min_slack,
 }
 
 ORACLES = {
