@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from caseweave.runtime import materialise, work_dir
 
 __all__ = [
-    "BLANKS", "bind", "files_dir", "load", "materialise", "running_total", "stored", "words_of",
+    "BLANKS", "bind", "files_dir", "filesystem", "load", "materialise", "running_total", "stored", "words_of",
     "work_dir",
 ]
 
@@ -38,6 +38,15 @@ def files_dir(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def filesystem(uri: str):
+    """(file system, path) of a folder; a plain path is a local one."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (
+        fs.LocalFileSystem(), uri
+    )
+
+
 def words_of(text: Column) -> Column:
     """The words of *text* in order; null gives null."""
     return F.array_remove(F.split(text, r"[\t-\r ]+"), "")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from caseweave.llm import line_quality, mixing, packing, token_files
+from caseweave.llm import line_quality, mixing, packing, sharding, token_files, warc
 
 QUERIES = {
     "op3_line_frequency": line_quality.op3_line_frequency,
+    "op5_karmarkar_karp": sharding.op5_karmarkar_karp,
     "op6_multinomial_mix": mixing.op6_multinomial_mix,
     "op8_seekable_ids": token_files.op8_seekable_ids,
+    "op9_salvage": warc.op9_salvage,
     "op10_min_slack": packing.op10_min_slack,
 }
 

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseweave.llm.common import files_dir, load, materialise
+from caseweave.llm.common import files_dir, filesystem, load, materialise
 from caseweave.llm.tokens import as_bytes, batches, default_vocabulary, worker_encoder
 
 END_ID = 1
@@ -154,15 +154,6 @@ class Reader:
         return np.flatnonzero(match).tolist()
 
 
-def filesystem(uri: str):
-    """(file system, path) of a folder; a plain path is a local one."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (
-        fs.LocalFileSystem(), uri
-    )
-
-
 def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
           text: str = "text", end_id: int = END_ID) -> DataFrame:
     """Write files below *folder*; one row per file, in document order, itself written."""
