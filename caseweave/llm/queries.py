@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from caseweave.llm import line_quality, mixing, packing, sharding, token_files, warc
+from caseweave.llm import collisions, line_quality, mixing, packing, sharding, subword, token_files, warc
 
 QUERIES = {
+    "op1_collision_counting": collisions.op1_collision_counting,
+    "op2_subword_quality": subword.op2_subword_quality,
     "op3_line_frequency": line_quality.op3_line_frequency,
     "op5_karmarkar_karp": sharding.op5_karmarkar_karp,
     "op6_multinomial_mix": mixing.op6_multinomial_mix,
