@@ -9,7 +9,8 @@ up column by column. Three bounds keep the product small:
 * If the columns have one order for all, such sets share a column among the
   first ``n - ceil(0.8 n) + 1`` of each, so only that part of a row is
   multiplied; and a pair that meets there in too few columns cannot make up the
-  rest behind it (``least_common``).
+  rest behind it, as the part that ends earlier has all its common columns in
+  the other one.
 
 Columns come in the order of their hashes, those of many rows last. Which are
 those is counted in one pass over the first 40 % of all rows; the list that all
@@ -18,11 +19,13 @@ order only has to be one and the same.
 
 Columns are dealt into blocks by hash, rows of a block are multiplied in one
 task. A column that still holds more than ``CROWD`` rows (a large group of near
-copies) does not give all its pairs: its rows are compared with its first ones,
-and after linked rows have been found, only rows of the column that are not
-connected yet are paired. So a group of m near copies costs about m
-comparisons, and no link between unconnected rows is missed. Columns with very
-many rows are split over several blocks, each of which takes first rows of its own.
+copies) does not give all its pairs: its rows are compared with those that have
+the fewest columns of their own, which are the nearest to what the group has in
+common. After linked rows have been found, only rows of the column that are not
+connected yet are paired, and of these only such whose heavy columns can hold
+the overlap. So a group of m near copies costs about m comparisons, and no link
+between unconnected rows is missed. Columns with very many rows are split over
+several blocks, each of which takes first rows of its own.
 
 Pairs that pass are verified on the whole sets. N-grams are 64-bit hashes of
 their words, classes 128-bit hashes of their sets.
@@ -99,7 +102,8 @@ class Grams:
                 rolled = np.full(max(0, len(h) - n + 1), np.uint64(n))
                 for i in range(n):
                     rolled = rolled * MIX + h[i : i + len(rolled)]
-                out.append(np.unique(_scrambled(rolled)))
+                rolled = np.sort(_scrambled(rolled))
+                out.append(rolled[np.append(True, rolled[1:] != rolled[:-1])[: len(rolled)]])
         return out
 
 
@@ -113,46 +117,58 @@ def prefix_size(n: int) -> int:
     return n - -(-OVER * n // UNDER) + 1
 
 
-def least_overlap(n: int, m: int) -> int:
-    """Least overlap of sets of n and m that are similar enough."""
-    return -(-OVER * (n + m) // (OVER + UNDER))
-
-
-def least_common(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Least number of columns that the first parts of two similar sets share.
-
-    The first part that ends earlier has all its common columns in the other
-    first part, so its rest bounds what can be added; the larger rest is safe.
-    """
-    rest = np.maximum(-(-OVER * n // UNDER), -(-OVER * m // UNDER)) - 1
-    return np.maximum(1, -(-OVER * (n + m) // (OVER + UNDER)) - rest)
-
-
-def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).alias("t"))
-
-
 def described(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, n, class) per document, written; documents without n-grams have no class."""
+    """One pass over the texts, written: rows (d, n, class) per document, without class where it
+    has no n-grams, and rows (block, columns, rows) that count columns."""
+    blocks = _blocks(docs)
 
     def run(tables: Iterator):
         import pyarrow as pa
 
-        grams = Grams()
+        grams, seen = Grams(), set()
         for table in tables:
             texts, ids = as_bytes(table.column("t")), table.column("d")
             for a, b in batches(texts):
                 sets = grams.sets(texts[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([class_of(s) if len(s) else None for s in sets], pa.binary()),
-                    ],
-                    names=["d", "n", "class"],
+                names = [class_of(s) if len(s) else None for s in sets]
+                yield _batch(
+                    b - a, d=ids.slice(a, b - a), n=pa.array([len(s) for s in sets], pa.int64()),
+                    name=pa.array(names, pa.binary()),
                 )
+                first = []
+                for name, s in zip(names, sets):
+                    if name is not None and name not in seen:
+                        seen.add(name)
+                        first.append(s[: 2 * len(s) // 5 + 4])
+                if first:
+                    column, rows = np.unique(np.concatenate(first), return_counts=True)
+                    block = (column % np.uint64(blocks)).astype(np.int64)
+                    order = np.argsort(block, kind="stable")
+                    for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                        yield _batch(
+                            1, block=pa.array([block[part[0]]], pa.int32()),
+                            columns=pa.array([column[part].tobytes()], pa.binary()),
+                            rows=pa.array([rows[part].astype(np.int32).tobytes()], pa.binary()),
+                        )
+
+    def _batch(size: int, **given):
+        import pyarrow as pa
+
+        kinds = {"d": pa.int64(), "n": pa.int64(), "name": pa.binary(), "block": pa.int32(),
+                 "columns": pa.binary(), "rows": pa.binary()}
+        return pa.RecordBatch.from_arrays(
+            [given.get(c, pa.nulls(size, kind)) for c, kind in kinds.items()], names=list(kinds)
+        )
 
-    rows = _texts(docs, id_col, text).mapInArrow(run, "d long, n long, class binary")
-    return materialise(rows, "gram-classes")
+    kind = "d long, n long, name binary, block int, columns binary, rows binary"
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).alias("t"))
+    return materialise(
+        rows.mapInArrow(run, kind).withColumnRenamed("name", "class"), "gram-classes"
+    )
+
+
+def _blocks(docs: DataFrame) -> int:
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _new_sets(tables: Iterator) -> Iterator[list[tuple[bytes, np.ndarray]]]:
@@ -171,24 +187,9 @@ def _new_sets(tables: Iterator) -> Iterator[list[tuple[bytes, np.ndarray]]]:
                 yield fresh
 
 
-def heavy_columns(texts: DataFrame, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+def heavy_columns(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(column, rows), sorted by column: the columns of many rows, at most ``MOST_HEAVY``."""
 
-    def count(tables: Iterator):
-        import pyarrow as pa
-
-        for fresh in _new_sets(tables):
-            first = np.concatenate([s[: 2 * len(s) // 5 + 4] for _, s in fresh])
-            column, rows = np.unique(first, return_counts=True)
-            block = (column % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([block[part[0]]], pa.int32()),
-                    "columns": pa.array([column[part].tobytes()], pa.binary()),
-                    "rows": pa.array([rows[part].astype(np.int32).tobytes()], pa.binary()),
-                })
-
     def total(table):
         import pyarrow as pa
 
@@ -199,12 +200,12 @@ def heavy_columns(texts: DataFrame, blocks: int) -> tuple[np.ndarray, np.ndarray
         many = sums > HEAVY
         return pa.table({"column": names[many].view(np.int64), "rows": sums[many]})
 
-    counted = materialise(
-        texts.mapInArrow(count, "block int, columns binary, rows binary")
-        .groupBy("block").applyInArrow(total, "column long, rows long"),
+    totals = materialise(
+        counted.select("block", "columns", "rows").groupBy("block")
+        .applyInArrow(total, "column long, rows long"),
         "heavy-columns",
     )
-    found = counted.orderBy(F.desc("rows"), "column").limit(MOST_HEAVY).toArrow()
+    found = totals.orderBy(F.desc("rows"), "column").limit(MOST_HEAVY).toArrow()
     column = found.column("column").to_numpy().view(np.uint64)
     order = np.argsort(column)
     return column[order], found.column("rows").to_numpy()[order]
@@ -213,11 +214,13 @@ def heavy_columns(texts: DataFrame, blocks: int) -> tuple[np.ndarray, np.ndarray
 def product(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], blocks: int) -> DataFrame:
     """Pairs and crowded columns, written.
 
-    Rows are (a, b, n, m, common) for pairs of class numbers, with common null
-    for pairs of a crowded column, and (a, column) for rows of such a column.
+    Rows are (a, b, n, m, fa, fb, common) for pairs of class numbers, with common
+    null for pairs of a crowded column, and (a, n, fa, column, heavy) for rows of
+    such a column. fa and fb count the heavy columns of the two.
     """
     known = texts.sparkSession.sparkContext.broadcast(heavy)
-    entry = np.dtype([("column", "<u8"), ("who", "<i8"), ("n", "<i4"), ("wide", "?")])
+    entry = np.dtype([("column", "<u8"), ("who", "<i8"), ("n", "<i4"), ("light", "<i4"),
+                      ("heavy", "?"), ("split", "?")])
 
     def deal(tables: Iterator):
         import pyarrow as pa
@@ -227,19 +230,17 @@ def product(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], blocks: int)
             parts, blocks_of = [], []
             for name, s in fresh:
                 k = prefix_size(len(s))
-                if len(column):
-                    at = np.minimum(np.searchsorted(column, s), len(column) - 1)
-                    is_heavy = column[at] == s
-                    light, late = s[~is_heavy], at[is_heavy]
-                    first = light[:k]
-                    late = late[np.argsort(rows[late], kind="stable")][: k - len(first)]
-                    split = np.concatenate([np.zeros(len(first), np.int64), rows[late] // SPLIT])
-                    first = np.concatenate([first, column[late]])
-                else:
-                    first, split = s[:k], np.zeros(k, np.int64)
-                x = np.empty(len(first), entry)
+                at = np.minimum(np.searchsorted(column, s), max(0, len(column) - 1))
+                is_heavy = column[at] == s if len(column) else np.zeros(len(s), bool)
+                light, late = s[~is_heavy], at[is_heavy]
+                late = late[np.argsort(rows[late], kind="stable")][: max(0, k - len(light))]
+                first = np.concatenate([light[:k], column[late]])
+                split = np.zeros(len(first), np.int64)
+                split[len(first) - len(late) :] = rows[late] // SPLIT
                 who = np.frombuffer(name, "<i8", 1)[0]
-                x["column"], x["who"], x["n"], x["wide"] = first, who, len(s), split > 0
+                x = np.empty(len(first), entry)
+                x["column"], x["who"], x["n"], x["light"] = first, who, len(s), len(light)
+                x["heavy"], x["split"] = np.arange(len(first)) >= len(light), split > 0
                 parts.append(x)
                 blocks_of.append(
                     ((first + (who % (split + 1)).astype(np.uint64) * MIX) % np.uint64(blocks))
@@ -257,57 +258,65 @@ def product(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], blocks: int)
         import pyarrow as pa
 
         x = np.frombuffer(b"".join(table.column("entries").to_pylist()), entry)
-        x = x[np.lexsort((x["who"], x["column"]))]
-        if len(x):  # copies of a class from several tasks
-            new = (np.diff(x["column"].view(np.int64)) != 0) | (np.diff(x["who"]) != 0)
-            x = x[np.append(True, new)]
+        # in a column, rows with the fewest columns of their own come first: among near copies
+        # these are the ones nearest to what all have in common
+        x = x[np.lexsort((x["who"], x["light"], x["column"]))]
+        column = x["column"].view(np.int64)
+        # copies of a class from several tasks
+        x = x[np.append(True, (np.diff(column) != 0) | (np.diff(x["who"]) != 0))[: len(x)]]
         begins = np.append(True, np.diff(x["column"].view(np.int64)) != 0)[: len(x)]
         starts = np.flatnonzero(begins)
         sizes = np.diff(np.append(starts, len(x)))
         # a column that is split over blocks is not whole here, whatever its size
-        crowded = (sizes > CROWD) | x["wide"][starts]
-        a, b, crowd = [], [], []
+        crowded = (sizes > CROWD) | x["split"][starts]
+        a, b, star_a, star_b, crowd = [], [], [], [], []
         for m in range(2, CROWD + 1):
             s = starts[(sizes == m) & ~crowded]
             for i in range(m):
                 for j in range(i + 1, m):
                     a.append(s + i)
                     b.append(s + j)
-        star_a, star_b = [], []
         for s, m in zip(starts[crowded], sizes[crowded]):
             crowd.append(np.arange(s, s + m))
-            for p in range(PIVOTS):
-                star_a.append(np.full(max(0, m - p - 1), s + p))
+            for p in range(min(PIVOTS, m - 1)):
+                star_a.append(np.full(m - p - 1, s + p))
                 star_b.append(np.arange(s + p + 1, s + m))
+        kinds = pa.schema(
+            [(c, pa.int64()) for c in ("a", "b", "n", "m", "fa", "fb", "common", "column")]
+            + [("heavy", pa.bool_())]
+        )
 
         def pairs(a, b, counted):
             a = np.concatenate(a) if a else np.empty(0, int)
             b = np.concatenate(b) if b else np.empty(0, int)
-            n, m = x["n"][a].astype(np.int64), x["n"][b].astype(np.int64)
-            near = np.minimum(n, m) * UNDER >= np.maximum(n, m) * OVER
-            both = np.stack([x["who"][a[near]], x["who"][b[near]]], 1)
-            if not len(both):
-                return pa.table([[]] * 6, schema=kinds)
-            order = np.lexsort((both[:, 1], both[:, 0]))
-            both, n, m = both[order], n[near][order], m[near][order]
-            first = np.flatnonzero(np.append(True, (np.diff(both, axis=0) != 0).any(1)))
-            common = np.diff(np.append(first, len(both)))
+            near = np.minimum(x["n"][a], x["n"][b]) * np.int64(UNDER) >= (
+                np.maximum(x["n"][a], x["n"][b]) * np.int64(OVER)
+            )
+            swap = x["who"][a] > x["who"][b]
+            a, b = np.where(swap, b, a)[near], np.where(swap, a, b)[near]
+            order = np.lexsort((x["who"][b], x["who"][a]))
+            a, b = a[order], b[order]
+            new = np.append(True, (np.diff(x["who"][a]) != 0) | (np.diff(x["who"][b]) != 0))
+            first = np.flatnonzero(new[: len(a)])
+            common = np.diff(np.append(first, len(a)))
+            a, b = x[a[first]], x[b[first]]
+            none = pa.nulls(len(first), pa.int64())
+            columns = [a["who"], b["who"], a["n"], b["n"], a["n"] - a["light"], b["n"] - b["light"]]
             return pa.table(
-                [both[first, 0], both[first, 1], n[first], m[first],
-                 pa.array(common, pa.int64()) if counted else pa.nulls(len(first), pa.int64()),
-                 pa.nulls(len(first), pa.int64())], schema=kinds,
+                [pa.array(c.astype(np.int64)) for c in columns]
+                + [pa.array(common, pa.int64()) if counted else none, none,
+                   pa.nulls(len(first), pa.bool_())], schema=kinds,
             )
 
-        kinds = pa.schema([(c, pa.int64()) for c in ("a", "b", "n", "m", "common", "column")])
-        rows = np.concatenate(crowd) if crowd else np.empty(0, int)
-        none = pa.nulls(len(rows), pa.int64())
-        held = pa.table(
-            [x["who"][rows], none, pa.array(x["n"][rows], pa.int64()), none, none,
-             x["column"][rows].view(np.int64)], schema=kinds,
-        )
+        r = x[np.concatenate(crowd)] if crowd else x[:0]
+        none = pa.nulls(len(r), pa.int64())
+        columns = [r["who"], r["n"], r["n"] - r["light"], r["column"].view(np.int64)]
+        who, n, free, of = (pa.array(c.astype(np.int64)) for c in columns)
+        held = pa.table([who, none, n, none, free, none, none, of, pa.array(r["heavy"])], schema=kinds)
         return pa.concat_tables([pairs(a, b, True), pairs(star_a, star_b, False), held])
 
-    kind = "a long, b long, n long, m long, common long, column long"
+    kind = ("a long, b long, n long, m long, fa long, fb long, common long, column long, "
+            "heavy boolean")
     return materialise(
         texts.mapInArrow(deal, "block int, entries binary")
         .groupBy("block").applyInArrow(multiply, kind),
@@ -315,14 +324,13 @@ def product(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], blocks: int)
     )
 
 
-def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) as classes, written: pairs (a, b) of class numbers whose sets are similar enough."""
-    pairs = materialise(pairs.select("a", "b").distinct(), "gram-pairs")
-    wanted = pairs.select(F.col("a").alias("who")).union(pairs.select("b")).distinct()
+def gathered(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(who, class, grams) of the wanted class numbers, each class once, written."""
     some = wanted.limit(MOST_WANTED + 1).toArrow().column("who").to_numpy()
-    # beyond the bound no list is sent, and the join below drops what is not wanted
-    chosen = np.sort(some) if len(some) <= MOST_WANTED else None
-    listed = texts.sparkSession.sparkContext.broadcast(chosen)
+    # beyond the bound no list is sent, and all sets are kept
+    listed = texts.sparkSession.sparkContext.broadcast(
+        np.sort(some) if len(some) <= MOST_WANTED else None
+    )
 
     def gather(tables: Iterator):
         import pyarrow as pa
@@ -338,6 +346,13 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                 "grams": pa.array([fresh[i][1].tobytes() for i in rows], pa.binary()),
             })
 
+    rows = texts.mapInArrow(gather, "who long, class binary, grams binary")
+    return materialise(rows.dropDuplicates(["class"]), "gram-sets")
+
+
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b) as classes, written: pairs (a, b) of class numbers whose sets are similar enough."""
+
     def compare(batches_: Iterator):
         import pyarrow as pa
 
@@ -350,17 +365,19 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                 if both * UNDER >= OVER * (len(x) + len(y) - both):
                     a.append(ca)
                     b.append(cb)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    sets = materialise(
-        texts.mapInArrow(gather, "who long, class binary, grams binary")
-        .dropDuplicates(["class"]), "gram-sets"
-    )
+            yield pa.RecordBatch.from_pydict(
+                {"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())}
+            )
 
     def side(x: str) -> DataFrame:
-        return sets.select(F.col("who").alias(x), F.col("class").alias(f"c{x}"), F.col("grams").alias(f"g{x}"))
+        return sets.select(
+            F.col("who").alias(x), F.col("class").alias(f"c{x}"), F.col("grams").alias(f"g{x}")
+        )
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("ca", "cb", "ga", "gb")
+    both = (
+        pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+        .select("ca", "cb", "ga", "gb")
+    )
     return materialise(both.mapInArrow(compare, "a binary, b binary"), "gram-links")
 
 
@@ -391,65 +408,72 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
-def links(docs: DataFrame, described_docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def links(docs: DataFrame, described_docs: DataFrame, text: str = "text") -> DataFrame:
     """(a, b): links between classes that connect all that are similar enough."""
-    spark = docs.sparkSession
-    texts = _texts(docs, id_col, text).select("t")
+    texts = docs.select(F.col(text).alias("t"))
     entries = described_docs.agg(F.sum("n")).first()[0] or 0
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(least, math.ceil(entries / UNDER / BLOCK_ENTRIES))
-    made = product(texts, heavy_columns(texts, max(least, math.ceil(entries / 2 / BLOCK_ENTRIES))), blocks)
-    counted = (
-        made.where("common IS NOT NULL").groupBy("a", "b", "n", "m")
-        .agg(F.sum("common").alias("common"))
-        .where(_enough())
-        .select("a", "b")
+    blocks = max(_blocks(docs), math.ceil(entries / UNDER / BLOCK_ENTRIES))
+    heavy = heavy_columns(described_docs.where("block IS NOT NULL"))
+    made = product(texts, heavy, blocks)
+    ceiling = lambda n, over, under: F.ceil(n * over / under)
+    n, m, common = F.col("n"), F.col("m"), F.col("common")
+    needed = ceiling(n + m, OVER, OVER + UNDER)
+    rest = F.greatest(ceiling(n, OVER, UNDER), ceiling(m, OVER, UNDER)) - 1
+    free = F.least("fa", "fb")
+    pair = made.where("b IS NOT NULL").groupBy("a", "b", "n", "m", "fa", "fb").agg(
+        F.sum("common").alias("common"), F.max(F.col("common").isNull()).alias("star")
     )
-    stars = made.where("b IS NOT NULL AND common IS NULL").select("a", "b")
-    pairs = materialise(counted.union(stars).distinct(), "gram-candidates")
-    crowded = made.where("column IS NOT NULL").select(F.col("a").alias("who"), "column", "n")
-
-    # each class with the first it meets: connects most groups by one comparison a class
-    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    first = ends.groupBy("a").agg(F.min("b").alias("b"))
-    found = verified(texts, first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    labels = _labels(found)
+    # either the parts that were multiplied hold enough, or, where all light columns were among
+    # them, the heavy columns can hold what is missing
+    pairs = materialise(
+        pair.where(F.col("star") | (common >= needed - rest) | (common + free >= needed))
+        .select("a", "b", "fa", "fb", "n", "m"),
+        "gram-candidates",
+    )
+    crowded = made.where("column IS NOT NULL").select(F.col("a").alias("who"), "column", "n", "fa", "heavy")
+    ends = pairs.select(F.col("a").alias("who")).union(pairs.select("b")).union(crowded.select("who"))
+    sets = gathered(texts, ends.distinct())
 
-    # the first class of each connected group of a crowded column, with the first of the column
-    def grouped(labels: DataFrame) -> DataFrame:
-        own = F.lpad(F.hex("who"), 16, "0")
-        return crowded.join(labels, "who", "left").withColumn(
-            "label", F.coalesce(F.hex("label"), own)
-        )
+    # each class with the one it meets that has the fewest columns of its own
+    met = pairs.select("a", "b", (m - F.col("fb")).alias("own")).unionByName(
+        pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), (n - F.col("fa")).alias("own"))
+    )
+    first = met.groupBy("a").agg(F.min(F.struct("own", "b"))["b"].alias("b"))
+    found = verified(sets, first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    labels = _labels(found)
 
-    groups = grouped(labels).groupBy("column", "label").agg(F.min("who").alias("b"))
-    heads = groups.groupBy("column").agg(F.min("b").alias("a"))
-    between = groups.join(heads, "column").where("a <> b").select("a", "b")
-    found = found.union(verified(texts, _apart(pairs, labels).union(between)))
+    # the other pairs whose ends are still apart
+    found = found.union(verified(sets, _apart(pairs, labels)))
     labels = _labels(found)
 
-    # what is left: rows of a crowded column that are still apart
-    rows = materialise(grouped(labels), "gram-crowds")
-    mixed = rows.groupBy("column").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    rows = rows.join(mixed.select("column"), "column")
-    other = rows.select("column", F.col("who").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
-    rest = rows.join(other, "column").where(
+    # what is left: rows of a crowded column that are still apart. Such rows have no light column
+    # in common, or they were a pair above; so the heavy columns of both must hold enough
+    own = F.lpad(F.hex("who"), 16, "0")
+    rows = materialise(
+        crowded.join(labels, "who", "left")
+        .withColumn("label", F.coalesce(F.hex("label"), own))
+        .where(~F.col("heavy") | (F.col("fa") >= ceiling(n, OVER, UNDER))),
+        "gram-crowds",
+    )
+    mixed = rows.groupBy("column").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    rows = rows.join(mixed.where("x <> y").select("column"), "column")
+    other = rows.select(
+        "column", F.col("who").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"),
+        F.col("fa").alias("fb"),
+    )
+    apart = rows.join(other, "column").where(
         (F.col("label") < F.col("other"))
         & (UNDER * F.least("n", "m") >= OVER * F.greatest("n", "m"))
+        & (~F.col("heavy") | (free >= needed))
     ).select(F.col("who").alias("a"), "b")
-    return found.union(verified(texts, rest))
-
-
-def _enough():
-    """``least_common`` as a condition on columns n, m and common."""
-    rest = F.greatest(F.ceil(F.col("n") * OVER / UNDER), F.ceil(F.col("m") * OVER / UNDER)) - 1
-    return F.col("common") >= F.ceil((F.col("n") + F.col("m")) * OVER / (OVER + UNDER)) - rest
+    return found.union(verified(sets, apart))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id, n_shingles and component_id."""
-    rows = described(docs, id_col, text)
-    joined = components(links(docs, rows, id_col, text)).withColumnRenamed("node", "class")
+    told = described(docs, id_col, text)
+    rows = told.where("block IS NULL").select("d", "n", "class")
+    joined = components(links(docs, told, text)).withColumnRenamed("node", "class")
     held = rows.join(joined, "class", "left").select(
         "d", "n", F.coalesce("component", "class").alias("key")
     )
