@@ -13,9 +13,9 @@ up column by column. Three bounds keep the product small:
   the other one.
 
 Columns come in the order of their hashes, those of many rows last. Which are
-those is counted in one pass over the first 40 % of all rows; the list that all
-tasks get is bounded (``MOST_HEAVY``), and any list gives right results, as the
-order only has to be one and the same.
+those is counted for all columns, by a short form of their hashes, in one pass;
+the list that all tasks get is bounded (``MOST_HEAVY``), and any list gives right
+results, as the order only has to be one and the same.
 
 Columns are dealt into blocks by hash, rows of a block are multiplied in one
 task. A column that still holds more than ``CROWD`` rows (a large group of near
@@ -55,7 +55,7 @@ WORDS = 5
 #: Similarity 4 / 5 as two whole numbers.
 OVER, UNDER = 4, 5
 #: Rows of a column from which on it is ordered behind the others.
-HEAVY = 16
+HEAVY = 8
 #: Columns known as heavy in all tasks at most (the heaviest): 12 bytes each.
 MOST_HEAVY = 2_000_000
 #: Rows of a column up to which all its pairs are multiplied.
@@ -117,6 +117,13 @@ def prefix_size(n: int) -> int:
     return n - -(-OVER * n // UNDER) + 1
 
 
+def short(column: np.ndarray, blocks: int) -> np.ndarray:
+    """Block of a column and 32 further bits of it."""
+    return ((column % np.uint64(blocks)) << np.uint64(32)) | (
+        (column // np.uint64(blocks)) & np.uint64(0xFFFFFFFF)
+    )
+
+
 def described(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One pass over the texts, written: rows (d, n, class) per document, without class where it
     has no n-grams, and rows (block, columns, rows) that count columns."""
@@ -139,16 +146,18 @@ def described(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
                 for name, s in zip(names, sets):
                     if name is not None and name not in seen:
                         seen.add(name)
-                        first.append(s[: 2 * len(s) // 5 + 4])
+                        first.append(s)
                 if first:
-                    column, rows = np.unique(np.concatenate(first), return_counts=True)
-                    block = (column % np.uint64(blocks)).astype(np.int64)
-                    order = np.argsort(block, kind="stable")
-                    for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                    column, rows = np.unique(short(np.concatenate(first), blocks), return_counts=True)
+                    block = (column >> np.uint64(32)).astype(np.int64)
+                    for part in np.split(
+                        np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1
+                    ):
+                        some = np.minimum(rows[part], 255).astype(np.uint8)
                         yield _batch(
                             1, block=pa.array([block[part[0]]], pa.int32()),
-                            columns=pa.array([column[part].tobytes()], pa.binary()),
-                            rows=pa.array([rows[part].astype(np.int32).tobytes()], pa.binary()),
+                            columns=pa.array([column[part].astype(np.uint32).tobytes()], pa.binary()),
+                            rows=pa.array([some.tobytes()], pa.binary()),
                         )
 
     def _batch(size: int, **given):
@@ -188,17 +197,20 @@ def _new_sets(tables: Iterator) -> Iterator[list[tuple[bytes, np.ndarray]]]:
 
 
 def heavy_columns(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(column, rows), sorted by column: the columns of many rows, at most ``MOST_HEAVY``."""
+    """(short column, rows), sorted: the columns of many rows, at most ``MOST_HEAVY``."""
 
     def total(table):
         import pyarrow as pa
 
-        column = np.frombuffer(b"".join(table.column("columns").to_pylist()), np.uint64)
-        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.int32)
+        block = np.uint64(table.column("block")[0].as_py() << 32)
+        column = np.frombuffer(b"".join(table.column("columns").to_pylist()), np.uint32)
+        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint8)
         names, place = np.unique(column, return_inverse=True)
         sums = np.bincount(place, rows).astype(np.int64)
         many = sums > HEAVY
-        return pa.table({"column": names[many].view(np.int64), "rows": sums[many]})
+        return pa.table(
+            {"column": (names[many] | block).astype(np.int64), "rows": sums[many]}
+        )
 
     totals = materialise(
         counted.select("block", "columns", "rows").groupBy("block")
@@ -219,6 +231,7 @@ def product(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], blocks: int)
     such a column. fa and fb count the heavy columns of the two.
     """
     known = texts.sparkSession.sparkContext.broadcast(heavy)
+    shorts = _blocks(texts)
     entry = np.dtype([("column", "<u8"), ("who", "<i8"), ("n", "<i4"), ("light", "<i4"),
                       ("heavy", "?"), ("split", "?")])
 
@@ -230,11 +243,13 @@ def product(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], blocks: int)
             parts, blocks_of = [], []
             for name, s in fresh:
                 k = prefix_size(len(s))
-                at = np.minimum(np.searchsorted(column, s), max(0, len(column) - 1))
-                is_heavy = column[at] == s if len(column) else np.zeros(len(s), bool)
-                light, late = s[~is_heavy], at[is_heavy]
-                late = late[np.argsort(rows[late], kind="stable")][: max(0, k - len(light))]
-                first = np.concatenate([light[:k], column[late]])
+                name_of = short(s, shorts)
+                at = np.minimum(np.searchsorted(column, name_of), max(0, len(column) - 1))
+                is_heavy = column[at] == name_of if len(column) else np.zeros(len(s), bool)
+                light, dark, late = s[~is_heavy], s[is_heavy], at[is_heavy]
+                by_rows = np.argsort(rows[late], kind="stable")[: max(0, k - len(light))]
+                late = late[by_rows]
+                first = np.concatenate([light[:k], dark[by_rows]])
                 split = np.zeros(len(first), np.int64)
                 split[len(first) - len(late) :] = rows[late] // SPLIT
                 who = np.frombuffer(name, "<i8", 1)[0]

@@ -94,7 +94,7 @@ def parse(data: bytes) -> tuple[dict, int]:
     head = {}
     for line in data[:end].split(b"\r\n")[1:]:
         name, sep, value = line.partition(b": ")
-        if not sep:
+        if not sep or b"\r" in value or name.lower() in head:
             raise Bad("field")
         head[name.lower()] = value
     size = head.get(b"content-length", b"")
