@@ -9,22 +9,22 @@ from caseweave.plans import prompts
 ORACLES: dict[str, str] = {}
 
 RUNS = """
-ev AS (SELECT user_id, strftime(ts, '%Y%m%d') AS day, event_id // 4096 AS stretch,
+ev AS (SELECT user_id, strftime(ts, '%Y%m%d') AS day,
               event_id, event_type, value FROM events),
 sides AS (
-  SELECT user_id, day, stretch, event_id, 0 AS sub, event_type AS t,
+  SELECT user_id, day, event_id, 0 AS sub, event_type AS t,
          CASE WHEN value < 4 THEN NULL WHEN value < 12 THEN 'click' ELSE event_type END AS p,
          event_id + CASE WHEN value >= 30 AND value < 36 THEN 1000000000 ELSE 0 END AS ord FROM ev
-  UNION ALL SELECT user_id, day, stretch, event_id, 1, NULL, 'refund', event_id
+  UNION ALL SELECT user_id, day, event_id, 1, NULL, 'refund', event_id
     FROM ev WHERE value > 140
-  UNION ALL SELECT user_id, day, stretch, event_id, 2, NULL, event_type, event_id
+  UNION ALL SELECT user_id, day, event_id, 2, NULL, event_type, event_id
     FROM ev WHERE value > 110 AND value <= 140),
 runs AS (
-  SELECT 'application_' || user_id || '__' || day || 'x' || stretch AS case_id,
-         user_id, day, stretch, min(event_id) AS record_pos,
+  SELECT 'application_' || user_id || '__' || day AS case_id,
+         user_id, day, min(event_id) AS record_pos,
          list(t ORDER BY event_id) FILTER (t IS NOT NULL) AS t,
          coalesce(list(p ORDER BY ord, sub) FILTER (p IS NOT NULL), []) AS p
-  FROM sides GROUP BY user_id, day, stretch)"""
+  FROM sides GROUP BY user_id, day)"""
 
 RECORDS = RUNS + """,
 records AS (SELECT *, array_to_string(t, '>') AS unit_id, (user_id % 10) / 10.0 AS confidence,
@@ -453,11 +453,11 @@ ORACLES["ops_report"] = (
 
 MARK = ">>> THIS hidden email TO RECONSTRUCT (activities unknown) <<<"
 MAILS = f"""
-mev AS (SELECT user_id, strftime(ts, '%Y%m%d') AS day, event_id // 4096 AS stretch, event_id,
+mev AS (SELECT user_id, strftime(ts, '%Y%m%d') AS day, event_id,
               event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time FROM events),
-placed AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id, day, stretch)
-             // 2 AS middle, 'application_' || user_id || '__' || day || 'x' || stretch AS case_id
-           FROM mev WINDOW w AS (PARTITION BY user_id, day, stretch ORDER BY event_id)),
+placed AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id, day)
+             // 2 AS middle, 'application_' || user_id || '__' || day AS case_id
+           FROM mev WINDOW w AS (PARTITION BY user_id, day ORDER BY event_id)),
 mails AS (SELECT conv_id AS user_id, arg_min(text, turn) AS body FROM conversations
           WHERE role = 'user' GROUP BY conv_id),
 logs AS (SELECT p.case_id, p.pos, p.time, p.event_id, p.pos = p.middle AS hidden,

@@ -11,26 +11,22 @@ from pyspark.sql import functions as F
 
 from caseweave.sources.records import Catalog
 
-# Events of one user and day are cut into stretches by event id, so that a run
-# holds at most this many events however many one user produces in a day.
-STRETCH = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _stretched(events: DataFrame) -> DataFrame:
+def _dated(events: DataFrame) -> DataFrame:
     return events.select(
         "user_id",
         F.date_format("ts", "yyyyMMdd").alias("day"),
-        F.floor(F.col("event_id") / STRETCH).alias("stretch"),
         "event_id", "event_type", "value",
     )
 
 
-def occurrence_id(user: Column, day: Column, stretch: Column) -> Column:
-    return F.concat(F.lit("application_"), user, F.lit("__"), day, F.lit("x"), stretch)
+def occurrence_id(user: Column, day: Column) -> Column:
+    return F.concat(F.lit("application_"), user, F.lit("__"), day)
 
 
 def _guesses(e: Column) -> Column:
@@ -51,16 +47,16 @@ def _guesses(e: Column) -> Column:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per hidden run: true and predicted activity lists."""
-    events = _stretched(table(spark, sf_dir, "events"))
-    grouped = events.groupBy("user_id", "day", "stretch").agg(
+    events = _dated(table(spark, sf_dir, "events"))
+    grouped = events.groupBy("user_id", "day").agg(
         F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("items")
     )
     guesses = F.array_sort(
         F.filter(F.flatten(F.transform("items", _guesses)), lambda g: g["p"].isNotNull())
     )
     return grouped.select(
-        "user_id", "day", "stretch",
-        occurrence_id(F.col("user_id"), F.col("day"), F.col("stretch")).alias("case_id"),
+        "user_id", "day",
+        occurrence_id(F.col("user_id"), F.col("day")).alias("case_id"),
         F.col("items")[0]["event_id"].alias("record_pos"),
         F.transform("items", lambda e: e["event_type"]).alias("true_members"),
         F.transform(guesses, lambda g: g["p"]).alias("pred"),
@@ -176,13 +172,14 @@ def vector_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One decision per embedding: first half text vector, second half structure vector."""
     vectors = table(spark, sf_dir, "embeddings")
     vec = F.col("embedding").cast("array<double>")
+    half = F.floor(F.size(vec) / 2).cast("int")
     return vectors.select(
         F.concat(F.lit("d"), F.col("vec_id")).alias("node_id"),
         F.col("vec_id").alias("pos"),
         F.array(F.lit("DecisionNode")).alias("labels"),
         F.create_map(F.lit("id"), F.concat(F.lit("dec_"), F.col("vec_id"))).alias("props"),
-        F.slice(vec, 1, 32).alias("text_vec"),
-        F.slice(vec, 33, 32).alias("struct_vec"),
+        F.slice(vec, F.lit(1), half).alias("text_vec"),
+        F.slice(vec, half + 1, F.size(vec) - half).alias("struct_vec"),
         vector_app("label", "vec_id").alias("app"),
     )
 
@@ -238,14 +235,14 @@ def mail_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs_with_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         "user_id", F.date_format("ts", "yyyyMMdd").alias("day"),
-        F.floor(F.col("event_id") / STRETCH).alias("stretch"), "event_id", "event_type",
+        "event_id", "event_type",
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"),
     )
-    return events.groupBy("user_id", "day", "stretch").agg(
+    return events.groupBy("user_id", "day").agg(
         F.array_sort(F.collect_list(F.struct("event_id", "event_type", "time"))).alias("items")
     ).select(
         "user_id", F.col("items")[0]["event_id"].alias("record_pos"), "items",
-        occurrence_id(F.col("user_id"), F.col("day"), F.col("stretch")).alias("case_id"),
+        occurrence_id(F.col("user_id"), F.col("day")).alias("case_id"),
     )
 
 
