@@ -458,8 +458,8 @@ mev AS (SELECT user_id, strftime(ts, '%Y%m%d') AS day, event_id,
 placed AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id, day)
              // 2 AS middle, 'application_' || user_id || '__' || day AS case_id
            FROM mev WINDOW w AS (PARTITION BY user_id, day ORDER BY event_id)),
-mails AS (SELECT conv_id AS user_id, arg_min(text, turn) AS body FROM conversations
-          WHERE role = 'user' GROUP BY conv_id),
+mails AS (SELECT conv_id AS user_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text) AS body
+          FROM conversations GROUP BY conv_id),
 logs AS (SELECT p.case_id, p.pos, p.time, p.event_id, p.pos = p.middle AS hidden,
                 CASE WHEN p.pos = p.middle THEN 'internal_email_sent' ELSE p.event_type END AS type,
                 p.user_id, m.body FROM placed p LEFT JOIN mails m USING (user_id)),

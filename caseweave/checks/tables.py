@@ -210,10 +210,10 @@ class FixedCatalog(Catalog):
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First user turn of each conversation as the mail of the user of that number."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return turns.groupBy(F.col("conv_id").alias("user_id")).agg(
-        F.min_by("text", "turn").alias("body")
+    """All turns of each conversation, in order, as the mail of the user of that number."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("user_id")).agg(
+        F.array_join(turns["text"], "\n").alias("body")
     )
 
 
