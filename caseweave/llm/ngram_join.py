@@ -60,10 +60,12 @@ HEAVY = 8
 MOST_HEAVY = 2_000_000
 #: Rows of a column up to which all its pairs are multiplied.
 CROWD = 12
-PIVOTS = 2
+PIVOTS = 4
 #: Rows of one column that go to one block.
 SPLIT = 200_000
 BLOCK_ENTRIES = 1_000_000
+#: Text bytes whose sets a task holds at once.
+BATCH_BYTES = 1 << 20
 #: Class numbers that are broadcast to pick the rows to verify, 8 bytes each; beyond it all travel.
 MOST_WANTED = 2_000_000
 
@@ -87,7 +89,7 @@ class Grams:
             h = self[word] = xxhash.xxh64_intdigest(word)
             return h
 
-    def __init__(self, words: int = WORDS, cache_words: int = 500_000):
+    def __init__(self, words: int = WORDS, cache_words: int = 150_000):
         self.n, self.cache_words, self.hashes = words, cache_words, self._Hashes()
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -135,7 +137,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
         grams, seen = Grams(), set()
         for table in tables:
             texts, ids = as_bytes(table.column("t")), table.column("d")
-            for a, b in batches(texts):
+            for a, b in batches(texts, BATCH_BYTES):
                 sets = grams.sets(texts[a:b])
                 names = [class_of(s) if len(s) else None for s in sets]
                 yield _batch(
@@ -185,7 +187,7 @@ def _new_sets(tables: Iterator) -> Iterator[list[tuple[bytes, np.ndarray]]]:
     grams, seen = Grams(), set()
     for table in tables:
         texts = as_bytes(table.column("t"))
-        for a, b in batches(texts):
+        for a, b in batches(texts, BATCH_BYTES):
             fresh = []
             for s in grams.sets(texts[a:b]):
                 name = class_of(s)
