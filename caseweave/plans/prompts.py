@@ -186,7 +186,7 @@ def graph_prompts(
 
     *subgraphs* is (asked, status, text) and *seeds* (asked, decisions, rationales)
     as joined lists. A record whose application is unknown says so; one whose
-    subgraph is too long to be a single text has no prompt (``user`` is NULL).
+    subgraph has no text has no prompt (``user`` is NULL).
     """
     app = F.coalesce(F.nullif("graph_key", F.lit("")), "case_id", F.lit(""))
     timeline = timeline_text(F.col("observed_timeline"), use_timeline, _name(records))

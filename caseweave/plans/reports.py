@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseweave.fixed import MEAN_METRICS
+from caseweave.plans import scoring
 
 # --- fixed values: report columns and the metric each one shows ---------------------
 REPORT_COLUMNS = {
@@ -83,6 +84,21 @@ def ops_table(totals: DataFrame) -> DataFrame:
     )
 
 
+def ops_report(cells: DataFrame) -> DataFrame:
+    """The overall row (without size) and a row per size that has errors."""
+    by_size = ops_table(scoring.confusion_totals(cells, ["size"]))
+    overall = ops_table(scoring.confusion_totals(cells, []))
+    return by_size.unionByName(overall, allowMissingColumns=True)
+
+
+def scored_lines(scored: DataFrame) -> DataFrame:
+    """Scored rows as JSON lines with both lists and all differences: (record_pos, line)."""
+    return scored.select("record_pos", F.to_json(F.struct(
+        "unit_id", "size", "case_id", "true", "pred", "confidence", "category",
+        "fp", "fn", "ops", "subs",
+    )).alias("line"))
+
+
 def summary_json(
     counts: DataFrame, summary: DataFrame, categories: DataFrame, totals: DataFrame
 ) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from caseweave.fixed import DELETE, INSERT, MEAN_METRICS
 from caseweave.functions.sequences import confusion_labels, with_pair_metrics
 
-# More distinct activities than this means the label column holds free text;
-# the dense matrix grows with its square and refuses.
-MAX_LABELS = 20_000
+# Blocks the columns of a dense matrix are dealt into.
+LABEL_BLOCKS = 64
+# A wide table has a column per activity; more of them are read in the long form.
+MAX_COLUMNS = 20_000
 
 
 def score(records: DataFrame) -> DataFrame:
@@ -133,44 +134,40 @@ def confusion_totals(cells: DataFrame, by: list[str]) -> DataFrame:
     })
 
 
-def substitutions(cells: DataFrame) -> DataFrame:
-    """Off-diagonal pairs without gaps, most frequent first."""
-    return cells.where(_kind() == "sub").orderBy(F.desc("n"), "true_label", "pred_label")
+def substitutions(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Off-diagonal pairs without gaps, most frequent first (in each group of *by*)."""
+    return cells.where(_kind() == "sub").orderBy(*by, F.desc("n"), "true_label", "pred_label")
 
 
-def confusion_label_list(cells: DataFrame) -> DataFrame:
+def confusion_label_list(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Activities seen on either side, sorted; the sentinels are not among them."""
     return (
-        cells.select(F.explode(F.array("true_label", "pred_label")).alias("label"))
+        cells.select(*by, F.explode(F.array("true_label", "pred_label")).alias("label"))
         .where(~F.col("label").isin(INSERT, DELETE))
         .distinct()
-        .orderBy("label")
+        .orderBy(*by, "label")
     )
 
 
-def dense_matrix(cells: DataFrame) -> DataFrame:
+def dense_matrix(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Every label pair including both sentinels, zeros filled (long form).
 
-    The label list comes from the cell table, is checked against ``MAX_LABELS``
-    and travels as one array value, so no join without a key is needed.
+    With *by*, one matrix per group, of the labels seen in it. Columns are dealt
+    into blocks and each row label is sent to every block, so the grid is made
+    by as many tasks as there are blocks.
     """
-    labels = (
-        confusion_label_list(cells)
-        .limit(MAX_LABELS + 1)   # one more than allowed is enough to refuse
-        .agg(F.sort_array(F.collect_set("label")).alias("labels"))
-        .select(
-            F.when(
-                F.size("labels") > MAX_LABELS,
-                F.raise_error(F.lit("too many distinct activities for a dense matrix")),
-            )
-            .otherwise(F.concat("labels", F.array(F.lit(INSERT), F.lit(DELETE))))
-            .alias("labels")
-        )
+    sentinels = cells.groupBy(*by).agg(F.count("*").alias("_n")).select(
+        *by, F.explode(F.array(F.lit(INSERT), F.lit(DELETE))).alias("label")
     )
-    grid = labels.select("labels", F.explode("labels").alias("true_label")).select(
-        "true_label", F.explode("labels").alias("pred_label")
+    axis = confusion_label_list(cells, by).unionByName(sentinels)
+    block = F.pmod(F.xxhash64("label"), F.lit(LABEL_BLOCKS)).cast("int")
+    down = axis.select(
+        *by, F.col("label").alias("true_label"),
+        F.explode(F.sequence(F.lit(0), F.lit(LABEL_BLOCKS - 1))).alias("block"),
     )
-    return grid.join(cells, ["true_label", "pred_label"], "left").fillna(0, ["n"])
+    across = axis.select(*by, F.col("label").alias("pred_label"), block.alias("block"))
+    grid = down.join(across, [*by, "block"]).drop("block")
+    return grid.join(cells, [*by, "true_label", "pred_label"], "left").fillna(0, ["n"])
 
 
 def sparse_matrix(dense: DataFrame) -> DataFrame:
@@ -182,9 +179,9 @@ def sparse_matrix(dense: DataFrame) -> DataFrame:
 
 def matrix_table(cells: DataFrame) -> DataFrame:
     """The sparse matrix in wide form, one column per predicted label."""
-    labels = [r.label for r in confusion_label_list(cells).limit(MAX_LABELS + 1).collect()]
-    if len(labels) > MAX_LABELS:
-        raise ValueError("too many distinct activities for a matrix")
+    labels = [r.label for r in confusion_label_list(cells).limit(MAX_COLUMNS + 1).collect()]
+    if len(labels) > MAX_COLUMNS:
+        raise ValueError("too many columns for one table; use sparse_matrix")
     return (
         cells.groupBy("true_label")
         .pivot("pred_label", [*labels, DELETE])

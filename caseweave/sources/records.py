@@ -121,7 +121,12 @@ def write_lines(lines: DataFrame, path: str, order: str = "record_pos") -> None:
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """(pos, event_type, description) of a JSON array file."""
-    entries = spark.read.text(path, wholetext=True).select(
+    return parse_catalog(spark.read.text(path, wholetext=True))
+
+
+def parse_catalog(documents: DataFrame) -> DataFrame:
+    """(pos, event_type, description) of JSON arrays in column ``value``."""
+    entries = documents.select(
         F.from_json(
             "value", "array<struct<event_type: string, description: string>>",
             {"mode": "FAILFAST"},

@@ -1,4 +1,4 @@
-from caseweave.operators import numbering
+from caseweave.operators import timeline
 from caseweave.operators.numbering import number_rows, text_parts, whole_text
 
 
@@ -27,9 +27,20 @@ def test_parts_hold_the_whole_text(spark):
     assert texts["hot"] == "\n".join(f"{i:04d}" for i in range(500))
 
 
-def test_a_text_of_too_many_parts_stays_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(numbering, "MAX_PARTS", 10)
-    lines = number_rows(table(spark), ["g"], ["v"]).withColumnRenamed("v", "line")
-    texts = {r.g: r for r in whole_text(text_parts(lines, ["g"], [], 7), ["g"], []).collect()}
-    assert texts["hot"].text is None and texts["hot"].n_parts == 72
-    assert texts["g0"].text == "0000\n0020\n0040"
+def test_a_text_of_many_parts_is_whole(spark):
+    lines = spark.range(1, 2002).selectExpr("'k' g", "id n", "concat('line ', id) line")
+    text = whole_text(text_parts(lines, ["g"], [], 1), ["g"], []).first()
+    assert text.n_parts == 2001
+    assert text.text.split("\n") == [f"line {i}" for i in range(1, 2002)]
+
+
+def test_a_long_log_is_answered_with_all_lines(spark):
+    lines = spark.range(1, 2002).selectExpr("'k' graph_key", "id n", "concat('- ', id) line")
+    logs = spark.createDataFrame([("k",), ("e",)], "graph_key string")
+    texts = timeline.timeline_texts(logs, lines)
+    asked = spark.createDataFrame([("k",), ("e",), ("x",)], "application_id string")
+    keys = logs.selectExpr("graph_key application_id", "graph_key")
+    got = {r.application_id: r for r in timeline.answer(asked, keys, texts).collect()}
+    assert got["k"].status == "ok" and got["k"].text.endswith("\n- 2001")
+    assert got["k"].text.count("\n- ") == 2001
+    assert got["e"].status == "ok" and got["x"].status == "unknown_id"

@@ -50,6 +50,11 @@ def test_confusion(records):
     }
     dense = scoring.dense_matrix(scoring.overall_cells(cells))
     assert dense.count() == 25
+    assert scoring.dense_matrix(scoring.overall_cells(cells).limit(0)).count() == 4
+    sized = scoring.dense_matrix(cells, ("size",))
+    assert {r["size"]: r["count"] for r in sized.groupBy("size").count().collect()} == {
+        1: 9, 2: 25, 3: 16,
+    }
     wide = scoring.matrix_table(scoring.overall_cells(cells))
     assert wide.columns == ["true_label", "a", "b", "c", "__delete__"]
     row = scoring.confusion_totals(cells, []).first()
