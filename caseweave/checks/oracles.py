@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from caseweave.checks.tables import FixedCatalog
 from caseweave.fixed import MEAN_METRICS
-from caseweave.plans import prompts
 
 ORACLES: dict[str, str] = {}
 
@@ -200,6 +198,37 @@ FROM (SELECT size, sum(n)::BIGINT AS n_aligned,
                          AND pred_label <> '__delete__'), 0)::BIGINT AS n_sub
       FROM cells GROUP BY size)"""
 
+ORACLES["substitutions_by_size"] = f"""WITH RECURSIVE {CELLS}
+SELECT * FROM cells WHERE true_label <> '__insert__' AND pred_label <> '__delete__'
+  AND true_label <> pred_label"""
+SIZED = CELLS + """,
+sized AS (SELECT size, true_label AS label FROM cells UNION SELECT size, pred_label FROM cells
+          UNION SELECT size, unnest(['__insert__', '__delete__']) FROM cells),
+dense_sized AS (SELECT x.size, x.label AS true_label, y.label AS pred_label, coalesce(c.n, 0) AS n
+                FROM sized x JOIN sized y USING (size)
+                LEFT JOIN cells c ON c.size = x.size AND c.true_label = x.label
+                  AND c.pred_label = y.label)"""
+ORACLES["confusion_labels_by_size"] = f"""WITH RECURSIVE {SIZED}
+SELECT size, label FROM sized WHERE label NOT IN ('__insert__', '__delete__')"""
+ORACLES["confusion_matrix_by_size"] = f"WITH RECURSIVE {SIZED} SELECT * FROM dense_sized"
+ORACLES["confusion_sparse_by_size"] = f"""WITH RECURSIVE {SIZED}
+SELECT * FROM dense_sized WHERE true_label <> '__delete__' AND pred_label <> '__insert__'"""
+ORACLES["scored_row_lines"] = f"""WITH RECURSIVE {RECORDS}{MEASURES}{TRACE[len(EDIT):]},
+steps_of AS (SELECT case_id, count(*) FILTER (a = b) AS n_match, count(*) FILTER (a <> b) AS n_sub,
+               count(*) FILTER (a IS NULL) AS n_ins, count(*) FILTER (b IS NULL) AS n_del,
+               string_agg(a || '>' || b, ',' ORDER BY k DESC) FILTER (a <> b) AS subs
+             FROM steps GROUP BY case_id),
+diffs AS (SELECT case_id,
+            string_agg(tok || '=' || (np - nt)::BIGINT, ',' ORDER BY tok) FILTER (np > nt) AS fp,
+            string_agg(tok || '=' || (nt - np)::BIGINT, ',' ORDER BY tok) FILTER (nt > np) AS fn
+          FROM tok GROUP BY case_id)
+SELECT m.record_pos, r.unit_id, r.size, m.case_id, {r6('r.confidence')} AS confidence, m.category,
+       array_to_string(m.t, '>') AS true_list, array_to_string(m.p, '>') AS pred_list,
+       coalesce(d.fp, '') AS fp, coalesce(d.fn, '') AS fn,
+       concat_ws(',', s.n_match, s.n_sub, s.n_ins, s.n_del) AS ops, coalesce(s.subs, '') AS subs
+FROM measures m JOIN records r USING (case_id) JOIN steps_of s USING (case_id)
+JOIN diffs d USING (case_id) WHERE r.has_email"""
+
 METRIC_SQL = {
     "normalized_edit_distance": "ned", "multiset_f1": "mf", "multiset_precision": "mp",
     "multiset_recall": "mr", "seq_f1": "sf", "seq_precision": "sp", "seq_recall": "sr",
@@ -346,14 +375,11 @@ SELECT asked, CASE label WHEN 'DecisionNode' THEN 'decisions' WHEN 'RationaleNod
 FROM members m JOIN flagged f ON f.id = m.node
 WHERE label IN ('DecisionNode', 'RationaleNode', 'EvidenceNode')"""
 ORACLES["masked_edges"] = f"WITH {GRAPH} SELECT src, rel, dst FROM masked"
-ORACLES["bare_case_drop"] = f"""WITH RECURSIVE {GRAPH},
-reach AS (
-  SELECT id AS asked, id AS node, 0 AS depth FROM flagged WHERE label = 'ValueNode'
-  UNION
-  SELECT r.asked, a.dst, r.depth + 1 FROM reach r
-  JOIN flagged f ON f.id = r.node JOIN adj a ON a.src = r.node JOIN flagged g ON g.id = a.dst
-  WHERE r.depth < 3 AND (r.depth = 0 OR NOT f.boundary) AND NOT g.leaky),
-members AS (SELECT DISTINCT asked, node FROM reach)
+ORACLES["case_neighbourhood_leaky"] = f"""WITH RECURSIVE {GRAPH}{around(1).replace(" AND NOT g.leaky", "")}
+SELECT asked, node AS node_id FROM members"""
+ORACLES["bare_case_drop"] = f"""WITH RECURSIVE {GRAPH}{around(0).replace("members AS", "seen AS")},
+members AS (SELECT asked || '#clusters' AS asked, node FROM seen
+            UNION ALL SELECT app, id FROM flagged WHERE app IS NOT NULL)
 SELECT m.asked, m.node AS node_id FROM members m JOIN flagged f ON f.id = m.node
 WHERE f.app IS NULL OR EXISTS (
   SELECT 1 FROM adj a JOIN members o ON o.node = a.dst JOIN flagged g ON g.id = a.dst
@@ -363,6 +389,8 @@ ORACLES["induced_edges"] = f"""WITH RECURSIVE {GRAPH}{around(2)}
 SELECT a.asked, e.src, e.rel, e.dst FROM members a JOIN masked e ON e.src = a.node
 JOIN members b ON b.asked = a.asked AND b.node = e.dst"""
 ORACLES["render_subgraph"] = f"WITH RECURSIVE {GRAPH}{lines(2)} SELECT * FROM lines"
+UNMASKED = lines(1).replace("JOIN masked e", "JOIN (SELECT DISTINCT * FROM edges) e")
+ORACLES["render_unmasked"] = f"WITH RECURSIVE {GRAPH}{UNMASKED} SELECT * FROM lines"
 ORACLES["subgraph_text"] = f"WITH RECURSIVE {GRAPH}{lines(1)} SELECT * FROM texts"
 ORACLES["evidence_spans"] = f"""WITH {GRAPH}
 SELECT stable AS stable_id, regexp_extract(stable, '__s([0-9]+)$', 1)::BIGINT AS span,
@@ -443,11 +471,20 @@ def counted(kind: str) -> str:
     return f"n_{kind} || ' (' || printf('%.3f', n_{kind} / n_aligned::DOUBLE) || ')'"
 
 
-ORACLES["ops_report"] = (
-    "SELECT size, n_aligned, "
-    + ", ".join(f'{counted(k)} AS "{k}"' for k in ("match", "sub", "ins", "del"))
-    + f" FROM ({ORACLES['confusion_totals']}) WHERE n_sub + n_ins + n_del > 0"
-)
+COUNTED = ", ".join(f'{counted(k)} AS "{k}"' for k in ("match", "sub", "ins", "del"))
+ORACLES["ops_report"] = f"""WITH t AS ({ORACLES['confusion_totals']})
+SELECT size, n_aligned, {COUNTED} FROM t WHERE n_sub + n_ins + n_del > 0
+UNION ALL SELECT NULL, n_aligned, {COUNTED}
+FROM (SELECT sum(n_aligned)::BIGINT AS n_aligned, sum(n_match)::BIGINT AS n_match,
+        sum(n_sub)::BIGINT AS n_sub, sum(n_ins)::BIGINT AS n_ins, sum(n_del)::BIGINT AS n_del FROM t)"""
+ORACLES["summary_lines"] = f"""WITH mix AS ({ORACLES['category_mix']}), counts AS ({ORACLES['run_counts']}),
+t AS ({ORACLES['confusion_totals']})
+SELECT scope, unit_id, '{{' || string_agg('"' || category || '":' || n, ',' ORDER BY n DESC, category)
+         || '}}' AS categories, size, sum(n)::BIGINT AS n, NULL AS n_records, NULL AS n_scored,
+       NULL AS n_match, NULL AS n_sub, NULL AS n_ins, NULL AS n_del
+FROM mix GROUP BY scope, size, unit_id
+UNION ALL SELECT 'config', NULL, NULL, NULL, NULL, n_records, n_scored, NULL, NULL, NULL, NULL FROM counts
+UNION ALL SELECT 'confusion', NULL, NULL, size, NULL, NULL, NULL, n_match, n_sub, n_ins, n_del FROM t"""
 
 # --- logs, mails, prompts ---------------------------------------------------------------------
 
@@ -495,12 +532,28 @@ bodies AS (SELECT case_id, string_agg(line, chr(10) ORDER BY n) AS body, count(*
            FROM lines GROUP BY case_id),
 asked AS (SELECT 'A' || case_id[2:] AS id, case_id FROM bodies
           UNION ALL SELECT case_id, case_id FROM bodies)
-SELECT id AS application_id, CASE WHEN n > 1 THEN 'ok' ELSE 'missing_file' END AS status,
-       CASE WHEN n > 1 THEN 'Observed event log of application ' || id
+SELECT id AS application_id, 'ok' AS status, 'Observed event log of application ' || id
          || ' (hidden activities are behind the internal_email_sent event):' || chr(10)
-         || 'Events (chronological):' || chr(10) || body END AS text
+         || 'Events (chronological):' || chr(10) || body AS text
 FROM asked JOIN bodies USING (case_id)
-UNION ALL SELECT 'no_' || case_id, 'unknown_id', NULL FROM bodies"""
+UNION ALL SELECT 'no_' || case_id, 'unknown_id', NULL FROM bodies
+UNION ALL SELECT 'customer_' || c_custkey, 'missing_file', NULL FROM customer"""
+ORACLES["guarded_log_requests"] = f"""WITH {MAILS}{SHOWN_MAIL},
+bodies AS (SELECT case_id, 'A' || case_id[2:] AS other, string_agg(line, chr(10) ORDER BY n) AS body
+           FROM lines GROUP BY case_id),
+asked AS (
+  SELECT case_id AS id, case_id AS current_app, 'refused_current' AS verdict, body FROM bodies
+  UNION ALL SELECT other, case_id, 'refused_current', body FROM bodies
+  UNION ALL SELECT case_id, other, 'refused_current', body FROM bodies
+  UNION ALL SELECT other, string_split(case_id, '__')[1] || '__none', 'refused_sibling', body FROM bodies
+  UNION ALL SELECT case_id, 'application_none__1', 'allowed', body FROM bodies
+  UNION ALL SELECT other, NULL, 'allowed', body FROM bodies
+  UNION ALL SELECT 'no_' || case_id, case_id, 'allowed', NULL FROM bodies)
+SELECT id AS application_id, current_app, verdict,
+       CASE WHEN verdict <> 'allowed' THEN NULL WHEN body IS NULL THEN 'unknown_id' ELSE 'ok' END AS status,
+       CASE WHEN verdict = 'allowed' THEN 'Observed event log of application ' || id
+         || ' (hidden activities are behind the internal_email_sent event):' || chr(10)
+         || 'Events (chronological):' || chr(10) || body END AS text FROM asked"""
 
 ORACLES["guarded_requests"] = """WITH r AS (
   SELECT vec_id, 'application_' || label AS base, 'application_' || label || '__' || vec_id % 5
@@ -540,8 +593,8 @@ SIMILAR = SIMILAR[SIMILAR.index(",\ntags AS"):].replace(
     "f.label, f.shown,", "f.label, replace(f.shown, ', this email', ', other') AS shown,"
 )
 ORACLES["similar_context"] = f"""WITH RECURSIVE {GRAPH},
-{topk(2, 0.5, "q.base <> c.base")[5:topk(2, 0.5, "q.base <> c.base").index("SELECT request_id, rank")]},
-hits AS (SELECT *, request_id || '#' || rank AS hit FROM ranked WHERE rank <= 2),
+{topk(5, 0.5, "q.base <> c.base")[5:topk(5, 0.5, "q.base <> c.base").index("SELECT request_id, rank")]},
+hits AS (SELECT *, request_id || '#' || rank AS hit FROM ranked WHERE rank <= 5),
 members AS (SELECT hit AS asked, node_id AS node FROM hits
             UNION SELECT h.hit, a.dst FROM hits h JOIN adj a ON a.src = h.node_id
               JOIN flagged g ON g.id = a.dst WHERE NOT g.leaky){SIMILAR},
@@ -565,46 +618,78 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+ANSWER = (
+    '{"activities": ["<exact event_type>", ...], "confidence": <number 0-1>, '
+    '"reasoning": "<one short sentence>"}'
+)
+SYSTEM = (
+    "You analyse business processes. One e-mail of a case stands for a hidden run of events. List the "
+    "activities of that run in the order they happened, using catalog names exactly as written and at "
+    "least one of them. Take the order from the given sources, not from the catalog. Answer with JSON only."
+)
+EMAIL_NOTE = "The status mail sent inside the case. List what its sender reports, in their order."
+TIMELINE_NOTE = (
+    "Events seen before and after the mail; >>> THIS marks its place. Events on either side are not part "
+    "of the answer. Use them only to tell similar activities apart."
+)
+TIMELINE_HEADING = "=== OCEL CONTEXT (observed case timeline) ==="
+CATALOG_NOTE = 'Catalog of possible activities, one "<event_type>: <description>" per line:'
+CATALOG = (
+    "- signup: a new account is opened\n- error: a request could not be served\n"
+    "- click: an element of a page is chosen\n- view: a page is shown\n- purchase: an order is paid"
+)
+
 MAIL_BLOCK = (
-    quoted(f"{prompts.EMAIL_HEADING}\n{prompts.EMAIL_NOTE}\nSender : user\nObjects: u")
+    quoted(f"=== EMAIL ===\n{EMAIL_NOTE}\nSender : user\nObjects: u")
     + " || user_id || " + quoted("\nSubject: ") + " || left(body, 40) || " + quoted("\nBody:\n")
     + " || body || " + quoted("\n\n")
 )
 LOG_BLOCK = (
-    quoted(f"{prompts.TIMELINE_HEADING}\n{prompts.TIMELINE_NOTE}\n") + " || timeline || " + quoted("\n\n")
+    quoted(f"{TIMELINE_HEADING}\n{TIMELINE_NOTE}\n") + " || timeline || " + quoted("\n\n")
 )
-CATALOG_BLOCK = quoted(f"{prompts.CATALOG_NOTE}\n{FixedCatalog().text}\n\n")
+CATALOG_BLOCK = quoted(f"{CATALOG_NOTE}\n{CATALOG}\n\n")
 
 
 def keyed(user: str, cap: int) -> str:
-    return f"sha256(concat_ws(chr(0), '{cap}', '0', 'high', {quoted(prompts.SYSTEM)}, {user}))"
+    return f"sha256(concat_ws(chr(0), '{cap}', '0', 'high', {quoted(SYSTEM)}, {user}))"
 
 
-WITH_CAP = quoted(prompts._task(False, 3))
+TASK = (
+    "List the activities of the hidden e-mail in the order performed.\nRespond with JSON only:\n"
+    + ANSWER + "\nRepeat an activity only if it happened more than once. Never return an empty list."
+)
+WITH_CAP = quoted(TASK + " Return AT MOST 3 activities - never more than 3.")
 ORACLES["prompt_table"] = f"""WITH {MAILS},
 p AS (SELECT record_pos, {CATALOG_BLOCK} || {MAIL_BLOCK} || {LOG_BLOCK} || {WITH_CAP} AS "user"
       FROM recs WHERE body IS NOT NULL)
-SELECT record_pos, {quoted(prompts.SYSTEM)} AS system, "user", {keyed('"user"', 3)} AS prompt_key FROM p"""
+SELECT record_pos, {quoted(SYSTEM)} AS system, "user", {keyed('"user"', 3)} AS prompt_key FROM p"""
 MAIL_PROMPTS = f"""WITH {MAILS},
 p AS (SELECT record_pos, case_id, {CATALOG_BLOCK} || CASE WHEN body IS NULL THEN '' ELSE {MAIL_BLOCK} END
-        || {quoted(prompts._task(False, 0))} AS "user" FROM recs),
-k AS (SELECT record_pos, case_id, {keyed('"user"', 0)} AS prompt_key FROM p)"""
+        || {quoted(TASK)} AS "user" FROM recs),
+k AS (SELECT record_pos, case_id, "user", {keyed('"user"', 0)} AS prompt_key FROM p)"""
 ORACLES["prompt_dedup"] = f"""{MAIL_PROMPTS}
 SELECT prompt_key, count(*) AS n_records, min(record_pos) AS record_pos FROM k GROUP BY prompt_key"""
 
+GRAPH_SYSTEM = (
+    SYSTEM + " Actors are tied to the cluster by linked_to. Look up comparable decisions or rationales "
+    "by the seed ids, then read the logs and subgraphs of the cases found. The current case and other "
+    "samplings of it are refused. Go through the evidence spans in ascending order, decide for each "
+    "whether it reports no step, one step or several, and name the catalog activities. Answer with one "
+    "JSON object: " + ANSWER
+)
 GRAPH_HEAD = quoted("List the ordered activities hidden behind the e-mail of application ")
-ORACLES["prompt_table_graph"] = f"""WITH RECURSIVE {GRAPH}{lines(1)},
+ORACLES["prompt_table_graph"] = f"""WITH RECURSIVE {GRAPH}{lines(2)},
 o AS (SELECT *, 'application_' || o_custkey || '__' || o_orderkey AS app FROM orders)
-SELECT o_orderkey AS record_pos, app AS application_id,
-  {GRAPH_HEAD} || app || {quoted(f".{chr(10)}{chr(10)}{prompts.CATALOG_NOTE}{chr(10)}{FixedCatalog().text}")}
+SELECT o_orderkey AS record_pos, app AS application_id, {quoted(GRAPH_SYSTEM)} AS system,
+  {GRAPH_HEAD} || app || {quoted(f".{chr(10)}{chr(10)}{CATALOG_NOTE}{chr(10)}{CATALOG}")}
   || {quoted(f"{chr(10)}{chr(10)}Current application id: ")} || app
   || {quoted(f"{chr(10)}Seed node ids in this application:{chr(10)}- decisions: ")} || 'dec_' || o_orderkey
   || {quoted(f"{chr(10)}- rationales: ")} || 'rat_' || o_orderkey
   || {quoted(f"{chr(10)}{chr(10)}The case as a graph. Evidence marked span=<n> is the mail, in reading order.{chr(10)}")}
-  || 'Context subgraph for application ' || app || ' (<= 1 hop(s)):' || chr(10) || text
-  || {quoted(f"{chr(10)}{chr(10)}{prompts.TIMELINE_HEADING}{chr(10)}{prompts.TIMELINE_NOTE}{chr(10)}")}
+  || 'Context subgraph for application ' || app || ' (<= 2 hop(s)):' || chr(10) || text
+  || {quoted(f"{chr(10)}{chr(10)}{TIMELINE_HEADING}{chr(10)}{TIMELINE_NOTE}{chr(10)}")}
   || '- ' || strftime(o_orderdate, '%Y-%m-%d') || ' | ' || o_orderstatus
-  || {quoted(f"{chr(10)}{chr(10)}Compare with similar cases before answering; this case's own log is above.{chr(10)}{chr(10)}Respond with one JSON object: {prompts.ANSWER_MANY}")}
+  || {quoted(f"{chr(10)}{chr(10)}Compare with similar cases before answering; this case's own log is above.{chr(10)}{chr(10)}Respond with one JSON object: {ANSWER}")}
     AS "user"
 FROM o JOIN texts ON texts.asked = o.app"""
 
@@ -630,6 +715,14 @@ SELECT record_pos, case_id,
        CASE WHEN has_email AND error IS NULL THEN array_to_string(named, '>') ELSE '' END AS pred,
        CASE WHEN has_email AND error IS NULL THEN {r6('confidence')} ELSE 0.0 END AS confidence FROM plain"""
 
+ORACLES["predictions_echo_lines"] = f"""WITH {ANSWERS}
+SELECT record_pos, case_id, array_to_string(t, '>') AS unit_id,
+       CASE WHEN len(t) = 1 THEN 0 ELSE len(t) END AS declared_size,
+       CASE WHEN has_email THEN case_id END AS subject, array_to_string(t, '>') AS true_list,
+       CASE WHEN has_email AND error IS NULL THEN array_to_string(named, '>') ELSE '' END AS pred,
+       CASE WHEN has_email AND error IS NULL THEN {r6('confidence')} ELSE 0.0 END AS confidence
+FROM plain JOIN (SELECT case_id, t FROM records) USING (case_id)"""
+
 # --- scans ----------------------------------------------------------------------------------------
 
 ORACLES["graph_json_scan"] = f"""WITH {GRAPH}
@@ -649,10 +742,29 @@ ORACLES["records_json_scan"] = f"""WITH {RECORDS}
 SELECT record_pos, case_id, unit_id, has_email, {r6('confidence')} AS confidence,
        CASE WHEN size = 1 THEN 0 ELSE size END AS declared_size, array_to_string(t, '>') AS true_list,
        array_to_string(p, '>') AS pred_list, CASE WHEN has_email THEN case_id END AS subject FROM records"""
+ORACLES["catalog_scan"] = """WITH c AS (
+  SELECT event_type, upper(event_type[1]) || event_type[2:] AS capital, count(*) AS n FROM events GROUP BY 1),
+e AS (SELECT event_type AS low, event_type, 0 AS o, n, capital FROM c
+      UNION ALL SELECT event_type, capital, 1, n, capital FROM c)
+SELECT (row_number() OVER (ORDER BY low, o) - 1)::INTEGER AS pos, event_type,
+       'seen ' || n || ' times' AS description, capital AS canonical,
+       string_agg('- ' || event_type || ': seen ' || n || ' times', chr(10))
+         OVER (ORDER BY low, o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS catalog
+FROM e"""
 ORACLES["prompt_audit"] = f"""{MAIL_PROMPTS},{ANSWERS},
+told AS (SELECT r.record_pos, t, p, '{{"activities": ' || CASE
+           WHEN len(p) = 1 THEN '"' || p[1] || '"'
+           WHEN t[1] = 'view' THEN to_json(list_transform(p, lambda x: ' ' || upper(x) || chr(9)))::VARCHAR
+           ELSE to_json(p)::VARCHAR END || ', "confidence": '
+           || CASE WHEN list_contains(p, 'error') AND len(p) > 3 THEN '"high"' ELSE confidence::VARCHAR END
+           || ', "reasoning": "as told"}}' AS body FROM records r),
+raws AS (SELECT record_pos, CASE WHEN len(p) = 0 THEN 'I cannot tell {{from this}}.'
+           WHEN list_contains(p, 'refund') THEN '```json' || chr(10) || body || chr(10) || '```'
+           WHEN t[len(t)] = 'click' THEN 'Here it is: ' || body || ' Done.' ELSE body END AS raw FROM told),
 firsts AS (SELECT prompt_key, min(record_pos) AS first_pos FROM k GROUP BY prompt_key),
-asked AS (SELECT f.prompt_key, f.first_pos, a.error FROM firsts f JOIN plain a ON a.record_pos = f.first_pos)
-SELECT k.record_pos, k.case_id AS folder,
+asked AS (SELECT f.prompt_key, f.first_pos, a.error, w.raw FROM firsts f
+          JOIN plain a ON a.record_pos = f.first_pos JOIN raws w ON w.record_pos = f.first_pos)
+SELECT k.record_pos, k.case_id AS folder, {quoted(SYSTEM)} AS system, k."user", asked.raw AS assistant,
        CASE WHEN error IS NOT NULL THEN 'failed' WHEN k.record_pos <> first_pos THEN 'cache-hit'
             ELSE 'ok' END AS status, error
 FROM k JOIN asked USING (prompt_key) WHERE error IS NULL OR k.record_pos = first_pos"""

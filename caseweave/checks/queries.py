@@ -154,6 +154,56 @@ def substitution_list(spark, sf_dir):
     return scoring.substitutions(confusion_cells(spark, sf_dir))
 
 
+@query
+def substitutions_by_size(spark, sf_dir):
+    return scoring.substitutions(confusion_by_size(spark, sf_dir), ("size",))
+
+
+@query
+def confusion_matrix_by_size(spark, sf_dir):
+    cells = materialise(confusion_by_size(spark, sf_dir), "cells")
+    return scoring.dense_matrix(cells, ("size",))
+
+
+@query
+def confusion_sparse_by_size(spark, sf_dir):
+    return scoring.sparse_matrix(confusion_matrix_by_size(spark, sf_dir))
+
+
+@query
+def confusion_labels_by_size(spark, sf_dir):
+    return scoring.confusion_label_list(confusion_by_size(spark, sf_dir), ("size",))
+
+
+@query
+def scored_row_lines(spark, sf_dir):
+    """Scored rows as JSON lines, read again."""
+    counts, joined = "map<string,int>", ">"
+    kind = (
+        f"unit_id string, size long, case_id string, true array<string>, pred array<string>, "
+        f"confidence double, category string, fp {counts}, fn {counts}, "
+        "ops struct<match: long, sub: long, ins: long, del: long>, "
+        "subs array<struct<true: string, pred: string>>"
+    )
+
+    def told(name):
+        entries = F.array_sort(F.map_entries(name))
+        return F.array_join(
+            F.transform(entries, lambda x: F.concat_ws("=", x["key"], x["value"])), ","
+        ).alias(name)
+
+    lines = reports.scored_lines(_scored(spark, sf_dir))
+    row = lines.select("record_pos", F.from_json("line", kind).alias("x")).select("record_pos", "x.*")
+    return rounded(row.select(
+        "record_pos", "unit_id", "size", "case_id", "confidence", "category",
+        F.array_join("true", joined).alias("true_list"), F.array_join("pred", joined).alias("pred_list"),
+        told("fp"), told("fn"),
+        F.concat_ws(",", "ops.match", "ops.sub", "ops.ins", "ops.del").alias("ops"),
+        F.array_join(F.transform("subs", lambda s: F.concat_ws(">", s["true"], s["pred"])), ",")
+        .alias("subs"),
+    ), "confidence")
+
+
 @query
 def summary_grouping_sets(spark, sf_dir):
     stats = [*MEAN_METRICS, *[f"{m}_std" for m in MEAN_METRICS], "exact_rate"]
@@ -225,6 +275,14 @@ def case_neighbourhood_2(spark, sf_dir):
     return Graph(spark, sf_dir).walk_tables().around(2)
 
 
+@query
+def case_neighbourhood_leaky(spark, sf_dir):
+    """One hop, nodes that tell the answer among what is reached."""
+    g = Graph(spark, sf_dir).walk_tables()
+    seeds = walk.case_seeds(graph.resolve(_all_cases(g.nodes), g.nodes), g.adjacency)
+    return walk.neighbourhood(seeds, g.nodes, g.adjacency, 1, keep_leaky=True)
+
+
 @query
 def node_owner(spark, sf_dir):
     g = Graph(spark, sf_dir).walk_tables()
@@ -245,11 +303,14 @@ def masked_edges(spark, sf_dir):
 
 @query
 def bare_case_drop(spark, sf_dir):
-    """Two hops around every value node: cases that no rendered node touches go."""
+    """Sets of a case node alone, which goes, and of cases with their clusters, which stay."""
     g = Graph(spark, sf_dir).walk_tables()
-    values = g.nodes.where("label = 'ValueNode'").select(F.col("node_id").alias("asked"), "node_id")
-    reached = materialise(walk.neighbourhood(values, g.nodes, g.adjacency, 3), "reached")
-    return walk.without_bare_cases(reached, g.nodes, g.adjacency)
+    alone = graph.resolve(_all_cases(g.nodes), g.nodes).select("asked", "node_id")
+    clustered = walk.case_seeds(alone, g.adjacency).withColumn(
+        "asked", F.concat("asked", F.lit("#clusters"))
+    )
+    sets = materialise(alone.unionByName(clustered), "reached")
+    return walk.without_bare_cases(sets, g.nodes, g.adjacency)
 
 
 @query
@@ -269,6 +330,13 @@ def render_subgraph(spark, sf_dir):
     return _lines(spark, sf_dir, 2)
 
 
+@query
+def render_unmasked(spark, sf_dir):
+    """One hop, with the verbs of execution as they are."""
+    g = _case_graph(spark, sf_dir, mask=False)
+    return g.lines(g.application_members(_all_cases(g.nodes), 1), "asked", this_email=True)
+
+
 @query
 def subgraph_text(spark, sf_dir):
     return render.subgraph_text(_lines(spark, sf_dir, 1), "asked")
@@ -357,8 +425,26 @@ def unit_report(spark, sf_dir):
 
 @query
 def ops_report(spark, sf_dir):
-    cells = scoring.confusion_cells(_scored(spark, sf_dir))
-    return reports.ops_table(scoring.confusion_totals(cells, ["size"]))
+    return reports.ops_report(scoring.confusion_cells(_scored(spark, sf_dir)))
+
+
+@query
+def summary_lines(spark, sf_dir):
+    """The summary's JSON lines, their main fields read again."""
+    scored = _scored(spark, sf_dir)
+    lines = reports.summary_json(
+        scoring.run_counts(T.records(spark, sf_dir)), scoring.summary(scored),
+        scoring.category_mix(scored),
+        scoring.confusion_totals(scoring.confusion_cells(scored), ["size"]),
+    )
+
+    def read(name, kind="string"):
+        return F.get_json_object("line", f"$.{name}").cast(kind).alias(name)
+
+    numbers = ("size", "n", "n_records", "n_scored", "n_match", "n_sub", "n_ins", "n_del")
+    return lines.select(
+        "scope", read("unit_id"), read("categories"), *[read(n, "long") for n in numbers]
+    )
 
 
 # --- event logs -----------------------------------------------------------------------------
@@ -391,16 +477,52 @@ def case_timeline_redacted(spark, sf_dir):
 
 @query
 def log_requests(spark, sf_dir):
-    """Every run's log asked for by case id, by graph key, and by an id nobody has."""
-    runs = T.mail_records(spark, sf_dir).withColumn(
-        "case_id", F.regexp_replace("case_id", "^a", "A")
-    )
-    logs = _logs(spark, sf_dir).where("size(events) > 1")   # the others have no file
-    lines = timeline.timeline_lines(event_log.flatten(logs), use_email=True)
+    """Every run's log asked for by case id, by graph key, and by an id nobody has.
+
+    Customers are records too, but have no log.
+    """
+    runs = _log_records(spark, sf_dir)
+    lost = T.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("customer_"), F.col("c_custkey")).alias("graph_key"),
+        F.col("c_custkey").cast("long").alias("record_pos"),
+    ).withColumn("case_id", F.col("graph_key"))
     asked = runs.select(F.explode(F.array(
         F.col("case_id"), F.col("graph_key"), F.concat(F.lit("no_"), F.col("graph_key"))
-    )).alias("application_id"))
-    return timeline.answer(asked, timeline.log_keys(runs), timeline.timeline_texts(logs, lines))
+    )).alias("application_id")).union(lost.select("graph_key"))
+    keys = timeline.log_keys(runs.unionByName(lost))
+    return timeline.answer(asked, keys, _log_texts(spark, sf_dir))
+
+
+def _log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose case id is spelled unlike their graph key."""
+    return T.mail_records(spark, sf_dir).select(
+        F.regexp_replace("case_id", "^a", "A").alias("case_id"), "graph_key",
+        F.col("record_pos").cast("long").alias("record_pos"),
+    )
+
+
+def _log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = _logs(spark, sf_dir)
+    lines = timeline.timeline_lines(event_log.flatten(logs), use_email=True)
+    return timeline.timeline_texts(logs, lines)
+
+
+@query
+def guarded_log_requests(spark, sf_dir):
+    """Each log asked for by the case itself, under its other name, by a sibling and by others."""
+    runs = _log_records(spark, sf_dir)
+    own, other = F.col("graph_key"), F.col("case_id")
+
+    def ask(application_id, current_app):
+        return F.struct(application_id.alias("application_id"), current_app.alias("current_app"))
+
+    sibling = F.concat(F.substring_index("graph_key", "__", 1), F.lit("__none"))
+    asked = runs.select(F.inline(F.array(
+        ask(own, own), ask(other, own), ask(own, other), ask(other, sibling),
+        ask(own, F.lit("application_none__1")), ask(other, F.lit(None).cast("string")),
+        ask(F.concat(F.lit("no_"), own), own),
+    )))
+    return context.answer_log_requests(asked, timeline.log_keys(runs), _log_texts(spark, sf_dir))
 
 
 # --- guards and gates -----------------------------------------------------------------------
@@ -432,8 +554,8 @@ def _order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _case_graph(spark: SparkSession, sf_dir: str) -> context.CaseGraph:
-    return context.CaseGraph(T.graph_nodes(spark, sf_dir), T.graph_edges(spark, sf_dir))
+def _case_graph(spark: SparkSession, sf_dir: str, mask: bool = True) -> context.CaseGraph:
+    return context.CaseGraph(T.graph_nodes(spark, sf_dir), T.graph_edges(spark, sf_dir), mask)
 
 
 @query
@@ -469,13 +591,13 @@ def case_subgraph_text(spark, sf_dir):
 
 @query
 def similar_context(spark, sf_dir):
-    """Two most similar decisions of every decision, each with its neighbourhood."""
+    """Five most similar decisions of every decision, each with its neighbourhood."""
     raw = T.vector_nodes(spark, sf_dir)
     nodes = graph.node_table(raw.drop("app"))
     pool = similarity.candidates(nodes, raw.select("node_id", "app"))
     hits = context.similar_hits(
         nodes, raw.select("node_id", "app"),
-        _requests(pool, 2, F.lit(None).cast("string")),
+        _requests(pool, 5, F.lit(None).cast("string")),
     )
     return _case_graph(spark, sf_dir).similar_texts(hits, "decision", 0.5, hops=1)
 
@@ -516,10 +638,8 @@ def prompt_table_graph(spark, sf_dir):
                     F.lit("\n")).alias("observed_timeline"),
     )
     asked = records.select(F.col("graph_key").alias("asked"))
-    texts = g.application_texts(asked, hops=1, this_email=True)
-    return prompts.graph_prompts(
-        records, T.FixedCatalog(), texts, g.seed_lists(asked, hops=2)
-    ).drop("system")
+    texts = g.application_texts(asked, hops=2, this_email=True)
+    return prompts.graph_prompts(records, T.FixedCatalog(), texts, g.seed_lists(asked, hops=2))
 
 
 def _answers(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -539,7 +659,7 @@ def prompt_audit(spark, sf_dir):
         "prompt_key", "raw", "error"
     )
     shared = prompts.share_answers(made, answers)
-    return prompts.audit(records, made, shared).drop("system", "user", "assistant")
+    return prompts.audit(records, made, shared)
 
 
 # --- answers --------------------------------------------------------------------------------------
@@ -574,6 +694,20 @@ def predictions_echo(spark, sf_dir):
     ), "confidence")
 
 
+@query
+def predictions_echo_lines(spark, sf_dir):
+    """Record lines with their prediction set, read again."""
+    records = record_source.parse_records(T.record_lines(spark, sf_dir))
+    asked = predictions.predictable(records, use_email=True, use_graph=False)
+    answers = _answers(spark, sf_dir).join(asked.select("record_pos"), "record_pos", "left_semi")
+    back = record_source.parse_records(record_source.echo_lines(records, answers))
+    return rounded(back.select(
+        "record_pos", "case_id", "unit_id", "declared_size", F.col("email.subject").alias("subject"),
+        F.array_join("true_members", ">").alias("true_list"),
+        F.array_join("pred", ">").alias("pred"), "confidence",
+    ), "confidence")
+
+
 # --- scans ----------------------------------------------------------------------------------------
 
 @query
@@ -608,6 +742,19 @@ def vector_json_scan(spark, sf_dir):
     ), "text_sum")
 
 
+@query
+def catalog_scan(spark, sf_dir):
+    """A catalog of the event types, each in two spellings, read from its JSON text."""
+    entries = record_source.parse_catalog(T.catalog_document(spark, sf_dir))
+    catalog = record_source.Catalog(entries)
+    shown = F.create_map(*[F.lit(x) for pair in catalog.canonical.items() for x in pair])
+    return entries.select(
+        "pos", "event_type", "description",
+        F.element_at(shown, F.lower("event_type")).alias("canonical"),
+        F.lit(catalog.text).alias("catalog"),
+    )
+
+
 @query
 def records_json_scan(spark, sf_dir):
     return rounded(record_source.parse_records(T.record_lines(spark, sf_dir)).select(

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from caseweave.sources.records import Catalog
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -209,6 +208,21 @@ class FixedCatalog(Catalog):
         self.canonical = {k.lower(): k for k in CATALOG}
 
 
+def catalog_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON array: every event type as it is and, after it, with a capital."""
+    types = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    entry = types.select(F.inline(F.array(*[
+        F.struct(
+            spelling.alias("event_type"), F.concat(F.lit("seen "), "n", F.lit(" times")).alias("description")
+        ) for spelling in (F.col("event_type"), F.initcap("event_type"))
+    ])))
+    by_name = F.struct(F.lower("event_type"), (F.col("event_type") != F.lower("event_type")),
+                       F.struct("event_type", "description").alias("entry"))
+    return entry.agg(F.to_json(F.transform(
+        F.array_sort(F.collect_list(by_name)), lambda x: x["entry"]
+    )).alias("value"))
+
+
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns of each conversation, in order, as the mail of the user of that number."""
     turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
