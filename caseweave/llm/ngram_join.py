@@ -22,8 +22,8 @@ task. A column that still holds more than ``CROWD`` rows (a large group of near
 copies) does not give all its pairs: its rows are compared with those that have
 the fewest columns of their own, which are the nearest to what the group has in
 common. After linked rows have been found, only rows of the column that are not
-connected yet are paired, and of these only such whose heavy columns can hold
-the overlap. So a group of m near copies costs about m comparisons, and no link
+connected yet are paired, and of these only such whose columns from there on can
+hold the overlap. So a group of m near copies costs about m comparisons, and no link
 between unconnected rows is missed. Columns with very many rows are split over
 several blocks, each of which takes first rows of its own.
 
@@ -229,13 +229,14 @@ def product(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], blocks: int)
     """Pairs and crowded columns, written.
 
     Rows are (a, b, n, m, fa, fb, common) for pairs of class numbers, with common
-    null for pairs of a crowded column, and (a, n, fa, column, heavy) for rows of
-    such a column. fa and fb count the heavy columns of the two.
+    null for pairs of a crowded column, and (a, n, column, rest) for rows of such a
+    column. fa and fb count the heavy columns of the two, rest counts the columns of
+    a row from this one on.
     """
     known = texts.sparkSession.sparkContext.broadcast(heavy)
     shorts = _blocks(texts)
     entry = np.dtype([("column", "<u8"), ("who", "<i8"), ("n", "<i4"), ("light", "<i4"),
-                      ("heavy", "?"), ("split", "?")])
+                      ("rest", "<i4"), ("split", "?")])
 
     def deal(tables: Iterator):
         import pyarrow as pa
@@ -257,7 +258,7 @@ def product(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], blocks: int)
                 who = np.frombuffer(name, "<i8", 1)[0]
                 x = np.empty(len(first), entry)
                 x["column"], x["who"], x["n"], x["light"] = first, who, len(s), len(light)
-                x["heavy"], x["split"] = np.arange(len(first)) >= len(light), split > 0
+                x["rest"], x["split"] = len(s) - np.arange(len(first)), split > 0
                 parts.append(x)
                 blocks_of.append(
                     ((first + (who % (split + 1)).astype(np.uint64) * MIX) % np.uint64(blocks))
@@ -299,8 +300,8 @@ def product(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], blocks: int)
                 star_a.append(np.full(m - p - 1, s + p))
                 star_b.append(np.arange(s + p + 1, s + m))
         kinds = pa.schema(
-            [(c, pa.int64()) for c in ("a", "b", "n", "m", "fa", "fb", "common", "column")]
-            + [("heavy", pa.bool_())]
+            [(c, pa.int64())
+             for c in ("a", "b", "n", "m", "fa", "fb", "common", "column", "rest")]
         )
 
         def pairs(a, b, counted):
@@ -321,19 +322,18 @@ def product(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], blocks: int)
             columns = [a["who"], b["who"], a["n"], b["n"], a["n"] - a["light"], b["n"] - b["light"]]
             return pa.table(
                 [pa.array(c.astype(np.int64)) for c in columns]
-                + [pa.array(common, pa.int64()) if counted else none, none,
-                   pa.nulls(len(first), pa.bool_())], schema=kinds,
+                + [pa.array(common, pa.int64()) if counted else none, none, none], schema=kinds,
             )
 
         r = x[np.concatenate(crowd)] if crowd else x[:0]
         none = pa.nulls(len(r), pa.int64())
-        columns = [r["who"], r["n"], r["n"] - r["light"], r["column"].view(np.int64)]
-        who, n, free, of = (pa.array(c.astype(np.int64)) for c in columns)
-        held = pa.table([who, none, n, none, free, none, none, of, pa.array(r["heavy"])], schema=kinds)
+        columns = [r["who"], r["n"], r["column"].view(np.int64), r["rest"]]
+        who, n, of, rest = (pa.array(c.astype(np.int64)) for c in columns)
+        held = pa.table([who, none, n, none, none, none, none, of, rest], schema=kinds)
         return pa.concat_tables([pairs(a, b, True), pairs(star_a, star_b, False), held])
 
     kind = ("a long, b long, n long, m long, fa long, fb long, common long, column long, "
-            "heavy boolean")
+            "rest long")
     return materialise(
         texts.mapInArrow(deal, "block int, entries binary")
         .groupBy("block").applyInArrow(multiply, kind),
@@ -447,7 +447,7 @@ def links(docs: DataFrame, described_docs: DataFrame, text: str = "text") -> Dat
         .select("a", "b", "fa", "fb", "n", "m"),
         "gram-candidates",
     )
-    crowded = made.where("column IS NOT NULL").select(F.col("a").alias("who"), "column", "n", "fa", "heavy")
+    crowded = made.where("column IS NOT NULL").select(F.col("a").alias("who"), "column", "n", "rest")
     ends = pairs.select(F.col("a").alias("who")).union(pairs.select("b")).union(crowded.select("who"))
     sets = gathered(texts, ends.distinct())
 
@@ -463,25 +463,24 @@ def links(docs: DataFrame, described_docs: DataFrame, text: str = "text") -> Dat
     found = found.union(verified(sets, _apart(pairs, labels)))
     labels = _labels(found)
 
-    # what is left: rows of a crowded column that are still apart. Such rows have no light column
-    # in common, or they were a pair above; so the heavy columns of both must hold enough
+    # what is left: rows of a crowded column that are still apart. In the first column that two
+    # rows have in common, what either has from there on must hold the whole overlap, so a pair
+    # that is similar enough passes this bound in at least one column
     own = F.lpad(F.hex("who"), 16, "0")
     rows = materialise(
-        crowded.join(labels, "who", "left")
-        .withColumn("label", F.coalesce(F.hex("label"), own))
-        .where(~F.col("heavy") | (F.col("fa") >= ceiling(n, OVER, UNDER))),
+        crowded.join(labels, "who", "left").withColumn("label", F.coalesce(F.hex("label"), own)),
         "gram-crowds",
     )
     mixed = rows.groupBy("column").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     rows = rows.join(mixed.where("x <> y").select("column"), "column")
     other = rows.select(
         "column", F.col("who").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"),
-        F.col("fa").alias("fb"),
+        F.col("rest").alias("rest_b"),
     )
     apart = rows.join(other, "column").where(
         (F.col("label") < F.col("other"))
         & (UNDER * F.least("n", "m") >= OVER * F.greatest("n", "m"))
-        & (~F.col("heavy") | (free >= needed))
+        & (F.least("rest", "rest_b") >= needed)
     ).select(F.col("who").alias("a"), "b")
     return found.union(verified(sets, apart))
 
