@@ -12,11 +12,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseweave.runtime import materialise, work_dir
+from caseweave.runtime import work_dir
 
 __all__ = [
-    "BLANKS", "bind", "files_dir", "filesystem", "load", "materialise", "running_total", "stored", "words_of",
-    "work_dir",
+    "BLANKS", "bind", "files_dir", "filesystem", "load", "materialise", "release",
+    "running_total", "stored", "words_of", "work_dir", "written",
 ]
 
 BLANKS = " \t\n\v\f\r"
@@ -26,11 +26,43 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Folders of the tables written here, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def _written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """*df* written below the shared folder and read again, so that no consumer computes it anew."""
+    return _written(df, name)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """*df* written below the shared folder, compressed by zstd, and read again."""
-    path = f"{work_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, name, compression="zstd")
+
+
+def written(spark: SparkSession) -> list[str]:
+    """Folders of the tables that :func:`materialise` and :func:`stored` have written."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release(needed: DataFrame, paths: list[str]) -> list[str]:
+    """Delete the tables at *paths* that *needed* does not read; gives the paths that stay."""
+    spark = needed.sparkSession
+    read = {file.rsplit("/", 2)[-2] for file in needed.inputFiles()}
+    stay = [p for p in paths if p.rsplit("/", 1)[-1] in read]
+    for path in set(paths) - set(stay):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _WRITTEN[spark.sparkContext.applicationId].remove(path)
+    return stay
 
 
 def files_dir(spark: SparkSession, name: str) -> str:

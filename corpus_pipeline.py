@@ -12,20 +12,52 @@ documents; other columns of the input are carried along.
 * ``mixed_sources``: documents as often as the mix takes them, with the words it takes.
 * ``packed``: the pieces of all documents with their sequences and offsets.
 
+A stage begins by deleting the intermediate tables of the stages before it, whose
+results have been written by then; what its own input reads stays.
+
 Null texts fail the rules. Rows may repeat; the second stage keeps one of them.
 Stages take empty tables and give empty ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.llm import line_quality, mixing, ngram_join, packing, suffixes
-from caseweave.llm.common import load, materialise
+from caseweave.llm.common import load, materialise, release, written
 from caseweave.llm.tokens import default_vocabulary
 
 
+#: Tables that earlier stages wrote on their way, by application.
+_LEFT: dict[str, list[str]] = {}
+
+
+def _clean(docs: DataFrame) -> None:
+    app = docs.sparkSession.sparkContext.applicationId
+    _LEFT[app] = release(docs, _LEFT.get(app, []))
+
+
+def _keeping(spark: SparkSession, made: Callable[[], DataFrame]) -> DataFrame:
+    before = set(written(spark))
+    out = made()
+    left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
+    left += [path for path in written(spark) if path not in before]
+    return out
+
+
+def _stage(work: Callable) -> Callable:
+    @wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _clean(docs)
+        return _keeping(spark, lambda: work(spark, docs, sf_dir))
+
+    return stage
+
+
 def _with_text(docs: DataFrame, text, columns: list[str], kinds) -> DataFrame:
     out = docs.withColumn("text", text)
     if "n_chars" in columns:
@@ -33,6 +65,7 @@ def _with_text(docs: DataFrame, text, columns: list[str], kinds) -> DataFrame:
     return out.select(*columns)
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     judged = line_quality.judge(docs.select(F.struct(*columns).alias("_doc"), "text", "source"),
@@ -42,6 +75,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _with_text(kept, text, columns, docs.schema)
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     groups = ngram_join.near_copies(rows, id_col="_row")
@@ -53,6 +87,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(stays, "_row", "left_semi").select(*docs.columns)
 
 
+@_stage
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = suffixes.judged(
         docs.select(F.struct(*docs.columns).alias("_doc"), "text"), ["_doc"], keep=True
@@ -61,10 +96,12 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _with_text(rows, F.coalesce("_kept", "text"), docs.columns, docs.schema)
 
 
+@_stage
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs, default_vocabulary())
 
@@ -84,6 +121,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the rows of the last."""
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        made = stage(spark, docs, sf_dir)
+        docs = _keeping(spark, lambda made=made, name=name: materialise(made, name))
+    name, stage = STAGES[-1]
+    out = materialise(stage(spark, docs, sf_dir), name)
+    _clean(out)
+    return out
