@@ -15,13 +15,16 @@ up column by column. Three bounds keep the product small:
 Columns come in the order of their hashes, those of many rows last. Which are
 those is counted for all columns, by a short form of their hashes, in one pass;
 the list that all tasks get is bounded (``MOST_HEAVY``), and any list gives right
-results, as the order only has to be one and the same.
+results, as the order only has to be one and the same and no bound reads the list.
+Copies of a text in several tasks are counted there more than once, which can
+only change the order.
 
 Columns are dealt into blocks by hash, rows of a block are multiplied in one
 task. A column that still holds more than ``CROWD`` rows (a large group of near
 copies) does not give all its pairs: its rows are compared with those that have
 the fewest columns of their own, which are the nearest to what the group has in
-common. After linked rows have been found, only rows of the column that are not
+common. Pairs that met in other columns and need crowded ones to hold the
+overlap have these counted. After linked rows have been found, only rows of the column that are not
 connected yet are paired, and of these only such whose columns from there on can
 hold the overlap. So a group of m near copies costs about m comparisons, and no link
 between unconnected rows is missed. Columns with very many rows are split over
@@ -416,13 +419,13 @@ def _labels(links: DataFrame) -> DataFrame:
     return materialise(components(links).mapInArrow(numbers, "who long, label binary"), "gram-labels")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
     """The pairs whose ends are not connected yet."""
     la = labels.select(F.col("who").alias("a"), F.col("label").alias("la"))
     lb = labels.select(F.col("who").alias("b"), F.col("label").alias("lb"))
     return pairs.join(la, "a", "left").join(lb, "b", "left").where(
         F.coalesce(F.col("la") != F.col("lb"), F.lit(True))
-    ).select("a", "b")
+    ).select("a", "b", *more)
 
 
 def links(docs: DataFrame, described_docs: DataFrame, text: str = "text") -> DataFrame:
@@ -436,18 +439,27 @@ def links(docs: DataFrame, described_docs: DataFrame, text: str = "text") -> Dat
     n, m, common = F.col("n"), F.col("m"), F.col("common")
     needed = ceiling(n + m, OVER, OVER + UNDER)
     rest = F.greatest(ceiling(n, OVER, UNDER), ceiling(m, OVER, UNDER)) - 1
-    free = F.least("fa", "fb")
     pair = made.where("b IS NOT NULL").groupBy("a", "b", "n", "m", "fa", "fb").agg(
         F.sum("common").alias("common"), F.max(F.col("common").isNull()).alias("star")
     )
-    # either the parts that were multiplied hold enough, or, where all light columns were among
-    # them, the heavy columns can hold what is missing
+    crowded = made.where("column IS NOT NULL").select(F.col("a").alias("who"), "column", "n", "rest")
+    # either the columns that were multiplied hold enough, or crowded columns of both rows, which
+    # are not in ``common``, can hold what is missing; those pairs are counted below
+    crowds = materialise(
+        crowded.groupBy("who").agg(F.collect_set("column").alias("columns")), "gram-crowded"
+    )
+    held = crowds.select("who", F.size("columns").alias("held"))
+    sure = F.col("star") | (common >= needed - rest)
     pairs = materialise(
-        pair.where(F.col("star") | (common >= needed - rest) | (common + free >= needed))
-        .select("a", "b", "fa", "fb", "n", "m"),
+        pair.join(held.select(F.col("who").alias("a"), F.col("held").alias("ha")), "a", "left")
+        .join(held.select(F.col("who").alias("b"), F.col("held").alias("hb")), "b", "left")
+        .withColumn("sure", sure)
+        .where(F.col("sure") | (F.col("ha").isNotNull() & F.col("hb").isNotNull()
+            & (common + F.least("ha", "hb") >= needed - rest)))
+        .select("a", "b", "fa", "fb", "n", "m", "sure", (needed - rest - common).alias("short")),
         "gram-candidates",
     )
-    crowded = made.where("column IS NOT NULL").select(F.col("a").alias("who"), "column", "n", "rest")
+    unsure, pairs = pairs.where("NOT sure"), pairs.where("sure")
     ends = pairs.select(F.col("a").alias("who")).union(pairs.select("b")).union(crowded.select("who"))
     sets = gathered(texts, ends.distinct())
 
@@ -463,9 +475,19 @@ def links(docs: DataFrame, described_docs: DataFrame, text: str = "text") -> Dat
     found = found.union(verified(sets, _apart(pairs, labels)))
     labels = _labels(found)
 
+    # pairs that need crowded columns, which are counted now
+    both = (
+        _apart(unsure, labels, "short")
+        .join(crowds.select(F.col("who").alias("a"), F.col("columns").alias("x")), "a")
+        .join(crowds.select(F.col("who").alias("b"), F.col("columns").alias("y")), "b")
+    )
+    found = found.union(verified(sets, both.where(F.size(F.array_intersect("x", "y")) >= F.col("short"))))
+    labels = _labels(found)
+
     # what is left: rows of a crowded column that are still apart. In the first column that two
-    # rows have in common, what either has from there on must hold the whole overlap, so a pair
-    # that is similar enough passes this bound in at least one column
+    # rows have in common, what either has from there on must hold the whole overlap; where that
+    # column is not crowded the pair has been counted above, so any other pair that is similar
+    # enough passes this bound in at least one column
     own = F.lpad(F.hex("who"), 16, "0")
     rows = materialise(
         crowded.join(labels, "who", "left").withColumn("label", F.coalesce(F.hex("label"), own)),

@@ -113,6 +113,20 @@ def test_jaccard_join_equals_all_pairs(spark, monkeypatch):
         assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("most", [0, 5])
+def test_jaccard_join_needs_no_list_of_heavy_columns(spark, monkeypatch, most):
+    texts = []
+    for p in range(8):  # a column that 30 pairs of near copies have in common
+        phrase = [f"p{p}x{i}" for i in range(5)]
+        for k in range(30):
+            own = [f"q{p}x{k}x{i}" for i in range(8)]
+            texts += [" ".join(phrase + own + [end]) for end in ("a", "b")]
+    monkeypatch.setattr(ngram_join, "MOST_HEAVY", most)
+    got = by_id(ngram_join.near_copies(table(spark, texts)))
+    want = brute_components(texts)
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == want
+
+
 def test_jaccard_join_on_odd_rows(odd, none):
     got = by_id(ngram_join.near_copies(odd))
     assert got[0]["n_shingles"] == 0 and got[0]["component_id"] == 0
