@@ -26,7 +26,8 @@ the fewest columns of their own, which are the nearest to what the group has in
 common. Pairs that met in other columns and need crowded ones to hold the
 overlap have these counted. After linked rows have been found, only rows of the column that are not
 connected yet are paired, and of these only such whose columns from there on can
-hold the overlap. So a group of m near copies costs about m comparisons, and no link
+hold the overlap, which is part of the key (``crowd_sides``): texts that share a
+template but are not similar enough do not meet. So a group of m near copies costs about m comparisons, and no link
 between unconnected rows is missed. Columns with very many rows are split over
 several blocks, each of which takes first rows of its own.
 
@@ -64,6 +65,8 @@ MOST_HEAVY = 2_000_000
 #: Rows of a column up to which all its pairs are multiplied.
 CROWD = 12
 PIVOTS = 4
+#: Ratio of the sizes at which the size buckets of a crowded column begin.
+STEP_OF_SIZES = 1.05
 #: Rows of one column that go to one block.
 SPLIT = 200_000
 BLOCK_ENTRIES = 1_000_000
@@ -428,6 +431,32 @@ def _apart(pairs: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
     ).select("a", "b", *more)
 
 
+def crowd_sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (column, who, n, rest, label) as the smaller and as the larger row of a pair, keyed by
+    column and the size buckets of both.
+
+    A pair needs n + m <= 9/4 rest of either row, so its smaller row alone holds enough for two of
+    its own size, and its partners are in the buckets up to what it holds. Rows that have only a
+    part of their columns in common with a crowd meet no other such row.
+    """
+    def bucket(size):
+        return F.floor(F.log(size.cast("double")) / math.log(STEP_OF_SIZES)).cast("int")
+
+    n = F.col("n")
+    room = F.floor((OVER + UNDER) * F.col("rest") / OVER).cast("long") - n
+    up = F.least(room, F.floor(n * UNDER / OVER).cast("long"))
+    down, top = F.ceil(n * OVER / UNDER).cast("long"), F.least(room, n)
+    smaller = rows.where(up >= n).withColumn("bucket", bucket(n)).withColumn(
+        "bucket_b", F.explode(F.sequence(bucket(n), bucket(up)))
+    )
+    larger = rows.where(top >= down).select(
+        "column", F.col("who").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"),
+        F.col("rest").alias("rest_b"), bucket(n).alias("bucket_b"),
+        F.explode(F.sequence(bucket(down), bucket(top))).alias("bucket"),
+    )
+    return smaller, larger
+
+
 def links(docs: DataFrame, described_docs: DataFrame, text: str = "text") -> DataFrame:
     """(a, b): links between classes that connect all that are similar enough."""
     texts = docs.select(F.col(text).alias("t"))
@@ -495,15 +524,13 @@ def links(docs: DataFrame, described_docs: DataFrame, text: str = "text") -> Dat
     )
     mixed = rows.groupBy("column").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     rows = rows.join(mixed.where("x <> y").select("column"), "column")
-    other = rows.select(
-        "column", F.col("who").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"),
-        F.col("rest").alias("rest_b"),
-    )
-    apart = rows.join(other, "column").where(
-        (F.col("label") < F.col("other"))
-        & (UNDER * F.least("n", "m") >= OVER * F.greatest("n", "m"))
+    smaller, larger = crowd_sides(rows)
+    apart = smaller.join(larger, ["column", "bucket", "bucket_b"]).where(
+        (F.col("label") != F.col("other"))
+        & ((n < m) | ((n == m) & (F.col("who") < F.col("b"))))
+        & (UNDER * n >= OVER * m)
         & (F.least("rest", "rest_b") >= needed)
-    ).select(F.col("who").alias("a"), "b")
+    ).select(F.least("who", "b").alias("a"), F.greatest("who", "b").alias("b"))
     return found.union(verified(sets, apart))
 
 

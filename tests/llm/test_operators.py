@@ -127,6 +127,26 @@ def test_jaccard_join_needs_no_list_of_heavy_columns(spark, monkeypatch, most):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == want
 
 
+def test_rows_of_a_crowd_meet_by_size_and_rest(spark):
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(1, 120, 150)
+    rows = [(1, i, int(n), int(n - rng.integers(0, n // 5 + 1)), str(i)) for i, n in enumerate(sizes)]
+    # 300 rows that have 85 of 100 columns in common, which is too little for a link
+    rows += [(2, 1000 + i, 100, 85, str(1000 + i)) for i in range(300)]
+    smaller, larger = ngram_join.crowd_sides(
+        spark.createDataFrame(rows, "column long, who long, n long, rest long, label string")
+    )
+    met = smaller.join(larger, ["column", "bucket", "bucket_b"]).select("column", "who", "b").collect()
+    assert not [r for r in met if r["column"] == 2]
+    met = [(r["who"], r["b"]) for r in met]
+    assert len(met) == len(set(met))
+    want = {
+        (a, b) for _, a, n, x, _ in rows[:150] for _, b, m, y, _ in rows[:150]
+        if (n, a) < (m, b) and 5 * n >= 4 * m and 9 * min(x, y) >= 4 * (n + m)
+    }
+    assert want and want <= set(met)
+
+
 def test_jaccard_join_on_odd_rows(odd, none):
     got = by_id(ngram_join.near_copies(odd))
     assert got[0]["n_shingles"] == 0 and got[0]["component_id"] == 0
