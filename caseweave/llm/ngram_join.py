@@ -72,8 +72,6 @@ SPLIT = 200_000
 BLOCK_ENTRIES = 1_000_000
 #: Text bytes whose sets a task holds at once.
 BATCH_BYTES = 1 << 20
-#: Class numbers that are broadcast to pick the rows to verify, 8 bytes each; beyond it all travel.
-MOST_WANTED = 2_000_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TURN = np.uint64(0xD6E8FEB86659FD93)
@@ -349,28 +347,23 @@ def product(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], blocks: int)
 
 def gathered(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(who, class, grams) of the wanted class numbers, each class once, written."""
-    some = wanted.limit(MOST_WANTED + 1).toArrow().column("who").to_numpy()
-    # beyond the bound no list is sent, and all sets are kept
-    listed = texts.sparkSession.sparkContext.broadcast(
-        np.sort(some) if len(some) <= MOST_WANTED else None
-    )
+    # a table, so that the planner sees its size
+    wanted = materialise(wanted.select("who"), "gram-wanted")
 
     def gather(tables: Iterator):
         import pyarrow as pa
 
-        names = listed.value
         for fresh in _new_sets(tables):
-            who = np.array([np.frombuffer(name, "<i8", 1)[0] for name, _ in fresh])
-            keep = np.isin(who, names) if names is not None else np.ones(len(who), bool)
-            rows = np.flatnonzero(keep)
+            who = [np.frombuffer(name, "<i8", 1)[0] for name, _ in fresh]
             yield pa.RecordBatch.from_pydict({
-                "who": pa.array(who[rows], pa.int64()),
-                "class": pa.array([fresh[i][0] for i in rows], pa.binary()),
-                "grams": pa.array([fresh[i][1].tobytes() for i in rows], pa.binary()),
+                "who": pa.array(who, pa.int64()),
+                "class": pa.array([name for name, _ in fresh], pa.binary()),
+                "grams": pa.array([s.tobytes() for _, s in fresh], pa.binary()),
             })
 
     rows = texts.mapInArrow(gather, "who long, class binary, grams binary")
-    return materialise(rows.dropDuplicates(["class"]), "gram-sets")
+    some = rows.join(wanted, "who", "left_semi")
+    return materialise(some.dropDuplicates(["class"]), "gram-sets")
 
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -147,6 +147,22 @@ def test_rows_of_a_crowd_meet_by_size_and_rest(spark):
     assert want and want <= set(met)
 
 
+def test_sets_are_picked_without_a_list_in_the_driver(spark, monkeypatch):
+    texts = table(spark, ["a b c", "d e f", "a b c", None, "g h"]).select(F.col("text").alias("t"))
+    name = ngram_join.class_of(ngram_join.Grams().sets([b"a b c"])[0])
+    who = int(np.frombuffer(name, "<i8", 1)[0])
+    wanted = spark.createDataFrame([(who,)], "who long")
+
+    def collected(*_):
+        raise AssertionError("class numbers were collected")
+
+    for action in ("toArrow", "collect", "toPandas"):
+        monkeypatch.setattr(type(wanted), action, collected)
+    sets = ngram_join.gathered(texts, wanted)
+    monkeypatch.undo()
+    assert [(r["who"], bytes(r["class"])) for r in sets.collect()] == [(who, name)]
+
+
 def test_jaccard_join_on_odd_rows(odd, none):
     got = by_id(ngram_join.near_copies(odd))
     assert got[0]["n_shingles"] == 0 and got[0]["component_id"] == 0
