@@ -20,8 +20,10 @@
 Links between classes then count for all their members: a member is linked to
 the other members of its class and to all members of linked classes.
 
-Defined cases: null, zero or non-finite vectors and those of another width than
-most rows' have 0 links and are their own component; rows with the same vec_id
+Widths are few and are compared one after the other; only vectors of one width link.
+
+Defined cases: null, zero or non-finite vectors have 0 links and are their own
+component; rows with the same vec_id
 stay rows; a null vec_id has a null component unless a linked row has an id;
 labels and other columns are not read; an empty table gives no rows.
 """
@@ -94,11 +96,6 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         "vectors",
     )
-    usual = held.groupBy(F.size("v").alias("n")).count().where("n > 0").orderBy(
-        F.desc("count"), "n"
-    ).first()
-    width = usual["n"] if usual else 0
-    held = held.withColumn("class", F.when(F.size("v") == width, F.col("class")))
     grouped = held.where("class IS NOT NULL").groupBy("class").agg(
         F.first("v").alias("v"), F.count("*").alias("size"), F.min("vec_id").alias("least")
     )
@@ -109,7 +106,7 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def candidates(numbered: DataFrame, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
-    """(a, b): pairs of classes that collide often enough."""
+    """(a, b): pairs of classes, all of one width, that collide often enough."""
     n = numbered.count()
     first = numbered.select(F.size("v").alias("n")).first()
     if first is None:
@@ -200,7 +197,15 @@ def candidates(numbered: DataFrame, threshold: float = THRESHOLD, seed: int = SE
 
 
 def links(numbered: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): classes whose cosine is at least *threshold*; written."""
+    """(a, b): classes of one width whose cosine is at least *threshold*; written."""
+    widths = numbered.groupBy(F.size("v").alias("n")).count().where("count > 1").orderBy("n")
+    found = numbered.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0)
+    for row in widths.collect():
+        found = found.union(_links(numbered.where(F.size("v") == row["n"]), threshold))
+    return found
+
+
+def _links(numbered: DataFrame, threshold: float) -> DataFrame:
 
     def compare(batches_: Iterator):
         import pyarrow as pa

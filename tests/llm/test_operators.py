@@ -363,6 +363,23 @@ def test_embedding_links_equal_brute_force(spark):
     assert got[150]["component_id"] == 3 and not got[150]["kept"] and got[3]["kept"]
 
 
+def test_embeddings_of_every_width_are_compared(spark):
+    rng = np.random.default_rng(4)
+    wide, small = rng.standard_normal((30, 16)), rng.standard_normal((6, 8))
+    small[1], small[2] = small[0], small[0] + 0.001
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate([*wide, *small])]
+    rows += [(36, [1.0, 2.0], 0), (37, None, 0)]
+    got = collisions.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    got = {r["vec_id"]: r for r in got.collect()}
+    for group in (wide, small):
+        u = group / np.linalg.norm(group, axis=1, keepdims=True)
+        at = 0 if group is wide else 30
+        links = ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+        assert [got[at + i]["n_links"] for i in range(len(u))] == links
+    assert got[31]["component_id"] == got[32]["component_id"] == 30 and got[31]["n_links"] == 2
+    assert got[36]["n_links"] == got[37]["n_links"] == 0 and got[36]["kept"]
+
+
 def test_classifier_on_held_out_rows(spark, odd, none):
     rng = np.random.default_rng(8)
     texts = [" ".join(rng.choice(["good", "prose", "reads", "well"], 60)) if i % 2 else
