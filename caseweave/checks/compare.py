@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import glob
 import os
+import tempfile
 import time
 import traceback
 
@@ -65,13 +66,14 @@ def main() -> None:
 
     from caseweave.checks.oracles import ORACLES
     from caseweave.checks.queries import QUERIES
-    from caseweave.runtime import local_session
+    from caseweave.runtime import local_session, work_area
 
-    spark, con = local_session(8), connect(args.d)
+    spark, con = local_session(8, folder=tempfile.mkdtemp(prefix="caseweave-")), connect(args.d)
     for name in args.names or QUERIES:
         start = time.time()
         try:
-            n, problem = compare(spark, con, args.d, QUERIES[name], ORACLES.get(name))
+            with work_area(spark):
+                n, problem = compare(spark, con, args.d, QUERIES[name], ORACLES.get(name))
             state = "rows only" if name not in ORACLES else "ok" if problem is None else "DIFFERS"
         except Exception:
             n, problem, state = 0, traceback.format_exc()[-1800:], "FAILED"

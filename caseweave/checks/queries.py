@@ -10,6 +10,7 @@ from caseweave.fixed import MEAN_METRICS
 from caseweave.functions import text
 from caseweave.functions.sequences import with_pair_metrics
 from caseweave.operators import graph, guards, render, similarity, timeline, walk
+from caseweave.operators.links import WalkGraph
 from caseweave.plans import context, predictions, prompts, reports, scoring
 from caseweave.runtime import materialise
 from caseweave.sources import event_log, graph_dump
@@ -221,108 +222,120 @@ def _all_cases(nodes: DataFrame) -> DataFrame:
     return nodes.where("app_id is not null").select(F.col("app_id").alias("asked")).distinct()
 
 
-class Graph:
-    """The test graph with its adjacency written once per query."""
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.node_table(T.graph_nodes(spark, sf_dir))
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.nodes = graph.node_table(T.graph_nodes(spark, sf_dir))
-        self.edges = T.graph_edges(spark, sf_dir)
 
-    def walk_tables(self) -> "Graph":
-        self.nodes = materialise(self.nodes, "nodes")
-        self.edges = materialise(self.edges, "edges")
-        self.adjacency = materialise(graph.adjacency(self.nodes, self.edges), "adjacency")
-        return self
-
-    def around(self, hops: int) -> DataFrame:
-        resolved = graph.resolve(_all_cases(self.nodes), self.nodes)
-        seeds = walk.case_seeds(resolved, self.adjacency)
-        return walk.neighbourhood(seeds, self.nodes, self.adjacency, hops)
+def _case_graph(spark: SparkSession, sf_dir: str, mask: bool = True) -> context.CaseGraph:
+    return context.CaseGraph(T.graph_nodes(spark, sf_dir), T.graph_edges(spark, sf_dir), mask)
 
 
 @query
 def graph_nodes(spark, sf_dir):
-    return Graph(spark, sf_dir).nodes.select(
+    return _nodes(spark, sf_dir).select(
         "node_id", "label", "stable_id", "span", "app_id", "is_boundary", "is_leaky"
     )
 
 
 @query
 def graph_adjacency(spark, sf_dir):
-    g = Graph(spark, sf_dir)
-    return graph.adjacency(g.nodes, g.edges).select(
+    return graph.adjacency(_nodes(spark, sf_dir), T.graph_edges(spark, sf_dir)).select(
         "src", "dst", "src_app", "dst_actor", "dst_boundary", "dst_leaky"
     )
 
 
 @query
 def alias_resolution(spark, sf_dir):
-    return graph.case_ids(Graph(spark, sf_dir).nodes)
+    return graph.case_ids(_nodes(spark, sf_dir))
 
 
 @query
 def alias_fanout(spark, sf_dir):
-    return graph.alias_fanout(Graph(spark, sf_dir).nodes)
+    return graph.alias_fanout(_nodes(spark, sf_dir))
+
+
+def _around(spark, sf_dir, hops, **options) -> DataFrame:
+    g = _walk_graph(spark, sf_dir)
+    seeds = walk.case_seeds(_case_nodes(g), g)
+    return g.names(walk.neighbourhood(seeds, g, hops, **options)).select("asked", "node_id")
+
+
+def _walk_graph(spark: SparkSession, sf_dir: str) -> WalkGraph:
+    return WalkGraph(T.graph_nodes(spark, sf_dir), T.graph_edges(spark, sf_dir))
+
+
+def _case_nodes(g: WalkGraph) -> DataFrame:
+    """Every application by its id: (asked, node)."""
+    return g.numbers(graph.resolve(_all_cases(g.nodes), g.nodes))
 
 
 @query
 def case_neighbourhood_1(spark, sf_dir):
-    return Graph(spark, sf_dir).walk_tables().around(1)
+    return _around(spark, sf_dir, 1)
 
 
 @query
 def case_neighbourhood_2(spark, sf_dir):
-    return Graph(spark, sf_dir).walk_tables().around(2)
+    return _around(spark, sf_dir, 2)
 
 
 @query
 def case_neighbourhood_leaky(spark, sf_dir):
     """One hop, nodes that tell the answer among what is reached."""
-    g = Graph(spark, sf_dir).walk_tables()
-    seeds = walk.case_seeds(graph.resolve(_all_cases(g.nodes), g.nodes), g.adjacency)
-    return walk.neighbourhood(seeds, g.nodes, g.adjacency, 1, keep_leaky=True)
+    return _around(spark, sf_dir, 1, keep_leaky=True)
 
 
 @query
 def node_owner(spark, sf_dir):
-    g = Graph(spark, sf_dir).walk_tables()
-    return walk.owners(g.nodes, g.adjacency)
+    return walk.owners(_walk_graph(spark, sf_dir))
 
 
 @query
 def case_seed_ids(spark, sf_dir):
-    g = Graph(spark, sf_dir).walk_tables()
-    return walk.seed_ids(g.around(2), g.nodes)
+    g = _walk_graph(spark, sf_dir)
+    seeds = walk.case_seeds(_case_nodes(g), g)
+    return walk.seed_ids(walk.neighbourhood(seeds, g, 2), g)
+
+
+def _named_ends(g: WalkGraph, edges: DataFrame) -> DataFrame:
+    names = g.nodes.select("node_id", "node")
+    for side in ("src", "dst"):
+        edges = edges.withColumnRenamed(side, "node").join(names, "node").drop("node").withColumnRenamed(
+            "node_id", side
+        )
+    return edges
 
 
 @query
 def masked_edges(spark, sf_dir):
-    g = Graph(spark, sf_dir)
-    return render.masked_edges(g.edges, g.nodes)
+    g = _walk_graph(spark, sf_dir)
+    return _named_ends(g, render.masked_edges(g.edges)).select("src", "rel", "dst")
 
 
 @query
 def bare_case_drop(spark, sf_dir):
     """Sets of a case node alone, which goes, and of cases with their clusters, which stay."""
-    g = Graph(spark, sf_dir).walk_tables()
-    alone = graph.resolve(_all_cases(g.nodes), g.nodes).select("asked", "node_id")
-    clustered = walk.case_seeds(alone, g.adjacency).withColumn(
+    g = _walk_graph(spark, sf_dir)
+    alone = _case_nodes(g)
+    clustered = walk.case_seeds(alone, g).withColumn(
         "asked", F.concat("asked", F.lit("#clusters"))
     )
     sets = materialise(alone.unionByName(clustered), "reached")
-    return walk.without_bare_cases(sets, g.nodes, g.adjacency)
+    return g.names(walk.without_bare_cases(sets, g)).select("asked", "node_id")
 
 
 @query
 def induced_edges(spark, sf_dir):
-    g = Graph(spark, sf_dir).walk_tables()
-    members = materialise(g.around(2), "members")
-    return walk.induced_edges(members, render.masked_edges(g.edges, g.nodes))
+    g = _walk_graph(spark, sf_dir)
+    seeds = walk.case_seeds(_case_nodes(g), g)
+    members = materialise(walk.neighbourhood(seeds, g, 2), "members")
+    tied = walk.induced_edges(members, render.masked_edges(g.edges))
+    return _named_ends(g, tied).select("asked", "src", "rel", "dst")
 
 
 def _lines(spark: SparkSession, sf_dir: str, hops: int) -> DataFrame:
     g = _case_graph(spark, sf_dir)
-    return g.lines(g.application_members(_all_cases(g.nodes), hops), "asked", this_email=True)
+    return g.lines(g.members(_all_cases(g.nodes), hops), "asked", this_email=True)
 
 
 @query
@@ -334,7 +347,7 @@ def render_subgraph(spark, sf_dir):
 def render_unmasked(spark, sf_dir):
     """One hop, with the verbs of execution as they are."""
     g = _case_graph(spark, sf_dir, mask=False)
-    return g.lines(g.application_members(_all_cases(g.nodes), 1), "asked", this_email=True)
+    return g.lines(g.members(_all_cases(g.nodes), 1), "asked", this_email=True)
 
 
 @query
@@ -344,7 +357,7 @@ def subgraph_text(spark, sf_dir):
 
 @query
 def evidence_spans(spark, sf_dir):
-    nodes = Graph(spark, sf_dir).nodes
+    nodes = _nodes(spark, sf_dir)
     return nodes.where("label = 'EvidenceNode'").select(
         "stable_id", "span",
         text.base_case(F.col("stable_id")).alias("base"),
@@ -554,10 +567,6 @@ def _order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _case_graph(spark: SparkSession, sf_dir: str, mask: bool = True) -> context.CaseGraph:
-    return context.CaseGraph(T.graph_nodes(spark, sf_dir), T.graph_edges(spark, sf_dir), mask)
-
-
 @query
 def guarded_subgraph(spark, sf_dir):
     return _case_graph(spark, sf_dir).answer_subgraph_requests(
@@ -574,7 +583,7 @@ def coverage_gate(spark, sf_dir):
         .alias("graph_key"),
         F.lit("application_none").alias("case_id"),
     )
-    return rounded(guards.coverage(asked, Graph(spark, sf_dir).nodes), "coverage")
+    return rounded(guards.coverage(asked, _nodes(spark, sf_dir)), "coverage")
 
 
 # --- retrieval texts --------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Per-pair sequence metrics as columns over two token arrays.
 
-Distance, LCS and alignment come from one pass of :mod:`alignment`; everything
-else is built-in array expressions over a per-token count list.
+Distance, LCS and alignment come from one pass of :mod:`alignment`, token counts
+and rank agreement from another; everything else is built-in array expressions
+over the token counts, each in one run over them.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.fixed import DELETE, INSERT
-from caseweave.functions.alignment import align
+from caseweave.functions.alignment import align, tally
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -22,37 +23,15 @@ def _f1(precision: Column, recall: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(2 * precision * recall / total)
 
 
-def token_counts(true: Column, pred: Column) -> Column:
-    """Array of (token, n_true, n_pred) over the distinct tokens of both lists."""
-    return F.transform(
-        F.array_union(true, pred),
-        lambda tok: F.struct(
-            tok.alias("token"),
-            F.size(F.filter(true, lambda x: x.eqNullSafe(tok))).alias("n_true"),
-            F.size(F.filter(pred, lambda x: x.eqNullSafe(tok))).alias("n_pred"),
-        ),
-    )
-
-
 def _total(counts: Column, value) -> Column:
     return F.aggregate(counts, F.lit(0), lambda acc, c: acc + value(c))
 
 
-def kendall_tau(true: Column, pred: Column) -> Column:
+def kendall_tau(n_shared: Column, n_discordant: Column) -> Column:
     """Rank agreement of first positions of shared tokens; 1.0 below two shared."""
-    # array_intersect keeps the order of first occurrence in ``true``
-    ranks = F.transform(F.array_intersect(true, pred), lambda tok: F.array_position(pred, tok))
-    n = F.size(ranks)
-    discordant = F.aggregate(
-        F.transform(
-            ranks,
-            lambda x, i: F.size(F.filter(ranks, lambda y, j: (j > i) & (y < x))),
-        ),
-        F.lit(0),
-        lambda acc, x: acc + x,
-    )
+    n = n_shared.cast("double")
     n_pairs = n * (n - 1) / 2
-    return F.when(n < 2, F.lit(1.0)).otherwise((n_pairs - 2 * discordant) / n_pairs)
+    return F.when(n < 2, F.lit(1.0)).otherwise((n_pairs - 2 * n_discordant) / n_pairs)
 
 
 def category(true: Column, pred: Column, counts: Column) -> Column:
@@ -86,8 +65,8 @@ def _surplus(counts: Column, more: str, less: str) -> Column:
 def with_pair_metrics(df: DataFrame, true: str, pred: str) -> DataFrame:
     """Add every per-pair metric, the error category, fp/fn maps and the alignment."""
     t, p = F.col(true), F.col(pred)
-    df = df.withColumn("_aligned", align(t, p)).withColumn("_counts", token_counts(t, p))
-    counts = F.col("_counts")
+    df = df.withColumn("_aligned", align(t, p)).withColumn("_tally", tally(t, p))
+    counts = F.col("_tally.counts")
     n, m = F.size(t), F.size(p)
     longest = F.greatest(n, m)
     both_empty = longest == 0
@@ -124,7 +103,7 @@ def with_pair_metrics(df: DataFrame, true: str, pred: str) -> DataFrame:
         .when((n == 0) | (m == 0), F.lit(0.0))
         .otherwise(dot / norms),
         "lcs_ratio": F.when(both_empty, F.lit(1.0)).otherwise(_ratio(lcs, longest)),
-        "kendall_tau": kendall_tau(t, p),
+        "kendall_tau": kendall_tau(F.col("_tally.n_shared"), F.col("_tally.n_discordant")),
         "exact_match": t == p,
         "category": category(t, p, counts),
         "fp": _surplus(counts, "n_pred", "n_true"),
@@ -153,7 +132,7 @@ def with_pair_metrics(df: DataFrame, true: str, pred: str) -> DataFrame:
             steps_where(lambda s: s["pred"].isNull()).alias("del"),
         ),
         "subs": F.filter(steps, lambda s: s["true"] != s["pred"]),
-    }).drop("_aligned", "_counts")
+    }).drop("_aligned", "_tally")
 
 
 def confusion_labels(step: Column) -> tuple[Column, Column]:

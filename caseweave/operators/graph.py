@@ -54,35 +54,34 @@ def node_table(raw: DataFrame) -> DataFrame:
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Undirected neighbour pairs with the flags walks need at either end.
 
-    Parallel edges collapse: a walk only asks whether two nodes touch. Both
-    flag joins are plain equi-joins on a node id, so a node that ends most of
-    the edges is split by adaptive skew handling.
+    Parallel edges collapse: a walk only asks whether two nodes touch. Each pair
+    gets the flags of both ends once, in two equi-joins on a node id, so a node
+    that ends most of the edges is split by adaptive skew handling; only then it
+    is written both ways round.
     """
-    ends = F.array(
-        F.struct(F.col("src"), F.col("dst")),
-        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")),
-    )
-    pairs = edges.select(F.inline(ends)).distinct()
-    flags = nodes.select(
-        "node_id", "app_id", "is_case", "is_cluster", "is_actor", "is_leaky", "is_boundary",
-        "links_case",
-    )
-    return (
-        pairs.join(flags.select(
-            F.col("node_id").alias("src"),
-            F.col("app_id").alias("src_app"),
-            F.col("is_case").alias("src_case"),
-            F.col("is_actor").alias("src_actor"),
-        ), "src")
-        .join(flags.select(
-            F.col("node_id").alias("dst"),
-            F.col("app_id").alias("dst_app"),
-            F.col("is_cluster").alias("dst_cluster"),
-            F.col("is_actor").alias("dst_actor"),
-            F.col("is_leaky").alias("dst_leaky"),
-            F.col("is_boundary").alias("dst_boundary"),
-            F.col("links_case").alias("dst_links_case"),
-        ), "dst")
+    pairs = edges.select(
+        F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
+    ).distinct()
+    names = [
+        "app_id", "is_case", "is_cluster", "is_actor", "is_leaky", "is_boundary", "links_case"
+    ]
+    flags = nodes.select("node_id", F.struct("node_id", *names).alias("end"))
+
+    def ends(side: str) -> DataFrame:
+        return flags.select(F.col("node_id").alias(side), F.col("end").alias(f"{side}_end"))
+
+    both = pairs.join(ends("a"), "a").join(ends("b"), "b").select("a_end", "b_end")
+    ways = F.array_distinct(F.array(
+        F.struct(F.col("a_end").alias("src"), F.col("b_end").alias("dst")),
+        F.struct(F.col("b_end").alias("src"), F.col("a_end").alias("dst")),
+    ))
+    return both.select(F.inline(ways)).select(
+        F.col("src.node_id").alias("src"), F.col("dst.node_id").alias("dst"),
+        F.col("src.app_id").alias("src_app"), F.col("src.is_case").alias("src_case"),
+        F.col("src.is_actor").alias("src_actor"), F.col("dst.app_id").alias("dst_app"),
+        F.col("dst.is_cluster").alias("dst_cluster"), F.col("dst.is_actor").alias("dst_actor"),
+        F.col("dst.is_leaky").alias("dst_leaky"), F.col("dst.is_boundary").alias("dst_boundary"),
+        F.col("dst.links_case").alias("dst_links_case"),
     )
 
 

@@ -1,143 +1,159 @@
-"""Bounded graph walks, for all cases at once."""
+"""Bounded graph walks, for all cases at once, over the tables of :mod:`links`."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.fixed import DECISION, EVIDENCE, OWNER_HOPS, RATIONALE
+from caseweave.operators.links import WalkGraph, has
+from caseweave.runtime import materialise
 
 
-def case_seeds(resolved: DataFrame, adjacency: DataFrame, key: str = "asked") -> DataFrame:
-    """Case nodes of each application plus every cluster next to one of them."""
-    clusters = adjacency.where("dst_cluster and src_app is not null").select("src", "dst")
-    return (
-        resolved.join(clusters, F.col("node_id") == F.col("src"), "left")
-        .select(key, F.explode(F.array("node_id", "dst")).alias("node_id"))
-        .where("node_id is not null")
-        .distinct()
-    )
+def _hop(graph: WalkGraph, frontier: DataFrame, links: DataFrame) -> DataFrame:
+    """Frontier rows (.., node, salts) joined with the links of their nodes.
 
+    Only the frontier is shuffled, to where the links of its nodes are.
+    """
+    placed = graph.spread(frontier.select("*", F.col("node").alias("src")), "node", "salts")
+    return placed.dropDuplicates().drop("node", "salts").join(links, ["src", "salt"])
 
-def _spread(reach: DataFrame, links: DataFrame, key: str, hops: int) -> DataFrame:
-    """Breadth-first levels of (key, node); ``links`` is (src, dst, stops).
 
-    ``state`` is twice the level, plus one for nodes that are kept but not left
-    again. A step joins the newest level and carries the older rows along in
-    the same outer join, so each level is consumed once and a plan of several
-    hops stays a chain. The minimum is aggregated on the map side before the
-    shuffle.
-    """
-    for step in range(1, hops + 1):
-        leaves = F.col("state") == 2 * (step - 1)
-        stepped = reach.join(
-            links, (F.col("node_id") == F.col("src")) & leaves, "left"
-        ).select(key, F.inline(F.array(
-            F.struct(F.col("node_id"), F.col("state")),
-            F.struct(
-                F.col("dst").alias("node_id"),
-                (F.lit(2 * step) + F.col("stops").cast("int")).alias("state"),
-            ),
-        )))
-        reach = (
-            stepped.where("node_id is not null")
-            .groupBy(key, "node_id")
-            .agg(F.min("state").alias("state"))
-        )
-    return reach
+def case_seeds(resolved: DataFrame, graph: WalkGraph, key: str = "asked") -> DataFrame:
+    """(key, node): case nodes of each application plus every cluster next to one of them."""
+    starts = graph.salted(resolved.select(key, "node"), "node", "salts")
+    clusters = graph.links.where(has("src_flags", "is_app") & has("dst_flags", "is_cluster"))
+    near = _hop(graph, starts, clusters.select("src", "salt", "dst")).select(
+        key, F.col("dst").alias("node")
+    )
+    return resolved.select(key, "node").unionByName(near).distinct()
 
 
 def neighbourhood(
-    seeds: DataFrame,
-    nodes: DataFrame,
-    adjacency: DataFrame,
-    hops: int,
-    key: str = "asked",
-    keep_leaky: bool = False,
+    seeds: DataFrame, graph: WalkGraph, hops: int, key: str = "asked", keep_leaky: bool = False
 ) -> DataFrame:
-    """(key, node_id) within *hops* of the seeds.
+    """(key, node) within *hops* of the seeds (key, node).
 
     Cases, clusters and actors that are reached are kept but not walked through,
     which also takes the fan-out of hub actors out of every step. Seeds always
     spread, an actor is never a seed, and leaky nodes are left out.
+
+    A hop writes what it reaches, feeds the nodes that are walked through to the
+    next one, and the levels meet in one aggregation at the end. Nodes that end
+    the walk are not shuffled by node at all, however many sets they are in.
     """
-    links = adjacency if keep_leaky else adjacency.where("not dst_leaky")
-    links = links.select("src", "dst", F.col("dst_boundary").alias("stops"))
-    starts = (
-        seeds.join(nodes.select("node_id", "is_actor", "is_leaky"), "node_id")
-        .where("not is_actor")
-        .select(key, "node_id", F.lit(0).alias("state"))
-        .distinct()
+    links = graph.links if keep_leaky else graph.links.where(~has("dst_flags", "is_leaky"))
+    links = links.select(
+        "src", "salt", "dst", "dst_salts", has("dst_flags", "is_boundary").alias("stops")
+    )
+    flags = graph.nodes.select("node", "is_actor", "is_leaky")
+    starts = materialise(
+        graph.salted(
+            seeds.select(key, "node").join(flags, "node").where("not is_actor"), "node", "salts"
+        ),
+        "starts",
     )
-    reach = _spread(starts, links, key, max(0, hops)).select(key, "node_id")
-    if keep_leaky:
-        return reach
     # a leaky seed spreads but is not shown
-    leaky = nodes.where("is_leaky").select("node_id")
-    return reach.join(leaky, "node_id", "left_anti").select(key, "node_id")
+    shown = starts if keep_leaky else starts.where("not is_leaky")
+    reached = shown.select(key, "node")
+    frontier = starts.select(key, "node", "salts")
+    for step in range(1, max(0, hops) + 1):
+        level = _hop(graph, frontier, links).select(
+            key, F.col("dst").alias("node"), F.col("dst_salts").alias("salts"), "stops"
+        )
+        if step < hops:
+            level = materialise(level, "level")
+            frontier = level.where("not stops").select(key, "node", "salts")
+        reached = reached.unionByName(level.select(key, "node"))
+    return reached.distinct()
 
 
-def owners(nodes: DataFrame, adjacency: DataFrame, hops: int = OWNER_HOPS) -> DataFrame:
+def owners(graph: WalkGraph, hops: int = OWNER_HOPS) -> DataFrame:
     """Owning application of every decision and rationale: (node_id, app).
 
     The owner is the smallest application id among the case nodes within *hops*,
     walking through anything but actors and case nodes. Since only the smallest
-    counts, each hop passes one value per node to its neighbours and keeps the
+    counts, each hop passes one code per node to its neighbours and keeps the
     minimum: (node, case) pairs never exist, and a node shared by very many
-    cases costs no more than its edges.
+    cases costs no more than its edges. A hop shuffles the codes, pre-aggregated,
+    to where the links of their nodes are, and nothing else.
     """
     if hops < 1:
         raise ValueError("an owner is at least one hop away")
-    best = nodes.where("app_id is not null").select("node_id", F.col("app_id").alias("app"))
-    cases = best
-    links = adjacency.where("dst_app is not null or not dst_actor").select(
-        "src", "dst", (F.col("src_app").isNull() & ~F.col("src_actor")).alias("passes_on")
+    cases = graph.nodes.where("app_id is not null").join(graph.apps, "app_id").select("node", "app")
+    links = graph.links.select(
+        "src", "salt", "dst", "dst_salts",
+        (~has("src_flags", "is_app") & ~has("src_flags", "is_actor")).alias("passes_on"),
     )
-    for step in range(1, hops + 1):
-        told = (
-            links.join(best, F.col("dst") == F.col("node_id"))
-            .groupBy("src")
-            .agg(F.min("app").alias("app"), F.bool_and("passes_on").alias("passes_on"))
+
+    def told(to: Column, salts: Column) -> Column:
+        """One row per salt of the node that is told."""
+        return F.when(salts == 1, F.array(F.struct(to.alias("node"), F.lit(0).alias("salt")))).otherwise(
+            F.transform(
+                F.sequence(F.lit(0), salts - 1), lambda s: F.struct(to.alias("node"), s.alias("salt"))
+            )
         )
-        if step < hops:
-            passed = told.where("passes_on").select(F.col("src").alias("node_id"), "app")
-            best = cases.unionByName(passed)
-    ranked = nodes.where("is_ranked").select("node_id", F.col("app_id").alias("own"))
-    found = told.select(F.col("src").alias("node_id"), "app")
-    plain = found.join(ranked.where("own is null"), "node_id").select("node_id", "app")
-
-    both = ranked.where("own is not null")
-    if both.isEmpty():
-        return plain
-    # A decision that is a case node itself must not find itself; the minimum
-    # cannot tell, so the few such nodes are walked one by one.
-    links = adjacency.select(
-        "src", "dst", (F.col("dst_app").isNotNull() | F.col("dst_actor")).alias("stops")
+
+    def smallest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("node", "salt").agg(F.min("app").alias("app"))
+
+    first = _hop(graph, graph.salted(cases, "node", "salts"), links)
+    best = smallest(first.select("app", F.inline(told(F.col("dst"), F.col("dst_salts")))))
+    for _ in range(1, hops):
+        near = links.where("passes_on")
+        met = best.join(near, (F.col("node") == near["src"]) & (best["salt"] == near["salt"]), "left")
+        # what a node was told before stays; walks of fewer hops count as well
+        kept = F.array(F.struct(F.col("node"), best["salt"].alias("salt")))
+        on = F.when(F.col("dst").isNotNull(), told(F.col("dst"), F.col("dst_salts")))
+        both = F.concat(kept, F.coalesce(on, F.filter(kept, lambda _: F.lit(False))))
+        best = smallest(met.select("app", F.inline(both)))
+    ranked = graph.nodes.where("is_ranked").select("node_id", "node", "app_id")
+    found = best.where("salt = 0").select("node", "app")
+    plain = found.join(ranked.where("app_id is null"), "node").select("node_id", "app")
+    own = _owners_of_cases(graph, ranked.where("app_id is not null"), cases, hops)
+    return (
+        plain.unionByName(own).join(graph.apps, "app")
+        .select("node_id", F.col("app_id").alias("app"))
     )
-    starts = both.select(
-        F.col("node_id").alias("start"), "node_id", F.lit(0).alias("state")
+
+
+def _owners_of_cases(graph: WalkGraph, both: DataFrame, cases: DataFrame, hops: int) -> DataFrame:
+    """(node_id, app) of decisions that are case nodes themselves and must not find themselves.
+
+    The minimum cannot tell, so these few are walked one by one; a graph without
+    any ends each join at once, its left side being empty.
+    """
+    links = graph.links.select(
+        "src", "salt", "dst", "dst_salts",
+        (has("dst_flags", "is_app") | has("dst_flags", "is_actor")).alias("stops"),
     )
-    reach = _spread(starts, links, "start", hops).where("state > 0")
-    own = (
-        reach.join(cases, "node_id")
-        .groupBy("start")
-        .agg(F.min("app").alias("app"))
-        .select(F.col("start").alias("node_id"), "app")
+    frontier = graph.salted(both.select("node_id", "node"), "node", "salts")
+    reached = None
+    for step in range(1, hops + 1):
+        level = _hop(graph, frontier, links).select(
+            "node_id", F.col("dst").alias("node"), F.col("dst_salts").alias("salts"), "stops"
+        )
+        if step < hops:
+            level = materialise(level.distinct(), "level")
+        found = level.select("node_id", "node")
+        reached = found if reached is None else reached.unionByName(found)
+        frontier = level.where("not stops").select("node_id", "node", "salts")
+    itself = both.select("node_id", "node")
+    return (
+        reached.join(itself, ["node_id", "node"], "left_anti").join(cases, "node")
+        .groupBy("node_id").agg(F.min("app").alias("app"))
     )
-    return plain.unionByName(own)
 
 
-def without_bare_cases(
-    members: DataFrame, nodes: DataFrame, adjacency: DataFrame, key: str = "asked"
-) -> DataFrame:
-    """Drop case nodes no evidence, decision, rationale or cluster of the set touches."""
-    cases = members.join(nodes.where("is_case").select("node_id"), "node_id", "left_semi")
-    touching = adjacency.where("src_case and dst_links_case").select(
+def without_bare_cases(members: DataFrame, graph: WalkGraph, key: str = "asked") -> DataFrame:
+    """Drop case nodes no evidence, decision, rationale or cluster of the set (key, node) touches."""
+    cases = members.join(graph.nodes.where("is_case").select("node"), "node", "left_semi")
+    touching = graph.links.where(has("src_flags", "is_case") & has("dst_flags", "links_case")).select(
         "src", F.lit("touches").alias("rel"), "dst"
     )
-    linked = induced_edges(members, touching, key).select(key, F.col("src").alias("node_id"))
-    bare = cases.join(linked, [key, "node_id"], "left_anti").select(key, "node_id")
-    return members.join(bare, [key, "node_id"], "left_anti").select(key, "node_id")
+    linked = induced_edges(members, touching, key).select(key, F.col("src").alias("node"))
+    bare = cases.join(linked, [key, "node"], "left_anti").select(key, "node")
+    return members.join(bare, [key, "node"], "left_anti").select(key, "node")
 
 
 def induced_edges(
@@ -150,23 +166,23 @@ def induced_edges(
     every edge before the second end is checked. With *tag*, a column of
     *members*, the ends' tags come along as ``src_tag`` and ``dst_tag``.
     """
-    spread = members.groupBy("node_id").agg(F.count("*").alias("n"))
+    spread = members.groupBy("node").agg(F.count("*").alias("n"))
     sized = (
         edges.distinct()
-        .join(spread.select(F.col("node_id").alias("src"), F.col("n").alias("n_src")), "src")
-        .join(spread.select(F.col("node_id").alias("dst"), F.col("n").alias("n_dst")), "dst")
+        .join(spread.select(F.col("node").alias("src"), F.col("n").alias("n_src")), "src")
+        .join(spread.select(F.col("node").alias("dst"), F.col("n").alias("n_dst")), "dst")
     )
     from_src = F.col("n_src") <= F.col("n_dst")
     keyed = sized.select(
         "src", "rel", "dst", from_src.alias("from_src"),
-        F.when(from_src, F.col("src")).otherwise(F.col("dst")).alias("node_id"),
+        F.when(from_src, F.col("src")).otherwise(F.col("dst")).alias("node"),
         F.when(from_src, F.col("dst")).otherwise(F.col("src")).alias("other"),
     )
     near, far = ([F.col(tag).alias(n)] if tag else [] for n in ("near_tag", "far_tag"))
     tied = (
-        members.select(key, "node_id", *near)
-        .join(keyed, "node_id")
-        .join(members.select(key, F.col("node_id").alias("other"), *far), [key, "other"])
+        members.select(key, "node", *near)
+        .join(keyed, "node")
+        .join(members.select(key, F.col("node").alias("other"), *far), [key, "other"])
     )
     if not tag:
         return tied.select(key, "src", "rel", "dst")
@@ -177,12 +193,12 @@ def induced_edges(
     )
 
 
-def seed_ids(members: DataFrame, nodes: DataFrame, key: str = "asked") -> DataFrame:
+def seed_ids(members: DataFrame, graph: WalkGraph, key: str = "asked") -> DataFrame:
     """Decision, rationale and evidence ids of each set in long form."""
     kinds = {DECISION: "decisions", RATIONALE: "rationales", EVIDENCE: "evidence"}
     kind = F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in kinds.items()])
     return (
-        members.join(nodes.select("node_id", "label", "stable_id"), "node_id")
+        members.join(graph.nodes.select("node", "label", "stable_id"), "node")
         .select(key, kind.alias("kind"), "stable_id")
         .where("kind is not null")
     )

@@ -1,16 +1,19 @@
-"""Session helpers: where intermediate tables go and how they are written."""
+"""Session helpers: where intermediate tables go, how they are written and when they are deleted."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and the bench; a cluster brings its own."""
-    spark = (
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, folder: str | None = None
+) -> SparkSession:
+    """Session for tests and the bench; a cluster brings its own. *folder* is for intermediate tables."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("caseweave")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -23,8 +26,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if folder:
+        builder = builder.config("spark.checkpoint.dir", folder)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -32,18 +37,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a temporary folder: on a cluster such a folder would be lost
-    together with the machine it is on.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset the
+    warehouse is used, which all executors can reach as well.
     """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="caseweave-"))
-    return sc.getCheckpointDir()
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/caseweave-intermediate"
+
+
+#: Folders written by each open work area, innermost last.
+_AREAS: list[list[str]] = []
+
+
+def written_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table, known to the open work area."""
+    path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _AREAS:
+        _AREAS[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +66,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     and gives the planner real sizes to choose joins by.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = written_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_table(spark: SparkSession, table: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+@contextmanager
+def work_area(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables written inside, once their results have been used.
+
+    Meant around building a query and using its result, by the thread that does
+    both: ``with work_area(spark): query(...).write.parquet(...)``.
+    """
+    known = {t.name for t in spark.catalog.listTables()}
+    _AREAS.append([])
+    try:
+        yield
+    finally:
+        for table in {t.name for t in spark.catalog.listTables()} - known:
+            if table.startswith("links_"):
+                forget_table(spark, table)
+        for path in _AREAS.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

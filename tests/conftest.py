@@ -6,8 +6,8 @@ from caseweave.runtime import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, shuffle_partitions=4)
+def spark(tmp_path_factory):
+    session = local_session(4, shuffle_partitions=4, folder=str(tmp_path_factory.mktemp("work")))
     yield session
     session.stop()
 

@@ -2,7 +2,9 @@ import pytest
 from conftest import CURRENT, SIBLING, UNRELATED, node, occurrence, rows, tie
 
 from caseweave.operators import graph, guards, render, similarity, walk
+from caseweave.operators.links import WalkGraph
 from caseweave.plans.context import CaseGraph, similar_hits
+from caseweave.runtime import materialise, work_area
 from pyspark.sql import functions as F
 
 
@@ -13,7 +15,7 @@ def three(spark, dump, three_occurrences):
 
 
 def owned(g):
-    return walk.owners(g.nodes, g.adjacency)
+    return walk.owners(g)
 
 
 def hits(spark, g, query_id, kind="DecisionNode", current=None, exclude=True):
@@ -129,13 +131,9 @@ def case_with_actor():
 
 
 def drawn(spark, dump, items, ids, mask=True, this_email=False):
-    nodes, edges = dump(items)
-    table = graph.node_table(nodes)
-    members = spark.createDataFrame([("k", i) for i in ids], "key string, node_id string")
-    lines = render.subgraph_lines(
-        members, render.render_table(table), render.masked_edges(edges, table, mask), "key",
-        this_email,
-    )
+    g = CaseGraph(*dump(items), mask)
+    members = g.numbers(spark.createDataFrame([("k", i) for i in ids], "key string, node_id string"))
+    lines = render.subgraph_lines(members, g.nodes, g.rendered, "key", this_email)
     return render.subgraph_text(lines, "key").first().text
 
 
@@ -179,7 +177,7 @@ def test_walk_keeps_but_does_not_leave_boundaries(spark, dump):
     assert ("app_1", "ev") in rows(with_events, "asked", "node_id")
     # an actor is never a seed
     start = spark.createDataFrame([("k", "act")], "asked string, node_id string")
-    assert walk.neighbourhood(start, g.nodes, g.adjacency, 2).count() == 0
+    assert walk.neighbourhood(g.numbers(start), g, 2).count() == 0
 
 
 def test_owner_is_the_smallest_and_not_the_node_itself(spark, dump):
@@ -221,8 +219,8 @@ def test_bare_cases_are_dropped(spark, dump):
         [("k", n) for n in ("p1", "p2", "c1", "v")] + [("m", "p1"), ("m", "v")],
         "asked string, node_id string",
     )
-    kept = walk.without_bare_cases(members, g.nodes, g.adjacency)
-    assert rows(kept, "asked", "node_id") == [("k", "c1"), ("k", "p1"), ("k", "v"), ("m", "v")]
+    kept = walk.without_bare_cases(materialise(g.numbers(members), "sets"), g)
+    assert rows(g.names(kept), "asked", "node_id") == [("k", "c1"), ("k", "p1"), ("k", "v"), ("m", "v")]
 
 
 def test_similar_text(spark, three):

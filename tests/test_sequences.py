@@ -144,3 +144,79 @@ def test_batches_are_cut_without_changing_results(spark, monkeypatch):
     long = random_pairs(4, 120, seed=2)
     for (t, p), r in zip(long, scored(spark, long)):
         assert r["edit_distance"] == distance(tuple(t), tuple(p))
+
+
+def solved(pairs):
+    """Distance, LCS and path of each pair, solved as one batch."""
+    import numpy as np
+
+    n, m = (np.array([len(p[side]) for p in pairs]) for side in (0, 1))
+    a = np.full((len(pairs), n.max()), -1, np.int32)
+    b = np.full((len(pairs), m.max()), -2, np.int32)
+    for k, (t, p) in enumerate(pairs):
+        a[k, : len(t)], b[k, : len(p)] = t, p
+    distances, lengths, sizes, steps = alignment._solve(a, b, n, m)
+    return list(zip(distances.tolist(), lengths.tolist(), np.split(steps, np.cumsum(sizes)[:-1])))
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (1, 40), (40, 1), (37, 41), (0, 9), (9, 0), (300, 250)])
+def test_rows_made_again_give_the_same_path(monkeypatch, sizes):
+    import numpy as np
+
+    rng = np.random.default_rng(sum(sizes))
+    pair = tuple(rng.integers(0, 4, n).tolist() for n in sizes)
+    [whole] = solved([pair])
+    monkeypatch.setattr(alignment, "_CELLS", 1)
+    [again] = solved([pair])
+    assert again[:2] == whole[:2] and np.array_equal(again[2], whole[2])
+
+
+def test_lists_of_twenty_thousand_tokens_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    true = rng.integers(0, 500, 20_000)
+    pred = np.delete(np.where(rng.random(20_000) < 0.02, 999, true), rng.integers(0, 20_000, 300))
+    tracemalloc.start()
+    [(edits, same, path)] = solved([(true, pred)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    kept = path[path.all(axis=1)] - 1
+    equal = int((true[kept[:, 0]] == pred[kept[:, 1]]).sum())
+    assert edits == len(path) - equal and equal <= same
+    for side, size in ((0, 20_000), (1, len(pred))):
+        assert (path[path[:, side] > 0, side] == np.arange(1, size + 1)).all()
+
+
+def test_counts_of_fifty_thousand_tokens(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    true = [str(rng.randrange(60_000)) for _ in range(50_000)]
+    pred = [str(rng.randrange(60_000)) for _ in range(50_000)]
+    df = spark.createDataFrame([(true, pred), (pred[:9], pred[:9]), (None, true[:1])], "t array<string>, p array<string>")
+    start = time.time()
+    got, small, null = [r[0] for r in df.select(alignment.tally(F.col("t"), F.col("p"))).collect()]
+    assert time.time() - start < 30
+    counts = Counter(true), Counter(pred)
+    assert [(c.token, c.n_true, c.n_pred) for c in got.counts] == [
+        (x, counts[0][x], counts[1][x]) for x in dict.fromkeys(true + pred)
+    ]
+    place = {}
+    for i, x in enumerate(pred):
+        place.setdefault(x, i)
+    ranks = [place[x] for x in dict.fromkeys(true) if x in place]
+    ahead, discordant = [], 0
+    import bisect
+
+    for r in ranks:
+        discordant += len(ahead) - bisect.bisect(ahead, r)
+        bisect.insort(ahead, r)
+    assert (got.n_shared, got.n_discordant) == (len(ranks), discordant)
+    assert (small.n_shared, small.n_discordant) == (len(set(pred[:9])), 0)
+    assert (null.n_shared, len(null.counts)) == (0, 1)
