@@ -1,30 +1,33 @@
-"""Quality classifier: learned vectors of hashed words and character n-grams.
-
-A document is the average of the vectors of its words and of their character
-n-grams (3 to 5 bytes, with marks at both word ends), each hashed to one of
-``BUCKETS`` rows, and of the mark that a word repeats the one before it, which
-has the last row. A softmax layer gives the two class probabilities. Both are
-trained by stochastic gradient descent in numpy on a bounded sample of labelled
-documents: the ``SAMPLE`` first by a hash of the id. What a sampled document
-sends to the driver is its bucket counts, at most ``MOST_FEATURES`` (those of
-the highest buckets), which bounds the training data in bytes as well.
+"""Quality classifier: learned vectors of hashed words, word pairs and character n-grams.
+
+A document is the average of the vectors of its words, of its pairs of
+neighbouring words and of its words' character n-grams (3 to 5 bytes, with marks
+at both word ends), each hashed to one of ``BUCKETS`` rows. A softmax layer gives
+the two class probabilities. Both are trained by stochastic gradient descent in
+numpy on a bounded sample of labelled documents: the ``SAMPLE`` labels first by a
+hash of the id, with one document each (that of the least hash of its text where
+an id repeats). Of a sampled document the driver gets all buckets with their
+shares, 8 bytes for each, and no text. The descent makes ``STEPS`` steps whatever
+the size of the sample, and the bias begins at the classes' shares in it.
 
 The softmax of an average is a function of one sum per document, so scoring
-needs one number per word (its features' part of the logit) and the number of
-its features; a worker keeps these for words it has seen. Every whole text is
-scored. Labels, language, source and ids are no inputs of a score.
+needs one number per word (its features' part of the logit), one per pair of
+words, and the number of features; a worker keeps those of words it has seen.
+Every whole text is scored. Labels, language, source and ids are no inputs of a
+score.
 
 Defined cases: a null, empty or blank text has no features and gets the score
-of the bias alone; a null label is no label; documents with several label rows
-count once per row in training; ids may repeat or be null (a null id is held
+of the bias alone; a null label is no label; an id with several label rows
+counts once per row in training; ids may repeat or be null (a null id is held
 out from learning); without any label in a class all scores are the smoothed
-share of the class. Other columns are not read.
+share of the class. Other columns are not read. A very long text is one row of
+a task, its words are gone through once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,15 +39,13 @@ from caseweave.llm.tokens import as_bytes, batches
 BUCKETS = 1 << 17
 WIDTH = 16
 GRAMS = (3, 4, 5)
-#: Bounds of the training sample.
-SAMPLE = 6_000
-MOST_FEATURES = 4_096
-EPOCHS = 6
+#: Bound of the training sample, in documents.
+SAMPLE = 2_500
+STEPS = 30_000
 RATE = 1.0
 SEED = 7
 CACHE_WORDS = 400_000
 
-REPEAT = BUCKETS - 1
 STEP = np.uint64(0x100000001B3)
 START = np.uint64(0xCBF29CE484222325)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,26 +53,44 @@ SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * SPREAD
-    return ((h >> np.uint64(20)) % np.uint64(REPEAT)).astype(np.int64)
+    return ((h >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _marked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words between marks, one after the other, and the size of each."""
+    marked = np.frombuffer(b"".join(b"<%s>" % w for w in words), np.uint8).astype(np.uint64)
+    return marked, np.fromiter(map(len, words), np.int64, len(words)) + 2
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The sum of each word's bytes, each multiplied by a power for its place."""
+    marked, sizes = _marked(words)
+    if not len(sizes):
+        return np.empty(0, np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    with np.errstate(over="ignore"):
+        power = STEP ** (np.arange(len(marked)) - np.repeat(starts, sizes)).astype(np.uint64)
+        return np.add.reduceat(marked * power, starts)
+
+
+def pair_buckets(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of each word with the next one."""
+    with np.errstate(over="ignore"):
+        return _bucket(hashes[:-1] * SPREAD + hashes[1:])
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all features of *words*, word after word, and the number of each word's."""
+    """Buckets of *words* and their n-grams, word after word, and the number of each word's."""
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    marked = np.frombuffer(b"".join(b"<%s>" % w for w in words), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    ends = np.cumsum(sizes)
+    marked, sizes = _marked(words)
     owner = np.repeat(np.arange(len(words)), sizes)
-    end = ends[owner]
+    end = np.cumsum(sizes)[owner]
     found, owners = [], []
     h = np.full(len(marked), START)
     place = np.arange(len(marked))
     with np.errstate(over="ignore"):
-        # a word as a whole: the sum of its bytes, each multiplied by a power for its place
-        power = STEP ** (place - (ends - sizes)[owner]).astype(np.uint64)
-        whole = np.add.reduceat(marked * power, ends - sizes) + np.uint64(len(GRAMS) + 7)
-        found.append(_bucket(whole))
+        found.append(_bucket(word_hashes(words) + np.uint64(len(GRAMS) + 7)))
         owners.append(np.arange(len(words)))
         for n in range(1, max(GRAMS) + 1):
             h = h[: len(marked) - n + 1]
@@ -87,8 +106,7 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def document_features(words: list[bytes]) -> np.ndarray:
     """Buckets of all features of a document."""
-    repeats = sum(map(bytes.__eq__, words, words[1:]))
-    return np.append(features(words)[0], np.full(repeats, REPEAT))
+    return np.concatenate([features(words)[0], pair_buckets(word_hashes(words))])
 
 
 def split_of(doc_id: Column) -> Column:
@@ -97,22 +115,20 @@ def split_of(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list:
-    """(label, buckets, counts) of the sampled documents, as views of what the driver got."""
+    """(label, buckets, shares) of the sampled documents, as views of what the driver got."""
 
     def run(tables: Iterator):
         import pyarrow as pa
 
         for table in tables:
-            out = []
+            buckets, shares = [], []
             for text in as_bytes(table.column("t")):
-                out.append(np.unique(document_features(text.split()), return_counts=True))
+                b, c = np.unique(document_features(text.split()), return_counts=True)
+                buckets.append(b.astype("<u4").tobytes())
+                shares.append((c / max(1, c.sum())).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [
-                    table.column("y"),
-                    pa.array([b[-MOST_FEATURES:].astype("<i4").tobytes() for b, _ in out], pa.binary()),
-                    pa.array([c[-MOST_FEATURES:].astype("<i4").tobytes() for _, c in out], pa.binary()),
-                ],
-                schema=pa.schema([("y", pa.int32()), ("b", pa.binary()), ("c", pa.binary())]),
+                [table.column("y"), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())],
+                schema=pa.schema([("y", pa.int32()), ("b", pa.binary()), ("s", pa.binary())]),
             )
 
     known = labels.where(F.col("quality").isNotNull()).select(
@@ -125,46 +141,46 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list:
     )
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("t"))
     # at most *limit* ids
-    rows = texts.join(F.broadcast(chosen), "_id").orderBy("_k", F.xxhash64("t"), "y").select("t", "y")
-    found = rows.mapInArrow(run, "y int, b binary, c binary").toArrow()
+    one = (
+        texts.join(F.broadcast(chosen.select("_id").distinct()), "_id", "left_semi")
+        .groupBy("_id").agg(F.min(F.struct(F.xxhash64("t"), "t"))["t"].alias("t"))
+    )
+    rows = one.join(F.broadcast(chosen), "_id").orderBy("_k", "y").select("t", "y")
+    found = rows.mapInArrow(run, "y int, b binary, s binary").toArrow()
     return [
-        (y.as_py(), np.frombuffer(b.as_buffer(), "<i4"), np.frombuffer(c.as_buffer(), "<i4"))
-        for y, b, c in zip(*(found.column(i) for i in range(3)))
+        (y.as_py(), np.frombuffer(b.as_buffer(), "<u4"), np.frombuffer(s.as_buffer(), "<f4"))
+        for y, b, s in zip(*(found.column(i) for i in range(3)))
     ]
 
 
-def train(rows: list, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """(part of the logit of each bucket, bias) from (label, buckets, counts)."""
+def train(rows: list, steps: int = STEPS, seed: int = SEED) -> tuple[np.ndarray, float]:
+    """(part of the logit of each bucket, bias) from (label, buckets, shares)."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
-    layer, bias = np.zeros((2, WIDTH)), np.zeros(2)
-    data = [(y, b, c) for y, b, c in rows if len(b)]
     total = np.bincount([y for y, *_ in rows], minlength=2) + 1.0
-    if min(total) <= 1:
+    data = [row for row in rows if len(row[1])]
+    if min(total) <= 1 or not data:
         return np.zeros(BUCKETS), float(np.log(total[1] / total[0]))
-    # both classes weigh the same in the descent; the bias then moves to the true shares
-    weight = total.sum() / (2 * total)
-    steps, at = EPOCHS * len(data), 0
-    for _ in range(EPOCHS):
-        for i in rng.permutation(len(data)):
-            y, b, c = data[i]
-            share = c / np.sum(c)
-            rate = RATE * (1 - at / steps) * min(4.0, weight[y])
-            at += 1
-            mean = share @ vectors[b]
-            z = layer @ mean + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y] -= 1
-            back = p @ layer
-            layer -= 0.1 * rate * np.outer(p, mean)
-            bias -= 0.1 * rate * p
-            vectors[b] -= rate * share[:, None] * back
+    vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
+    layer, bias = np.zeros((2, WIDTH)), np.log(total / total.sum())
+    order = chain.from_iterable(rng.permutation(len(data)) for _ in repeat(None))
+    for step, i in zip(range(steps), order):
+        y, b, share = data[i]
+        rate = RATE * (1 - step / steps)
+        held = vectors[b]
+        mean = share @ held
+        z = layer @ mean + bias
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        p[y] -= 1
+        back = p @ layer
+        layer -= 0.1 * rate * np.outer(p, mean)
+        bias -= 0.1 * rate * p
+        vectors[b] = held - (rate * share)[:, None] * back
     return vectors @ (layer[1] - layer[0]), float(bias[1] - bias[0])
 
 
 class Scorer:
-    """Scores texts by one number per known word."""
+    """Scores texts by one number per known word and one per pair of words."""
 
     def __init__(self, part: np.ndarray, bias: float):
         self.part, self.bias = part, bias
@@ -173,6 +189,7 @@ class Scorer:
     def _clear(self):
         self.numbers: dict[bytes, int] = {}
         self.sums, self.sizes = np.empty(0), np.empty(0, np.int64)
+        self.hashes = np.empty(0, np.uint64)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if len(self.numbers) > CACHE_WORDS:
@@ -189,15 +206,17 @@ class Scorer:
             sums = np.add.reduceat(self.part[found], ends - sizes)
             self.sums = np.concatenate([self.sums, sums])
             self.sizes = np.concatenate([self.sizes, sizes])
+            self.hashes = np.concatenate([self.hashes, word_hashes(new)])
         counts = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(
             map(numbers.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum())
         )
         doc = np.repeat(np.arange(len(texts)), counts)
-        same = doc[1:][(at[1:] == at[:-1]) & (doc[1:] == doc[:-1])]
-        repeats = np.bincount(same, minlength=len(texts))
-        total = np.bincount(doc, self.sums[at], len(texts)) + repeats * self.part[REPEAT]
-        size = np.bincount(doc, self.sizes[at], len(texts)) + repeats
+        pairs = doc[1:] == doc[:-1]
+        follows = doc[1:][pairs]
+        gained = self.part[pair_buckets(self.hashes[at])[pairs]]
+        total = np.bincount(doc, self.sums[at], len(texts)) + np.bincount(follows, gained, len(texts))
+        size = np.bincount(doc, self.sizes[at], len(texts)) + np.bincount(follows, minlength=len(texts))
         z = self.bias + total / np.maximum(size, 1)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 

@@ -393,3 +393,34 @@ def test_classifier_on_held_out_rows(spark, odd, none):
     assert all(0 <= r["score"] <= 1 for r in subword.score(odd, labels).collect())
     assert subword.score(none, labels).count() == 0
     assert subword.score(odd, labels.limit(0)).count() == 11
+
+
+def test_classifier_on_few_rows_of_uneven_classes(spark):
+    """300 labelled rows, 88 % of one class; ids that come several times."""
+    rng = np.random.default_rng(12)
+    words = [f"word{i}" for i in range(400)]
+    signs = ["%%", "***", "$$", "&&"]
+    labelled = [int(i % 25 >= 3) for i in range(300)]
+    texts = [
+        " ".join(w + ("" if y else str(rng.choice(signs))) for w in rng.choice(words, 80)) for y in labelled
+    ]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, y, 0) for i, y in enumerate(labelled)], "doc_id long, quality int, toxic int")
+    got = by_id(subword.score(docs, labels))
+    held = [i for i in got if got[i]["held_out"]]
+    assert sum(got[i]["predicted"] == labelled[i] for i in held) >= 0.97 * len(held)
+    again = docs.union(docs).union(docs.where("doc_id < 50").withColumn("text", F.lit("other words")))
+    rows = subword.sample(again, labels.union(labels.limit(20)), limit=100)
+    assert len(rows) <= 100 and sum(len(b) for _, b, _ in rows) > 0
+
+
+def test_scores_are_the_average_of_the_features_of_whole_texts():
+    rng = np.random.default_rng(5)
+    part, bias = rng.standard_normal(subword.BUCKETS), 0.25
+    texts = [b"", b" \n", b"one", b"one one two", "é ü 日本 é".encode(), b"a b " * 5000]
+    scorer = subword.Scorer(part, bias)
+    for _ in range(2):
+        for text, score in zip(texts, scorer.score(texts)):
+            found = subword.document_features(text.split())
+            z = bias + (part[found].mean() if len(found) else 0)
+            assert score == pytest.approx(1 / (1 + np.exp(-z)))
