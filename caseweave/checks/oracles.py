@@ -610,6 +610,69 @@ SELECT request_id, 'Top ' || count(*) || ' decisions similar to dec_' || request
   || string_agg(chr(10) || entry, chr(10) ORDER BY rank) AS text
 FROM entries GROUP BY request_id"""
 
+
+
+def hits_of(kind: str, letter: str, short: str, k: int, alpha: float, swapped: bool) -> str:
+    """Ranked hits among nodes of one kind made from the embeddings, siblings left out."""
+    found = topk(k, alpha, "q.base <> c.base").replace("'d' || vec_id AS id", f"'{letter}' || vec_id AS id")
+    if swapped:
+        found = found.replace("embedding[1:32]", "embedding[0:0]").replace(
+            "embedding[33:64]", "embedding[1:32]").replace("embedding[0:0]", "embedding[33:64]")
+    return found[5:found.index("SELECT request_id, rank")]
+
+
+ORACLES["similar_rationales"] = f"""WITH RECURSIVE {GRAPH},
+{hits_of('RationaleNode', 'r', 'rat', 3, 0.7, True)},
+hits AS (SELECT *, request_id || '#' || rank AS hit FROM ranked WHERE rank <= 3),
+members AS (SELECT hit AS asked, node_id AS node FROM hits
+            UNION SELECT h.hit, a.dst FROM hits h JOIN adj a ON a.src = h.node_id
+              JOIN flagged g ON g.id = a.dst WHERE NOT g.leaky){SIMILAR},
+entries AS (
+  SELECT h.request_id, h.rank, rank || '. [rat_' || node_id[2:] || '] score='
+    || printf('%.3f', 0.7 * semantic + (1.0 - 0.7) * structural) || ' (semantic=' || printf('%.3f', semantic)
+    || ', structural=' || printf('%.3f', structural) || ') application=' || app || chr(10)
+    || '   text: "' || app || '"'
+    || coalesce(chr(10) || '   neighborhood (<= 1 hop(s)):' || chr(10) || '   '
+       || replace(t.text, chr(10), chr(10) || '   '), '') AS entry
+  FROM hits h LEFT JOIN texts t ON t.asked = h.hit)
+SELECT request_id, 'Top ' || count(*) || ' rationales similar to rat_' || request_id[2:]
+  || ' (hybrid score = 0.70*semantic + 0.30*structural):' || chr(10)
+  || string_agg(chr(10) || entry, chr(10) ORDER BY rank) AS text
+FROM entries GROUP BY request_id"""
+ORACLES["similar_answers"] = f"""WITH RECURSIVE {GRAPH},
+{hits_of('DecisionNode', 'd', 'dec', 1, 0.5, False)},
+hits AS (SELECT *, request_id || '#' || rank AS hit FROM ranked WHERE rank <= 1),
+members AS (SELECT hit AS asked, node_id AS node FROM hits){SIMILAR},
+found AS (
+  SELECT h.request_id, 'Top 1 decisions similar to dec_' || h.request_id[2:]
+    || ' (hybrid score = 0.50*semantic + 0.50*structural):' || chr(10) || chr(10)
+    || rank || '. [dec_' || node_id[2:] || '] score='
+    || printf('%.3f', 0.5 * semantic + 0.5 * structural) || ' (semantic=' || printf('%.3f', semantic)
+    || ', structural=' || printf('%.3f', structural) || ') application=' || app
+    || coalesce(chr(10) || '   neighborhood (<= 0 hop(s)):' || chr(10) || '   '
+       || replace(t.text, chr(10), chr(10) || '   '), '') AS text
+  FROM hits h LEFT JOIN texts t ON t.asked = h.hit),
+asked AS (SELECT vec_id, 'd' AS letter, 'dec_' AS short, 'decision' AS noun, 'DecisionNode' AS kind FROM embeddings
+          UNION ALL SELECT vec_id, 'r', 'rat_', 'rationale', 'RationaleNode' FROM embeddings WHERE label = 0)
+SELECT letter || vec_id AS request_id, short || vec_id AS query_id,
+       CASE WHEN letter = 'd' THEN 'found' ELSE 'nothing_comparable' END AS status,
+       coalesce(f.text, 'There is no other ' || noun || ' to compare it with.') AS text
+FROM asked LEFT JOIN found f ON f.request_id = letter || vec_id
+UNION ALL SELECT 'no_' || letter || vec_id, 'no_' || short || vec_id, 'unknown_id',
+       'The graph has no ' || noun || ' with the id no_' || short || vec_id || '. Use the id of a ' || kind
+         || ' in the subgraph of the current application.'
+FROM asked"""
+BLANK = "' ' || " + " || ".join(f"chr({c})" for c in (
+    *range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000
+))
+ORACLES["clipped_texts"] = f"""WITH t AS (SELECT doc_id, nullif(text, '') AS raw, trim(text, {BLANK}) AS shown FROM documents)
+SELECT doc_id, '"' || CASE WHEN coalesce(shown, '') = '' THEN '(no text)' WHEN length(shown) > 4000
+         THEN left(shown, 4000) || '…' ELSE shown END || '", other' AS details,
+       CASE WHEN raw IS NULL THEN 'no details' WHEN length(raw) > 4000 THEN '"' || left(raw, 4000) || '…"'
+         ELSE '"' || raw || '"' END AS props,
+       CASE WHEN raw IS NULL THEN '' WHEN length(raw) > 2000 THEN left(raw, 2000) || '…' ELSE raw END AS hit
+FROM t"""
+
 ORACLES["timeline_text"] = f"""WITH {MAILS}
 SELECT record_pos, timeline, CASE WHEN body IS NULL THEN '' ELSE 'u' || user_id END AS objects FROM recs"""
 
@@ -663,6 +726,15 @@ ORACLES["prompt_table"] = f"""WITH {MAILS},
 p AS (SELECT record_pos, {CATALOG_BLOCK} || {MAIL_BLOCK} || {LOG_BLOCK} || {WITH_CAP} AS "user"
       FROM recs WHERE body IS NOT NULL)
 SELECT record_pos, {quoted(SYSTEM)} AS system, "user", {keyed('"user"', 3)} AS prompt_key FROM p"""
+ONE = quoted(
+    "Name the single most relevant activity of the hidden e-mail.\nRespond with JSON only:\n"
+    + ANSWER.replace(", ...]", "]") + "\nReturn exactly one activity."
+)
+ORACLES["prompt_single"] = f"""WITH {MAILS},
+p AS (SELECT record_pos, {CATALOG_BLOCK} || {MAIL_BLOCK} || {LOG_BLOCK} || {ONE} AS "user"
+      FROM recs WHERE body IS NOT NULL)
+SELECT record_pos, {quoted(SYSTEM)} AS system, "user",
+       {keyed('"user"', 0).replace("'0', '0', 'high'", "'0', '1', 'high'")} AS prompt_key FROM p"""
 MAIL_PROMPTS = f"""WITH {MAILS},
 p AS (SELECT record_pos, case_id, {CATALOG_BLOCK} || CASE WHEN body IS NULL THEN '' ELSE {MAIL_BLOCK} END
         || {quoted(TASK)} AS "user" FROM recs),
@@ -708,6 +780,8 @@ SELECT record_pos, error, CASE WHEN error IS NULL THEN array_to_string(named[1:4
 ORACLES["response_normalise_agent"] = f"""WITH {ANSWERS}
 SELECT record_pos, CASE WHEN lost THEN 'no_json' END AS error, array_to_string(named, '>') AS pred,
        CASE WHEN lost OR vague THEN 0.0 ELSE {r6('confidence')} END AS confidence FROM raw"""
+ORACLES["response_single"] = f"""WITH {ANSWERS}
+SELECT record_pos, error, CASE WHEN error IS NULL THEN array_to_string(named[1:1], '>') ELSE '' END AS pred FROM plain"""
 ORACLES["response_outcomes"] = f"""WITH {ANSWERS}
 SELECT coalesce(error, 'ok') AS outcome, count(*) AS n FROM plain GROUP BY 1"""
 ORACLES["predictions_echo"] = f"""WITH {ANSWERS}
@@ -742,6 +816,9 @@ ORACLES["records_json_scan"] = f"""WITH {RECORDS}
 SELECT record_pos, case_id, unit_id, has_email, {r6('confidence')} AS confidence,
        CASE WHEN size = 1 THEN 0 ELSE size END AS declared_size, array_to_string(t, '>') AS true_list,
        array_to_string(p, '>') AS pred_list, CASE WHEN has_email THEN case_id END AS subject FROM records"""
+ORACLES["records_by_fallback"] = f"""WITH {RECORDS}
+SELECT case_id, unit_id, has_email, CASE WHEN size = 1 THEN 0 ELSE size END AS declared_size,
+       array_to_string(t, '>') AS true_list FROM records"""
 ORACLES["catalog_scan"] = """WITH c AS (
   SELECT event_type, upper(event_type[1]) || event_type[2:] AS capital, count(*) AS n FROM events GROUP BY 1),
 e AS (SELECT event_type AS low, event_type, 0 AS o, n, capital FROM c

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.checks import tables as T
-from caseweave.fixed import MEAN_METRICS
+from caseweave.fixed import HIT_CLIP, MEAN_METRICS
 from caseweave.functions import text
 from caseweave.functions.sequences import with_pair_metrics
 from caseweave.operators import graph, guards, render, similarity, timeline, walk
 from caseweave.operators.links import WalkGraph
 from caseweave.plans import context, predictions, prompts, reports, scoring
-from caseweave.runtime import materialise
+from caseweave.runtime import materialise, written_path
 from caseweave.sources import event_log, graph_dump
 from caseweave.sources import records as record_source
 
@@ -611,8 +611,59 @@ def similar_context(spark, sf_dir):
     return _case_graph(spark, sf_dir).similar_texts(hits, "decision", 0.5, hops=1)
 
 
+@query
+def similar_rationales(spark, sf_dir):
+    """Three most similar rationales of every rationale, text and neighbourhood shown."""
+    raw = T.rationale_nodes(spark, sf_dir)
+    nodes = graph.node_table(raw.drop("app"))
+    owned = raw.select("node_id", "app")
+    pool = similarity.candidates(nodes, owned)
+    hits = context.similar_hits(
+        nodes, owned, _requests(pool, 3, F.lit(None).cast("string")), alpha=0.7
+    )
+    return _case_graph(spark, sf_dir).similar_texts(hits, "rationale", 0.7, hops=1)
+
+
+@query
+def similar_answers(spark, sf_dir):
+    """Rationales of one case's occurrences only, each asked for by its id and by one nobody has,
+    and all decisions likewise: hits, nothing to compare with, and unknown ids."""
+    rationales = T.rationale_nodes(spark, sf_dir).where(F.startswith("app", F.lit("application_0__")))
+    raw = T.vector_nodes(spark, sf_dir).unionByName(rationales)
+    nodes = materialise(graph.node_table(raw.drop("app")), "vectors")
+    owned = raw.select("node_id", "app")
+    pool = similarity.candidates(nodes, owned)
+    known = _requests(pool, 1, F.lit(None).cast("string"))
+    lost = known.withColumn("request_id", F.concat(F.lit("no_"), "request_id")).withColumn(
+        "query_id", F.concat(F.lit("no_"), "query_id")
+    )
+    requests = materialise(known.unionByName(lost), "requests")
+    hits = materialise(context.similar_hits(nodes, owned, requests), "hits")
+    g = _case_graph(spark, sf_dir)
+    answers = [
+        context.answer_similar_requests(
+            requests, pool, hits, g.similar_texts(hits, noun, 0.5, hops=0), noun, label
+        )
+        for noun, label in (("decision", "DecisionNode"), ("rationale", "RationaleNode"))
+    ]
+    return answers[0].unionByName(answers[1])
+
+
 # --- prompts ------------------------------------------------------------------------------------
 
+@query
+def clipped_texts(spark, sf_dir):
+    """Texts beyond both limits, as evidence, as a property and as a hit."""
+    nodes = T.document_nodes(spark, sf_dir)
+    raw = F.try_element_at("props", F.lit("text"))
+    return nodes.select(
+        "doc_id",
+        text.evidence_details(F.col("props"), F.lit(False), F.lit(0)).alias("details"),
+        text.format_props(F.col("props")).alias("props"),
+        text.clip(F.coalesce(raw, F.lit("")), HIT_CLIP).alias("hit"),
+    )
+
+
 @query
 def timeline_text(spark, sf_dir):
     return T.mail_records(spark, sf_dir).select(
@@ -628,6 +679,13 @@ def prompt_table(spark, sf_dir):
     return prompts.prompts(records, T.FixedCatalog(), cap=3)
 
 
+@query
+def prompt_single(spark, sf_dir):
+    """One activity asked for, mail and timeline shown."""
+    records = predictions.predictable(T.mail_records(spark, sf_dir), True, False)
+    return prompts.prompts(records, T.FixedCatalog(), single=True)
+
+
 @query
 def prompt_dedup(spark, sf_dir):
     """Mail only: runs of one user share a prompt, runs without a mail another one."""
@@ -687,6 +745,14 @@ def response_normalise_agent(spark, sf_dir):
     ), "confidence")
 
 
+@query
+def response_single(spark, sf_dir):
+    """Only the first activity of an answer counts."""
+    return _answers(spark, sf_dir, single=True).select(
+        "record_pos", F.array_join("pred", ">").alias("pred"), "error"
+    )
+
+
 @query
 def response_outcomes(spark, sf_dir):
     return predictions.failure_rate(_answers(spark, sf_dir))
@@ -722,8 +788,7 @@ def predictions_echo_lines(spark, sf_dir):
 @query
 def graph_json_scan(spark, sf_dir):
     """The test graph written as dump lines, some of them broken, and read back."""
-    parsed = graph_dump.parse(T.dump_lines(spark, sf_dir))
-    nodes = graph.node_table(graph_dump.merge_copies(graph_dump.node_copies(parsed)))
+    nodes = graph.node_table(graph_dump.Dump(T.dump_lines(spark, sf_dir)).nodes)
     return nodes.select(
         "node_id", "label", "stable_id", "app_id", text.format_props(F.col("props")).alias("props")
     )
@@ -731,19 +796,22 @@ def graph_json_scan(spark, sf_dir):
 
 @query
 def graph_json_edges(spark, sf_dir):
-    return graph_dump.edges(graph_dump.parse(T.dump_lines(spark, sf_dir)))
+    return graph_dump.Dump(T.dump_lines(spark, sf_dir)).edges
 
 
 @query
 def graph_json_rejects(spark, sf_dir):
-    return graph_dump.rejected(T.dump_lines(spark, sf_dir))
+    """Counted by the pass that parses the lines."""
+    dump = graph_dump.Dump(T.dump_lines(spark, sf_dir))
+    return spark.createDataFrame(
+        [(dump.n_lines, dump.n_rejected)], "n_lines long, n_rejected long"
+    )
 
 
 @query
 def vector_json_scan(spark, sf_dir):
     """Embeddings as typed JSON values, unwrapped again."""
-    parsed = graph_dump.parse(T.vector_dump_lines(spark, sf_dir))
-    nodes = graph.node_table(graph_dump.merge_copies(graph_dump.node_copies(parsed)))
+    nodes = graph.node_table(graph_dump.Dump(T.vector_dump_lines(spark, sf_dir)).nodes)
     total = F.aggregate("text_vec", F.lit(0.0), lambda a, x: a + x)
     return rounded(nodes.select(
         "node_id", "stable_id", F.size("text_vec").alias("n_text"), total.alias("text_sum"),
@@ -764,6 +832,19 @@ def catalog_scan(spark, sf_dir):
     )
 
 
+@query
+def records_by_fallback(spark, sf_dir):
+    """Record lines written under a longer name than asked for, found and read."""
+    folder = written_path(spark, "inputs")
+    record_source.write_lines(T.record_lines(spark, sf_dir), f"{folder}/hidden_mails.jsonl")
+    path = record_source.resolve_input(spark, folder, "hidden")
+    read = record_source.parse_records(record_source.read_lines(spark, path))
+    return read.select(
+        "case_id", "unit_id", "has_email", "declared_size",
+        F.array_join("true_members", ">").alias("true_list"),
+    )
+
+
 @query
 def records_json_scan(spark, sf_dir):
     return rounded(record_source.parse_records(T.record_lines(spark, sf_dir)).select(

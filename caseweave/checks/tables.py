@@ -183,6 +183,18 @@ def vector_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rationale_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rationale per embedding, its vectors the halves the other way round, with a text."""
+    return vector_nodes(spark, sf_dir).select(
+        F.concat(F.lit("r"), F.col("pos")).alias("node_id"), "pos",
+        F.array(F.lit("RationaleNode")).alias("labels"),
+        F.create_map(
+            F.lit("id"), F.concat(F.lit("rat_"), F.col("pos")), F.lit("text"), F.col("app")
+        ).alias("props"),
+        F.col("struct_vec").alias("text_vec"), F.col("text_vec").alias("struct_vec"), "app",
+    )
+
+
 def vector_app(label: str, vec_id: str) -> Column:
     """The label is the base case, the last digit's half the occurrence."""
     return F.concat(F.lit("application_"), F.col(label), F.lit("__"), F.col(vec_id) % 5)
@@ -324,8 +336,26 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("confidence").alias("stated"))
 
 
+def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One piece of evidence per document, its whole text as property."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.create_map(F.lit("text"), F.col("text")).alias("props")
+    )
+
+
 # --- dump and record lines ------------------------------------------------------------------------
 
+def _placed(lines: DataFrame) -> DataFrame:
+    """Lines with the position that reading them from a file would give."""
+    return lines.select(
+        F.struct(
+            F.lit("").alias("file"), F.spark_partition_id().cast("long").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("pos"),
+        "line",
+    )
+
+
 def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph as dump lines (pos, line).
 
@@ -338,7 +368,6 @@ def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "props", lambda k, v: F.struct(F.lit("String").alias("type"), v.alias("value"))
     )
     own = nodes.where("labels[0] <> 'ValueNode'").select(
-        F.concat(F.lit("n"), "node_id").alias("pos"),
         F.concat(F.to_json(F.struct(
             F.lit("node").alias("type"), F.col("node_id").alias("id"),
             F.concat(F.array(F.lit("__Entity__")), "labels").alias("labels"),
@@ -346,21 +375,19 @@ def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         )), F.lit(",")).alias("line"),
     )
     broken = nodes.where("labels[0] = 'Actor'").select(
-        F.concat(F.lit("b"), "node_id").alias("pos"),
         F.concat(F.lit('{"type": "node", "id": "'), "node_id").alias("line"),
     )
     end = labels.select(F.col("node_id").alias("dst"), F.struct(
         F.col("node_id").alias("id"), "labels", F.col("props").alias("properties")
     ).alias("end"))
     ties = graph_edges(spark, sf_dir).join(end, "dst").select(
-        F.concat_ws("_", F.lit("r"), "src", "rel", "dst").alias("pos"),
         F.to_json(F.struct(
             F.lit("relationship").alias("type"), F.col("rel").alias("label"),
             F.struct(F.col("src").alias("id"), F.array(F.lit("inline_text")).alias("labels"))
             .alias("start"), F.col("end"),
         )).alias("line"),
     )
-    return own.unionByName(broken).unionByName(ties)
+    return _placed(own.unionByName(broken).unionByName(ties))
 
 
 def vector_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,11 +399,11 @@ def vector_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("value"),
     )
     bare = F.when(~F.startswith("app", F.lit("application_0__")), F.col("struct_vec"))
-    return nodes.select("pos", F.to_json(F.struct(
+    return _placed(nodes.select(F.to_json(F.struct(
         F.lit("node").alias("type"), F.col("node_id").alias("id"), "labels",
         F.struct(F.col("props")["id"].alias("id"), wrapped.alias("text_embedding"),
                  bare.alias("fastrp_embedding")).alias("properties"),
-    )).alias("line"))
+    )).alias("line")))
 
 
 def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def dump(spark, tmp_path):
     def load(items, extra=()):
         path = tmp_path / "graph.json"
         path.write_text("\n".join([json.dumps(i) for i in items] + list(extra)), encoding="utf-8")
-        parsed = graph_dump.parse(graph_dump.read_dump(spark, str(path)))
-        return graph_dump.merge_copies(graph_dump.node_copies(parsed)), graph_dump.edges(parsed)
+        read = graph_dump.Dump(graph_dump.read_dump(spark, str(path)))
+        return read.nodes, read.edges
 
     return load

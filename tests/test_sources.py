@@ -32,8 +32,40 @@ def test_node_lines_win_over_ends_and_the_last_one_wins(spark, dump):
 
 def test_rejected_lines_are_counted(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"type":"node","id":"a"}\n\n{"a\n[1,\n')
-    row = graph_dump.rejected(graph_dump.read_dump(spark, str(tmp_path / "g.json"))).first()
-    assert (row.n_lines, row.n_rejected) == (3, 2)
+    read = graph_dump.Dump(graph_dump.read_dump(spark, str(tmp_path / "g.json")))
+    assert (read.n_lines, read.n_rejected) == (3, 2)
+    assert read.nodes.count() == 1 and read.edges.count() == 0
+
+
+def test_place_in_the_dump_decides_over_files_and_splits(spark, tmp_path):
+    """Two files in many splits, read in any order: the first end and the last node line win."""
+    def lines(name):
+        for i in range(300):
+            end = {"id": f"n{i % 40}", "labels": ["Actor"], "properties": {"name": f"{name}{i}"}}
+            yield tie(f"s{i}", "x", "t") | {"end": end}
+            if i % 3 == 0:
+                yield node(f"own{i % 6}", "Event", name=f"{name}{i}")
+        yield tie("loop", "x", "loop") | {
+            "start": {"id": "loop", "properties": {"name": "start"}},
+            "end": {"id": "loop", "labels": ["Actor"], "properties": {"name": "end"}},
+        }
+
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.json").write_text("\n".join(map(json.dumps, lines(name))))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        raw = graph_dump.read_dump(spark, str(tmp_path))
+        assert raw.rdd.getNumPartitions() > 8
+        got = {r.node_id: r for r in graph_dump.Dump(raw).nodes.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [got[f"n{i}"].props["name"] for i in range(40)] == [f"a{i}" for i in range(40)]
+    assert got["own0"].props["name"] == "b294" and got["own3"].props["name"] == "b297"
+    assert got["loop"].props["name"] == "start" and got["loop"].labels == ["Actor"]
+    order = sorted((r.pos, n) for n, r in got.items() if n.startswith("s"))
+    assert [n for _, n in order] == [f"s{i}" for i in range(300)]
 
 
 def test_vectors_are_unwrapped_or_missing(spark, dump):
