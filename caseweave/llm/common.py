@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from caseweave.runtime import work_dir
 
 __all__ = [
-    "BLANKS", "bind", "files_dir", "filesystem", "load", "materialise", "release",
+    "BLANKS", "bind", "delete", "files_dir", "filesystem", "load", "materialise", "new_folder", "release",
     "running_total", "stored", "words_of", "work_dir", "written",
 ]
 
@@ -30,10 +30,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 _WRITTEN: dict[str, list[str]] = {}
 
 
-def _written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a table below the shared folder, known to :func:`written`."""
     path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    spark = df.sparkSession
+    path = new_folder(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,12 +65,19 @@ def release(needed: DataFrame, paths: list[str]) -> list[str]:
     read = {file.rsplit("/", 2)[-2] for file in needed.inputFiles()}
     stay = [p for p in paths if p.rsplit("/", 1)[-1] in read]
     for path in set(paths) - set(stay):
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        _WRITTEN[spark.sparkContext.applicationId].remove(path)
+        delete(spark, path)
     return stay
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table written here."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    known = _WRITTEN[spark.sparkContext.applicationId]
+    if path in known:
+        known.remove(path)
+
+
 def files_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder for files that tasks write themselves."""
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

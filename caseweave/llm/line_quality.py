@@ -28,6 +28,11 @@ MAX_REPEATED = 50  # per cent of the words
 MIN_TEXTS = 10
 MAX_SHARE = 0.10
 MAX_REMOVED = 0.5
+#: Columns that are added to those carried.
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_chars", "common",
+    "base_failed", "kept",
+)
 #: Rows of one line are dealt over so many keys in the join that marks them.
 SALTS = 16
 
@@ -161,8 +166,10 @@ def judge(
     max_removed: float = MAX_REMOVED,
 ) -> DataFrame:
     """Carried columns, base measures, ``n_removed_chars``, ``common`` (hashes of the document's
-    lines over the limit), ``base_failed`` and ``kept`` for each document."""
-    carried = carry or docs.columns
+    lines over the limit), ``base_failed`` and ``kept`` for each document.
+
+    Without *carry* all columns of *docs* are carried but those named like one of these."""
+    carried = carry or [c for c in docs.columns if c not in MEASURES]
     rows = measure(docs, text, host, carried)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     limits = common_lines(rows, min_texts, max_share).select("*", salts)

@@ -235,12 +235,15 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     with the words of those blocks: whole, its text as it is; else the taken
     words in order, joined by spaces. ``n_chars`` is counted anew.
     """
-    held = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "to-mix")
+    held = materialise(
+        docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row")),
+        "to-mix",
+    )
     rows = materialise(
         held.select(
-            "_row", F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
-            F.coalesce(F.size(words_of(F.col("text"))), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64("text").alias("_text"),
+            "_row", F.col("_doc.doc_id").alias("_id"), F.col("_doc.source").alias("_source"),
+            F.coalesce(F.size(words_of(F.col("_doc.text"))), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64("_doc.text").alias("_text"),
         ),
         "sized",
     )
@@ -267,15 +270,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             " ",
         )
 
-    part = F.explode("_passes").alias("_pass")
-    out = held.join(passes, "_row").select(*docs.columns, part)
-    text = F.when(F.col("_pass._cuts").isNull(), F.col("text")).otherwise(
-        bind(words_of(F.col("text")), lambda w: cut(w, F.col("_pass._cuts")))
-    )
-    out = out.withColumn("text", text)
+    out = held.join(passes, "_row").select("_doc", F.explode("_passes").alias("_pass"))
+    whole = F.col("_doc.text")
+    given = {c: F.col("_doc")[c].alias(c) for c in docs.columns}
+    given["text"] = F.when(F.col("_pass._cuts").isNull(), whole).otherwise(
+        bind(words_of(whole), lambda w: cut(w, F.col("_pass._cuts")))
+    ).alias("text")
+    out = out.select(*given.values())
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def op6_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,12 +32,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm.common import load, materialise, work_dir
+from caseweave.llm.common import delete, load, materialise, new_folder
 from caseweave.llm.tokens import as_bytes, batches
 
 LENGTH = 200
@@ -100,21 +101,28 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place, np.concatenate(hashes)[first]
 
 
-def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
-    """(key, t, copies): each text once, bucketed by key below the shared folder."""
+@contextmanager
+def distinct_texts(docs: DataFrame, text: str) -> Iterator[DataFrame]:
+    """(key, t, copies): each text once, bucketed by key below the shared folder.
+
+    The table is dropped and its files are deleted in the end.
+    """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     once = (
         docs.select(F.left(F.sha2(body, 256), F.lit(32)).alias("key"), body.alias("t"))
         .groupBy("key").agg(F.first("t").alias("t"), F.count("*").alias("copies"))
     )
-    name = f"texts_{uuid.uuid4().hex}"
-    (
-        once.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-        .option("path", f"{work_dir(spark).rstrip('/')}/{name}").option("compression", "zstd")
-        .saveAsTable(name)
-    )
-    return spark.table(name)
+    name, path = f"texts_{uuid.uuid4().hex}", new_folder(spark, "texts")
+    try:
+        (
+            once.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+            .option("path", path).option("compression", "zstd").saveAsTable(name)
+        )
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
 
 
 def repeated_grams(texts: DataFrame) -> DataFrame:
@@ -356,15 +364,16 @@ def cleaned(texts: DataFrame, found: DataFrame, keep: bool) -> DataFrame:
 def judged(docs: DataFrame, carry: list[str], text: str = "text", keep: bool = False) -> DataFrame:
     """Carried columns, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, ``kept``: what
     remains of the texts that lost bytes, less characters that lost some (null: all remains)."""
-    texts = distinct_texts(docs, text)
-    found = spans(surroundings(texts, repeated_grams(texts)))
-    changed = cleaned(texts, found, keep)
+    with distinct_texts(docs, text) as texts:
+        found = spans(surroundings(texts, repeated_grams(texts)))
+        changed = cleaned(texts, found, keep)
+        copies = materialise(texts.select("key", "copies"), "copies")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.struct(*[F.col(c) for c in carry]).alias("_carried"),
         F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("_sha"),
     ).withColumn("key", F.left("_sha", F.lit(32)))
-    known = texts.select("key", "copies").join(changed, "key", "left")
+    known = copies.join(changed, "key", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     zero = F.lit(0).cast("long")
     out = [

@@ -29,6 +29,23 @@ def test_stages_on_a_small_corpus(spark):
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(packed.columns)
 
 
+def test_columns_with_the_names_of_working_columns_stay_as_they_are(spark):
+    names = ["_row", "_common", "_kept", "_pass", "_doc", "doc", "row", "common", "kept", "n_words", "_text", "key"]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
+        f"{n} string" for n in names
+    )
+    texts = [" ".join(f"d{i}w{j}" for j in range(300)) for i in range(6)] + ["too short"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)], kind)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, ""), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        rows = docs.collect()
+        assert {r["doc_id"] for r in rows} == set(range(6))
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+
+
 def test_empty_table_passes_all_stages(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
