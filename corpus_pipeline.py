@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.llm import line_quality, mixing, ngram_join, packing, suffixes
@@ -58,42 +58,46 @@ def _stage(work: Callable) -> Callable:
     return stage
 
 
-def _with_text(docs: DataFrame, text, columns: list[str], kinds) -> DataFrame:
-    out = docs.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"].dataType))
-    return out.select(*columns)
+def _packed(docs: DataFrame) -> Column:
+    """All columns of *docs* as one, so that no name of theirs can clash with a working column."""
+    return F.struct(*docs.columns).alias("doc")
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of *docs* from column ``doc``, with another text."""
+    given = {c: F.col("doc")[c].alias(c) for c in docs.columns}
+    given["text"] = text.alias("text")
+    if "n_chars" in given:
+        given["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return rows.select(*given.values())
 
 
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    judged = line_quality.judge(docs.select(F.struct(*columns).alias("_doc"), "text", "source"),
-                                carry=["_doc"])
-    kept = judged.where("kept").select("_doc.*", F.col("common").alias("_common"))
-    text = line_quality.without_common_lines(F.col("text"), F.col("_common"))
-    return _with_text(kept, text, columns, docs.schema)
+    judged = line_quality.judge(docs.select(_packed(docs), "text", "source"), carry=["doc"])
+    text = line_quality.without_common_lines(F.col("doc.text"), F.col("common"))
+    return _unpacked(judged.where("kept"), docs, text)
 
 
 @_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = ngram_join.near_copies(rows, id_col="_row")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))["_row"]
+    rows = materialise(
+        docs.select(_packed(docs), F.monotonically_increasing_id().alias("row")), "numbered"
+    )
+    groups = ngram_join.near_copies(rows.select("row", "doc.text"), id_col="row")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))["row"]
     stays = (
-        groups.select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
-        .groupBy("component_id").agg(best.alias("_row")).select("_row")
+        groups.select("row", "component_id").join(rows.select("row", "doc.doc_id"), "row")
+        .groupBy("component_id").agg(best.alias("row")).select("row")
     )
-    return rows.join(stays, "_row", "left_semi").select(*docs.columns)
+    kept = rows.join(stays, "row", "left_semi")
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 @_stage
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = suffixes.judged(
-        docs.select(F.struct(*docs.columns).alias("_doc"), "text"), ["_doc"], keep=True
-    )
-    rows = judged.select("_doc.*", F.col("kept").alias("_kept"))
-    return _with_text(rows, F.coalesce("_kept", "text"), docs.columns, docs.schema)
+    judged = suffixes.judged(docs.select(_packed(docs), "text"), ["doc"], keep=True)
+    return _unpacked(judged, docs, F.coalesce("kept", "doc.text"))
 
 
 @_stage
