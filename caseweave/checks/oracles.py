@@ -486,6 +486,10 @@ FROM mix GROUP BY scope, size, unit_id
 UNION ALL SELECT 'config', NULL, NULL, NULL, NULL, n_records, n_scored, NULL, NULL, NULL, NULL FROM counts
 UNION ALL SELECT 'confusion', NULL, NULL, size, NULL, NULL, NULL, n_match, n_sub, n_ins, n_del FROM t"""
 
+ORACLES["summary_document"] = f"""
+SELECT NULL::BIGINT AS size, true_label, pred_label, n FROM ({ORACLES['confusion_matrix_dense']})
+UNION ALL SELECT size, true_label, pred_label, n FROM ({ORACLES['confusion_matrix_by_size']})"""
+
 # --- logs, mails, prompts ---------------------------------------------------------------------
 
 MARK = ">>> THIS hidden email TO RECONSTRUCT (activities unknown) <<<"

@@ -460,6 +460,35 @@ def summary_lines(spark, sf_dir):
     )
 
 
+@query
+def summary_document(spark, sf_dir):
+    """The one document written in parts, read again, and the matrices in it taken apart."""
+    scored = materialise(_scored(spark, sf_dir), "scored")
+    path = written_path(spark, "summary")
+    reports.write_document(reports.summary_document(
+        scoring.run_counts(T.records(spark, sf_dir)), scoring.summary(scored),
+        scoring.category_mix(scored), scoring.confusion_cells(scored),
+    ), path)
+    lines = spark.read.text(path).select(
+        F.struct(F.col("_metadata.file_name"), F.monotonically_increasing_id().alias("i"), "value").alias("x")
+    )
+    report = "labels array<string>, matrix array<array<long>>"
+    whole = lines.agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list("x")), lambda x: x["value"]), "\n"
+    ).alias("text")).select(F.from_json(
+        "text", f"confusion struct<{report}, by_size map<string, struct<{report}>>>",
+    )["confusion"].alias("c"))
+    reports_ = whole.select(F.lit(None).cast("long").alias("size"), "c.labels", "c.matrix").unionByName(
+        whole.select(F.explode("c.by_size").alias("size", "r")).select(
+            F.col("size").cast("long").alias("size"), "r.labels", "r.matrix"
+        )
+    )
+    rows = reports_.select("size", "labels", F.posexplode("matrix").alias("i", "row"))
+    return rows.select(
+        "size", F.get("labels", F.col("i")).alias("true_label"), F.posexplode("row").alias("j", "n"), "labels"
+    ).select("size", "true_label", F.get("labels", F.col("j")).alias("pred_label"), "n")
+
+
 # --- event logs -----------------------------------------------------------------------------
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.fixed import MEAN_METRICS
+from caseweave.fixed import DELETE, INSERT, MEAN_METRICS
 from caseweave.plans import scoring
 
 # --- fixed values: report columns and the metric each one shows ---------------------
@@ -18,18 +19,25 @@ REPORT_COLUMNS = {
 }
 
 
+def _written(values: pa.Array, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values with so many decimals, correctly rounded from the binary value, and which are null."""
+    missing = np.asarray(values.is_null())
+    return np.char.mod(f"%.{digits}f", values.fill_null(0.0).to_numpy(zero_copy_only=False)), missing
+
+
 @F.arrow_udf(T.DoubleType())
 def _rounded(values: pa.Array) -> pa.Array:
     # twelve digits first: sums added in another order end in other noise, and a
     # tie must be a tie whichever way it was added
-    return pa.array(
-        [None if v is None else round(round(v, 12), 4) for v in values.to_pylist()], pa.float64()
-    )
+    text, missing = _written(values, 12)
+    text, _ = _written(pa.array(text.astype(np.float64)), 4)
+    return pa.array(text.astype(np.float64), mask=missing)
 
 
 @F.arrow_udf(T.StringType())
 def _fixed(values: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else f"{v:.3f}" for v in values.to_pylist()], pa.string())
+    text, missing = _written(values, 3)
+    return pa.array(text.astype(object), pa.string(), mask=missing)
 
 
 def exported(value: Column) -> Column:
@@ -99,14 +107,8 @@ def scored_lines(scored: DataFrame) -> DataFrame:
     )).alias("line"))
 
 
-def summary_json(
-    counts: DataFrame, summary: DataFrame, categories: DataFrame, totals: DataFrame
-) -> DataFrame:
-    """The summary as JSON lines, one object per bucket: (scope, line).
-
-    One object per bucket instead of one document: a run has as many unit
-    buckets as it has distinct units, which no single value has to hold.
-    """
+def _buckets(summary: DataFrame, categories: DataFrame) -> DataFrame:
+    """(scope, size, unit_id, n, metrics.., categories) per bucket, values as exported."""
     mixes = categories.groupBy("scope", "size", "unit_id").agg(
         F.array_sort(
             F.collect_list(F.struct((-F.col("n")).alias("o"), "category", "n"))
@@ -114,12 +116,22 @@ def summary_json(
     )
     same = [summary[c].eqNullSafe(mixes[c]) for c in ("scope", "size", "unit_id")]
     metrics = [*MEAN_METRICS, *[f"{m}_std" for m in MEAN_METRICS], "exact_rate"]
-    buckets = summary.join(mixes, same).select(
-        summary["scope"], summary["size"], summary["unit_id"], "n",
+    return summary.join(mixes, same).select(
+        summary["scope"], summary["size"], summary["unit_id"], "first_size", "n",
         *[exported(F.col(m)).alias(m) for m in metrics],
         F.map_from_entries(F.transform("mix", lambda x: F.struct(x["category"], x["n"])))
         .alias("categories"),
     )
+
+
+def summary_json(
+    counts: DataFrame, summary: DataFrame, categories: DataFrame, totals: DataFrame
+) -> DataFrame:
+    """The summary as JSON lines, one object per bucket: (scope, line).
+
+    :func:`summary_document` has all of it in one document.
+    """
+    buckets = _buckets(summary, categories).drop("first_size")
     as_line = F.to_json(F.struct(*[c for c in buckets.columns if c != "scope"]))
     lines = buckets.select("scope", as_line.alias("line"))
     for scope, table in (("config", counts), ("confusion", totals)):
@@ -127,3 +139,134 @@ def summary_json(
             table.select(F.lit(scope).alias("scope"), F.to_json(F.struct("*")).alias("line"))
         )
     return lines
+
+
+# --- the summary as one document ------------------------------------------------------
+
+_ORDER = ["part", "size", "step", "rank", "first", "second"]
+
+
+def _fragments(df: DataFrame, text: Column, **order: Column) -> DataFrame:
+    kinds = dict.fromkeys(_ORDER, "long") | {"first": "string", "second": "string"}
+    return df.select(
+        *[F.lit(order.get(c)).cast(kind).alias(c) if not isinstance(order.get(c), Column)
+          else order[c].cast(kind).alias(c) for c, kind in kinds.items()],
+        text.alias("text"),
+    )
+
+
+def _listed(items: DataFrame) -> DataFrame:
+    """Fragments of lists with a comma before all but the first of each list."""
+    lists, place = ["part", "size", "step"], ["rank", "first", "second"]
+    heads = items.groupBy(*lists).agg(F.min(F.struct(*place)).alias("_head")).select(
+        *[F.col(c).alias(f"_{c}") for c in lists], "_head"
+    )
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in lists]
+    is_head = F.struct(*place).eqNullSafe(F.col("_head"))
+    return items.join(heads, on).select(
+        *_ORDER, F.when(is_head, F.col("text")).otherwise(F.concat(F.lit(","), "text")).alias("text")
+    )
+
+
+def _quoted(value: Column) -> Column:
+    """*value* as a JSON string."""
+    return F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1)
+
+
+def _label_rank(label: Column) -> Column:
+    return F.when(label == INSERT, 1).when(label == DELETE, 2).otherwise(0)
+
+
+def _confusion_fragments(cells: DataFrame, part: int, by: tuple[str, ...]) -> DataFrame:
+    """One confusion report, or one per size: labels, matrix, totals, substitutions."""
+    size = F.col("size") if by else F.lit(None)
+    dense = scoring.dense_matrix(cells, by)
+    labels = dense.select(*by, F.col("true_label").alias("label")).distinct()
+    row = dense.groupBy(*by, "true_label").agg(F.array_sort(F.collect_list(
+        F.struct(_label_rank(F.col("pred_label")).alias("r"), "pred_label", "n")
+    )).alias("row"))
+    totals = scoring.confusion_totals(cells, list(by))
+    counts = F.concat(*[
+        x for name in ("n_aligned", "n_match", "n_sub", "n_ins", "n_del")
+        for x in (F.lit(f'"{name}":'), F.col(name), F.lit(","))
+    ])
+    fixed = F.array(*[
+        F.struct(F.lit(step).alias("step"), text.alias("text")) for step, text in (
+            (1, F.lit('"labels":[')), (3, F.lit('],"matrix":[')),
+            (5, F.concat(F.lit("],"), counts, F.lit('"substitutions":['))), (7, F.lit("]")),
+        )
+    ])
+    subs = scoring.substitutions(cells, by)
+    return (
+        _fragments(totals.select(*by, F.inline(fixed)), F.col("text"), part=part, size=size, step=F.col("step"))
+        .unionByName(_listed(_fragments(
+            labels, _quoted(F.col("label")), part=part, size=size, step=2,
+            rank=_label_rank(F.col("label")), first=F.col("label"),
+        )))
+        .unionByName(_listed(_fragments(
+            row, F.concat(F.lit("["), F.array_join(F.transform("row", lambda x: x["n"]), ","), F.lit("]")),
+            part=part, size=size, step=4, rank=_label_rank(F.col("true_label")), first=F.col("true_label"),
+        )))
+        .unionByName(_listed(_fragments(
+            subs, F.concat(
+                F.lit("["), _quoted(F.col("true_label")), F.lit(","), _quoted(F.col("pred_label")),
+                F.lit(","), F.col("n"), F.lit("]"),
+            ),
+            part=part, size=size, step=6, rank=-F.col("n"), first=F.col("true_label"),
+            second=F.col("pred_label"),
+        )))
+    )
+
+
+def summary_document(
+    counts: DataFrame, summary: DataFrame, categories: DataFrame, cells: DataFrame
+) -> DataFrame:
+    """The whole summary as one JSON document in parts: order columns and ``text``.
+
+    Sections are config, overall, by_size, by_unit and confusion, which has the
+    overall report and one per size. Parts in the order of ``_ORDER`` make the
+    document; a unit, a label, a row of a matrix is a part, so nothing has to hold
+    more than that. *cells* are those of :func:`scoring.confusion_cells`.
+    """
+    spark = summary.sparkSession
+    buckets = _buckets(summary, categories)
+    shown = [c for c in buckets.columns if c not in ("scope", "size", "unit_id", "first_size")]
+    body = F.to_json(F.struct(*shown))
+    of_unit = F.to_json(F.struct(F.col("first_size").alias("size"), *shown))
+
+    def scope(name: str) -> DataFrame:
+        return buckets.where(F.col("scope") == name)
+
+    frame = spark.createDataFrame(
+        [(2, ',"by_size":{'), (4, '},"by_unit":{'), (6, '},"confusion":{'), (8, ',"by_size":{'), (10, "}}}")],
+        "part long, text string",
+    )
+    sizes = cells.select("size").distinct()
+    opened = _listed(_fragments(
+        sizes, F.concat(F.lit('"'), F.col("size"), F.lit('":{')), part=9, rank=F.col("size"), step=0
+    )).withColumn("size", F.col("rank")).withColumn("rank", F.lit(None).cast("long"))
+    pieces = [
+        _fragments(counts, F.concat(F.lit('{"config":'), F.to_json(F.struct(*counts.columns))), part=0),
+        _fragments(scope("overall"), F.concat(F.lit(',"overall":'), body), part=1),
+        _fragments(frame, F.col("text"), part=F.col("part")),
+        _listed(_fragments(
+            scope("size"), F.concat(F.lit('"'), F.col("size"), F.lit('":'), body), part=3, rank=F.col("size")
+        )),
+        _listed(_fragments(
+            scope("unit"), F.concat(_quoted(F.col("unit_id")), F.lit(":"), of_unit), part=5,
+            first=F.col("unit_id"),
+        )),
+        _confusion_fragments(scoring.overall_cells(cells), 7, ()),
+        opened,
+        _confusion_fragments(cells, 9, ("size",)),
+        _fragments(sizes, F.lit("}"), part=9, size=F.col("size"), step=8),
+    ]
+    out = pieces[0]
+    for piece in pieces[1:]:
+        out = out.unionByName(piece)
+    return out
+
+
+def write_document(fragments: DataFrame, path: str) -> None:
+    """The parts as text files whose lines, in the order of the files, are the document."""
+    fragments.orderBy(*[F.asc_nulls_first(c) for c in _ORDER]).select("text").write.text(path)

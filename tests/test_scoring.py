@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from caseweave.plans import reports, scoring
@@ -85,3 +87,54 @@ def test_summary_json_lists_categories_most_common_first(records):
     overall = next(r.line for r in lines if r.scope == "overall")
     assert '"categories":{"under-generation":3,"exact":1}' in overall
     assert any(r.scope == "config" for r in lines)
+
+
+def test_summary_as_one_document(spark, records, tmp_path):
+    more = spark.createDataFrame(
+        [(9, 'u "x"', "c9", True, ["a", 'b"', "b"], ["b", "é", "b", "b"], 0.2, 3)], SCHEMA
+    )
+    scored = scoring.score(records.union(more))
+    cells = scoring.confusion_cells(scored)
+    document = reports.summary_document(
+        scoring.run_counts(records.union(more)), scoring.summary(scored), scoring.category_mix(scored), cells
+    )
+    reports.write_document(document, str(tmp_path / "summary"))
+    parts = sorted((tmp_path / "summary").glob("part-*"))
+    got = json.loads("".join(p.read_text() for p in parts))
+    assert list(got) == ["config", "overall", "by_size", "by_unit", "confusion"]
+    assert got["config"] == {"n_records": 6, "n_scored": 5}
+    assert got["overall"]["n"] == 5 and sum(got["overall"]["categories"].values()) == 5
+    assert list(got["by_size"]) == ["1", "2", "3"] and set(got["by_unit"]) == {"", "u1", "u2", 'u "x"'}
+    assert got["by_unit"]["u1"]["size"] == 2 and got["by_unit"]["u1"]["normalized_edit_distance"] == 0.25
+    by_size = {r["size"]: {} for r in cells.collect()}
+    for r in cells.collect():
+        by_size[r["size"]][r.true_label, r.pred_label] = r.n
+    everything = {}
+    for found in by_size.values():
+        for pair, n in found.items():
+            everything[pair] = everything.get(pair, 0) + n
+    assert set(got["confusion"]["by_size"]) == {"1", "2", "3"}
+    for report, want in [
+        (got["confusion"], everything), *((got["confusion"]["by_size"][str(k)], v) for k, v in by_size.items())
+    ]:
+        seen = {x for pair in want for x in pair} - {"__insert__", "__delete__"}
+        labels = report["labels"]
+        assert labels == sorted(seen) + ["__insert__", "__delete__"]
+        assert report["matrix"] == [[want.get((a, b), 0) for b in labels] for a in labels]
+        assert report["n_aligned"] == sum(want.values())
+        subs = [[a, b, n] for (a, b), n in want.items() if a != b and a != "__insert__" and b != "__delete__"]
+        assert report["substitutions"] == sorted(subs, key=lambda x: (-x[2], x[0], x[1]))
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    values = [0.03125, 0.12345, -0.00001, 0.5, 2.675, None, 1e6 + 0.00005] + [rng.random() for _ in range(300)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    got = df.select("i", reports.exported(F.col("x")).alias("r"), reports.cell("x").alias("t")).orderBy("i").collect()
+    want = [None if v is None else round(round(v, 12), 4) for v in values]
+    assert [r.r for r in got] == want
+    assert [r.t for r in got] == [None if w is None else f"{w:.3f}" for w in want]
