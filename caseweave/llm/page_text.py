@@ -8,7 +8,7 @@ feature for "main" and a weight per pair of neighbouring labels; it is trained
 in numpy by the gradient of the conditional likelihood (forward and backward
 sums over all training pages at once) on ``PAGES`` labelled pages
 (``page_samples``), and decoded by Viterbi. The model is a dictionary of some
-hundred weights, which is what is broadcast. Pages are independent rows, so
+hundred weights, which every task gets. Pages are independent rows, so
 nothing is shuffled.
 
 The text of a page is its main blocks in page order, joined by one line feed.
@@ -181,15 +181,15 @@ def extract(
     pages: DataFrame, field: Field | None = None, page_id: str = "page_id", url: str = "url", html: str = "html"
 ) -> DataFrame:
     """page_id, url, main text and its number of characters for each page."""
-    # some hundred weights
-    model = pages.sparkSession.sparkContext.broadcast(field or trained())
+    # some hundred weights, which go along with the function
+    model = field or trained()
 
     def run(tables: Iterator):
         import pyarrow as pa
 
         for part in tables:
             top = root()
-            texts = [model.value.main_text(h or "", top) for h in part.column("html").to_pylist()]
+            texts = [model.main_text(h or "", top) for h in part.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("page_id"), part.column("url"), pa.array(texts, pa.string()),

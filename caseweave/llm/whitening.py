@@ -246,8 +246,10 @@ def whiten(
 ) -> DataFrame:
     """One row per vector and component, with the columns of ``OUT``."""
     x = integers(vectors, vec_id, embedding)
-    # a few numbers per pair of dimensions
-    model = vectors.sparkSession.sparkContext.broadcast(fitted(x, components))
+    # goes along with the function: a few numbers per dimension and component
+    fits = fitted(x, components)
+    for fit in fits.values():
+        fit.factors = []
 
     def run(tables: Iterator):
         import pyarrow as pa
@@ -256,7 +258,7 @@ def whiten(
         names = ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
         for part in tables:
             for width, rows, some in _by_width(part.column("x")):
-                fit = model.value[width]
+                fit = fits[width]
                 k = len(fit.values)
                 if not k:
                     continue
