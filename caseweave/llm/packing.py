@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseweave.llm.common import load, stored
-from caseweave.llm.tokens import as_bytes, batches, default_vocabulary, worker_encoder
+from caseweave.llm.tokens import CACHE_WORDS, as_bytes, batches, default_vocabulary, worker_encoder
 
 LENGTH = 2048
 END_ID = 0
 
 
 def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = END_ID,
-           id_col: str = "doc_id", text: str = "text") -> DataFrame:
+           id_col: str = "doc_id", text: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids, task, nth): pieces of each document; written.
 
     ``nth`` counts the pieces of this length in the task before this one.
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int =
             ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
             ("length", pa.int64()), ("ids", pa.binary()), ("task", pa.int32()), ("nth", pa.int64()),
         ])
-        encoder, task = worker_encoder(vocabulary), TaskContext.get().partitionId()
+        encoder, task = worker_encoder(vocabulary, cache_words), TaskContext.get().partitionId()
         seen = np.zeros(length + 1, np.int64)
         for table in tables:
             texts, names = as_bytes(table.column("t")), table.column("d")
@@ -204,9 +204,9 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
 
 
-def packed_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
+def packed_documents(docs: DataFrame, vocabulary: str, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Per piece: document, piece, start, length, crc32 of its ids, sequence and offset."""
-    cut = pieces(docs, vocabulary).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    cut = pieces(docs, vocabulary, cache_words=cache_words).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(cut)
 
 

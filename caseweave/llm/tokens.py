@@ -94,6 +94,8 @@ class Encoder:
 
     def _learn(self):
         new, self.words.new = self.words.new, []
+        if len(self.parts) > self.cache_words:
+            self.parts.clear()
         if new:
             found = list(map(self._word, new))
             counts = np.fromiter(map(len, found), np.int64, len(found))
@@ -120,8 +122,9 @@ class Encoder:
         return self.ids[at], np.diff(cuts)
 
 
-def worker_encoder(vocabulary: str) -> Encoder:
-    """The encoder of this Python worker, which keeps its words from task to task.
+def worker_encoder(vocabulary: str, cache_words: int = CACHE_WORDS) -> Encoder:
+    """The encoder of this Python worker, which keeps its words from task to task, *cache_words*
+    at most (some 600 bytes each).
 
     Functions reach the workers by value, so a variable of this module would be
     a new one in each task; the tokenizer library's module is not.
@@ -129,9 +132,9 @@ def worker_encoder(vocabulary: str) -> Encoder:
     import tokenizers
 
     held = vars(tokenizers).setdefault("_worker_encoders", {})
-    if vocabulary not in held:
-        held[vocabulary] = Encoder(vocabulary)
-    return held[vocabulary]
+    if (vocabulary, cache_words) not in held:
+        held[vocabulary, cache_words] = Encoder(vocabulary, cache_words)
+    return held[vocabulary, cache_words]
 
 
 def batches(texts: list[bytes], limit: int = 4 << 20):
