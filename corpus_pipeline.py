@@ -32,6 +32,9 @@ from caseweave.llm.common import load, materialise, release, written
 from caseweave.llm.tokens import default_vocabulary
 
 
+#: Words that a worker of the last stage remembers; the workers of all stages share the memory.
+PACKED_WORDS = 80_000
+
 #: Tables that earlier stages wrote on their way, by application.
 _LEFT: dict[str, list[str]] = {}
 
@@ -107,7 +110,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(docs, default_vocabulary())
+    return packing.packed_documents(docs, default_vocabulary(), PACKED_WORDS)
 
 
 STAGES = [
