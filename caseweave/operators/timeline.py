@@ -97,6 +97,7 @@ def answer(requests: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
         .when(F.col("body").isNull(), "missing_file")
         .otherwise("ok")
     )
+    # fixed value: the head lines of an answer
     head = F.concat(
         F.lit("Observed event log of application "), F.col("application_id"),
         F.lit(f" (hidden activities are behind the {EMAIL_ACTIVITY} event):"

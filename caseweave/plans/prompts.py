@@ -75,6 +75,7 @@ def _task(single: bool, cap: int) -> str:
         )
     limit = ""
     if cap:
+        # fixed value: the sentence of the cap
         word = "activity" if cap == 1 else "activities"
         limit = f" Return AT MOST {cap} {word} - never more than {cap}."
     return (
