@@ -363,6 +363,31 @@ def test_embedding_links_equal_brute_force(spark):
     assert got[150]["component_id"] == 3 and not got[150]["kept"] and got[3]["kept"]
 
 
+def test_crowds_of_embeddings_are_counted_without_their_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 32))
+    # from nearly equal to half apart, so that groups lie inside, across and outside the threshold
+    x[:500] = x[0] + rng.uniform(0, 0.4, (500, 1)) * rng.standard_normal((500, 32)) * 0.45
+    x[500:600] = x[500] * rng.uniform(0.5, 2, (100, 1))
+    table = spark.createDataFrame(
+        [(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"
+    )
+    got = {r["vec_id"]: r for r in collisions.near_duplicates(table).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(1) - 1
+    found = np.array([got[i]["n_links"] for i in range(900)])
+    assert (found <= links).all() and found.sum() >= 0.999 * links.sum()
+    assert (found[500:600] == 99).all() and got[599]["component_id"] == 500
+
+    gathered, widths = collisions.gathered_classes(collisions.classes(table)[1], 0.95)
+    assert widths == [(32, 900)] and gathered.where("crowded").count() > 2 * collisions.CROWD
+    pairs = collisions.candidates(gathered, 900, 32)
+    near = collisions.compared(gathered, pairs, 32, 0.95)
+    # written as pairs are groups, fewer than the links of their members
+    assert near.count() < links.sum() / 4
+    assert near.where("NOT whole").count() > 0
+
+
 def test_embeddings_of_every_width_are_compared(spark):
     rng = np.random.default_rng(4)
     wide, small = rng.standard_normal((30, 16)), rng.standard_normal((6, 8))
