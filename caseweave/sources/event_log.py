@@ -41,8 +41,13 @@ def parse_logs(documents: DataFrame) -> DataFrame:
 
 def flatten(logs: DataFrame) -> DataFrame:
     """One row per event: (graph_key, pos, type, time, attributes, object_ids)."""
+    return flat_event(logs.select("graph_key", F.posexplode("events").alias("pos", "event")))
+
+
+def flat_event(events: DataFrame) -> DataFrame:
+    """The fields of column ``event`` with what stands for a missing one."""
     objects = F.transform("event.relationships", lambda r: r["objectId"])
-    return logs.select("graph_key", F.posexplode("events").alias("pos", "event")).select(
+    return events.select(
         "graph_key", "pos",
         F.coalesce("event.type", F.lit("?")).alias("type"),
         F.coalesce("event.time", F.lit("")).alias("time"),
@@ -50,4 +55,3 @@ def flatten(logs: DataFrame) -> DataFrame:
         F.filter(F.coalesce(objects, F.array().cast("array<string>")),
                  lambda o: o.isNotNull() & (o != "")).alias("object_ids"),
     )
-
