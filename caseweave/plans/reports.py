@@ -177,6 +177,35 @@ def _label_rank(label: Column) -> Column:
     return F.when(label == INSERT, 1).when(label == DELETE, 2).otherwise(0)
 
 
+def _field(label: Column) -> Column:
+    """A label as a field of comma-separated values."""
+    quoted = F.concat(F.lit('"'), F.replace(label, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(label.rlike('[",\r\n]'), quoted).otherwise(label)
+
+
+def matrix_lines(cells: DataFrame) -> DataFrame:
+    """(place, first, line): the sparse matrix as comma-separated lines, for any number of labels.
+
+    The head line comes first by (place, first), then activities in order, insertions last;
+    deletions are the last column. A line is one value, and no other value grows with the labels.
+    """
+    rows = scoring.sparse_matrix(scoring.dense_matrix(cells)).groupBy("true_label").agg(F.array_sort(
+        F.collect_list(F.struct(_label_rank(F.col("pred_label")).alias("r"), "pred_label", "n"))
+    ).alias("row"))
+    # every row names all columns: those of the insertions, which are always there, make the head line
+    head = rows.where(F.col("true_label") == INSERT).select(
+        F.lit(-1).alias("place"), F.lit("").alias("first"),
+        F.concat(F.lit("true_label,"), F.array_join(
+            F.transform("row", lambda x: _field(x["pred_label"])), ","
+        )).alias("line"),
+    )
+    counts = F.array_join(F.transform("row", lambda x: x["n"].cast("string")), ",")
+    return head.unionByName(rows.select(
+        _label_rank(F.col("true_label")).cast("int").alias("place"), F.col("true_label").alias("first"),
+        F.concat(_field(F.col("true_label")), F.lit(","), counts).alias("line"),
+    ))
+
+
 def _confusion_fragments(cells: DataFrame, part: int, by: tuple[str, ...]) -> DataFrame:
     """One confusion report, or one per size: labels, matrix, totals, substitutions."""
     size = F.col("size") if by else F.lit(None)

@@ -10,7 +10,7 @@ from caseweave.functions.sequences import confusion_labels, with_pair_metrics
 
 # Blocks the columns of a dense matrix are dealt into.
 LABEL_BLOCKS = 64
-# A wide table has a column per activity; more of them are read in the long form.
+# A wide table has a column per activity; more of them are read as lines of text or in the long form.
 MAX_COLUMNS = 20_000
 
 
@@ -178,10 +178,13 @@ def sparse_matrix(dense: DataFrame) -> DataFrame:
 
 
 def matrix_table(cells: DataFrame) -> DataFrame:
-    """The sparse matrix in wide form, one column per predicted label."""
+    """The sparse matrix in wide form, one column per predicted label.
+
+    More columns than a table can have come as lines of ``reports.matrix_lines``.
+    """
     labels = [r.label for r in confusion_label_list(cells).limit(MAX_COLUMNS + 1).collect()]
     if len(labels) > MAX_COLUMNS:
-        raise ValueError("too many columns for one table; use sparse_matrix")
+        raise ValueError("too many columns for one table; use reports.matrix_lines")
     return (
         cells.groupBy("true_label")
         .pivot("pred_label", [*labels, DELETE])

@@ -63,6 +63,27 @@ def test_confusion(records):
     assert (row.n_match, row.n_sub, row.n_ins, row.n_del) == (3, 0, 0, 4)
 
 
+def test_the_matrix_as_lines_has_no_limit_of_labels(spark, records):
+    cells = scoring.overall_cells(scoring.confusion_cells(scoring.score(records)))
+
+    def lines(of):
+        return [r.line for r in reports.matrix_lines(of).orderBy("place", "first").collect()]
+
+    assert lines(cells) == [
+        "true_label,a,b,c,__delete__", "a,1,0,0,3", "b,0,2,0,0", "c,0,0,0,1", "__insert__,0,0,0,0",
+    ]
+    assert lines(cells.limit(0)) == ["true_label,__delete__", "__insert__,0"]
+    odd = spark.createDataFrame([('x,"y"', "z", 4)], "true_label string, pred_label string, n long")
+    assert lines(odd) == [
+        'true_label,"x,""y""",z,__delete__', '"x,""y""",0,4,0', "z,0,0,0", "__insert__,0,0,0",
+    ]
+    names = [f"l{i:04d}" for i in range(700)]
+    many = spark.createDataFrame([(a, a, 1) for a in names], "true_label string, pred_label string, n long")
+    got = lines(many)
+    assert len(got) == 702 and got[0] == ",".join(["true_label", *names, "__delete__"])
+    assert got[5] == ",".join(["l0004", *("1" if i == 4 else "0" for i in range(700)), "0"])
+
+
 def test_a_sentinel_as_activity_is_refused(spark):
     bad = spark.createDataFrame([(0, "u", "c", True, ["__insert__"], ["a"], 0.0, 1)], SCHEMA)
     with pytest.raises(Exception, match="sentinel"):
