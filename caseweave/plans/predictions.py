@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions.text import strip
 from caseweave.functions.variants import as_text, field, is_truthy
+from caseweave.runtime import materialise
 from caseweave.sources.records import Catalog
 
 _FENCE = "```"
@@ -36,9 +37,31 @@ def normalise(items: Column, catalog: Catalog) -> Column:
     return F.filter(named, lambda x: x.isNotNull() & (x != ""))
 
 
+def _named_by_join(parsed: DataFrame, entries: DataFrame) -> DataFrame:
+    """*parsed* with ``_named``: the items in the spelling of a catalog of any size."""
+    # two spellings of one name: the later entry wins
+    known = entries.groupBy(F.lower("event_type").alias("_key")).agg(
+        F.max_by("event_type", "pos").alias("_name")
+    ).where("_name <> ''")
+    rows = materialise(
+        parsed.withColumn("_row", F.monotonically_increasing_id())
+        .withColumn("_json", F.to_json("_json")), "responses",
+    )
+    items = rows.select("_row", F.posexplode("_items").alias("_i", "_item"))
+    named = (
+        items.withColumn("_key", F.lower(strip(F.col("_item")))).join(known, "_key")
+        .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_i", "_name")))["_name"].alias("_named"))
+    )
+    empty = F.array().cast("array<string>")
+    return (
+        rows.join(named, "_row", "left").withColumn("_json", F.try_parse_json("_json"))
+        .withColumn("_named", F.coalesce("_named", empty)).drop("_row")
+    )
+
+
 def parse_responses(
     responses: DataFrame,
-    catalog: Catalog,
+    catalog: Catalog | DataFrame,
     agent: bool = False,
     single: bool = False,
     max_activities: int = 0,
@@ -47,7 +70,8 @@ def parse_responses(
 
     An agent's answer may be wrapped in prose and a bad confidence counts as 0;
     otherwise a bad confidence fails the whole answer. A failed answer is an
-    empty prediction with confidence 0.
+    empty prediction with confidence 0. A catalog of any size is given as its
+    entries (pos, event_type, description); spellings are then found by a join.
     """
     parsed = responses.withColumn("_json", braced_json(F.col("raw")) if agent
                                   else fenced_json(F.col("raw")))
@@ -77,7 +101,11 @@ def parse_responses(
         .when(F.col("_items").isNull(), "bad_activities")
         .when(F.col("_number").isNull(), "bad_confidence")
     )
-    named = normalise(F.col("_items"), catalog)
+    if isinstance(catalog, DataFrame):
+        parsed = _named_by_join(parsed, catalog)
+        named = F.col("_named")
+    else:
+        named = normalise(F.col("_items"), catalog)
     if single:
         named = F.slice(named, 1, 1)
     elif max_activities and not agent:
@@ -86,7 +114,7 @@ def parse_responses(
         parsed.withColumn("error", error)
         .withColumn("pred", F.when(F.col("error").isNull(), named).otherwise(empty))
         .withColumn("confidence", F.when(F.col("error").isNull(), F.col("_number")).otherwise(F.lit(0.0)))
-        .drop("_json", "_items", "_number")
+        .drop("_json", "_items", "_number", "_named")
     )
 
 

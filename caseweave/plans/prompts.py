@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.functions.text import objects_list, strip, timeline_text
-from caseweave.sources.records import Catalog
+from caseweave.sources.records import Catalog, catalog_text
 
 # --- fixed values: headings and answer format ------------------------------------
 EMAIL_HEADING = "=== EMAIL ==="
@@ -92,7 +92,7 @@ def _block(shown: Column, *parts) -> Column:
 
 
 def user_prompt(
-    email: Column, timeline: Column, catalog: Catalog, single: bool = False, cap: int = 0
+    email: Column, timeline: Column, catalog: Catalog | DataFrame, single: bool = False, cap: int = 0
 ) -> Column:
     """Catalog, then the e-mail and timeline blocks that have content, then the task."""
     def part(name: str) -> Column:
@@ -109,7 +109,7 @@ def user_prompt(
         strip(timeline) != "", f"{TIMELINE_HEADING}\n{TIMELINE_NOTE}\n", timeline, "\n\n"
     )
     return F.concat(
-        F.lit(f"{CATALOG_NOTE}\n{catalog.text}\n\n"), mail, log, F.lit(_task(single, cap))
+        F.lit(f"{CATALOG_NOTE}\n"), catalog_text(catalog), F.lit("\n\n"), mail, log, F.lit(_task(single, cap))
     )
 
 
@@ -129,7 +129,7 @@ def _name(records: DataFrame) -> Column:
 
 def prompts(
     records: DataFrame,
-    catalog: Catalog,
+    catalog: Catalog | DataFrame,
     use_email: bool = True,
     use_timeline: bool = True,
     single: bool = False,
@@ -175,7 +175,7 @@ def share_answers(prompts: DataFrame, answers: DataFrame) -> DataFrame:
 
 def graph_prompts(
     records: DataFrame,
-    catalog: Catalog,
+    catalog: Catalog | DataFrame,
     subgraphs: DataFrame,
     seeds: DataFrame,
     use_timeline: bool = True,
@@ -199,7 +199,7 @@ def graph_prompts(
     none = F.lit("(none)")
     head = F.concat(
         F.lit("List the ordered activities hidden behind the e-mail of application "),
-        F.col("asked"), F.lit(f".\n\n{CATALOG_NOTE}\n{catalog.text}\n\nCurrent application id: "),
+        F.col("asked"), F.lit(f".\n\n{CATALOG_NOTE}\n"), catalog_text(catalog), F.lit("\n\nCurrent application id: "),
         F.col("asked"),
     )
     ids = F.concat(

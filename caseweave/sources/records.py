@@ -138,7 +138,8 @@ def parse_catalog(documents: DataFrame) -> DataFrame:
 class Catalog:
     """Activity classes: the text shown in prompts and the accepted spellings.
 
-    A few dozen rows by nature, and checked: read once and used as constants.
+    A few dozen rows by nature, and checked: read once and used as constants. Prompts and
+    predictions take the entries themselves as well, which may be any number.
     """
 
     def __init__(self, entries: DataFrame):
@@ -148,3 +149,14 @@ class Catalog:
         self.text = "\n".join(f"- {r.event_type}: {r.description}" for r in rows)
         # two spellings of one name: the later entry wins
         self.canonical = {r.event_type.lower(): r.event_type for r in rows}
+
+
+def catalog_text(catalog: Catalog | DataFrame) -> Column:
+    """The catalog as prompts show it: a constant, or a subquery over its entries."""
+    if not isinstance(catalog, DataFrame):
+        return F.lit(catalog.text)
+    line = F.concat("event_type", F.lit(": "), "description")
+    shown = catalog.agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("all"))
+    return shown.select(
+        F.array_join(F.transform("all.line", lambda x: F.concat(F.lit("- "), x)), "\n")
+    ).scalar()

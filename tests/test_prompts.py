@@ -127,6 +127,30 @@ def test_agent_answers_are_read_leniently(spark):
     assert got[2].pred == ["P_Filed"] and got[5].confidence == 0.0 and got[5].pred == ["P_Filed"]
 
 
+def test_catalogs_of_any_size(spark):
+    entries = [(0, "P_filed", "an older spelling"), (1, "P_Filed", "a permit is filed"), (2, "P_Granted", "a permit is granted")]
+    entries += [(i, f"X_{i}", "more") for i in range(3, 12_000)]
+    catalog = spark.createDataFrame(entries, "pos int, event_type string, description string").repartition(5)
+    df = spark.createDataFrame(
+        [(i, a[0]) for i, a in enumerate(ANSWERS)] + [(99, '{"activities": ["x_11999", "y", " X_3 ", "x_11999"]}')] * 2,
+        "i int, raw string",
+    )
+    for options in ({}, {"single": True}, {"max_activities": 2}, {"agent": True}):
+        got = predictions.parse_responses(df, catalog, **options)
+        assert got.columns == predictions.parse_responses(df, Catalog(), **options).columns
+        got = got.orderBy("i").collect()
+        assert [tuple(r) for r in got[:-2]] == [tuple(r) for r in parsed(spark, **options)]
+        size = options.get("max_activities", 1 if "single" in options else 3)
+        assert [r.pred for r in got[-2:]] == [["X_11999", "X_3", "X_11999"][:size]] * 2
+    assert predictions.parse_responses(df, catalog.limit(0)).where("size(pred) > 0").count() == 0
+
+    shown = prompts.prompts(one(spark), catalog.where("pos in (1, 2)")).first()
+    want = prompts.prompts(one(spark), Catalog()).first()
+    assert shown.user == want.user and shown.prompt_key == want.prompt_key
+    whole = prompts.prompts(one(spark), catalog).first().user
+    assert whole.count("\n- X_") == 11_997 and whole.index("- X_11998: more\n- X_11999: more\n\n") > 0
+
+
 def test_failure_gate(spark):
     df = predictions.parse_responses(
         spark.createDataFrame([("x",), ('{"activities": []}',)], "raw string"), Catalog()
