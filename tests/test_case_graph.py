@@ -2,7 +2,7 @@ import pytest
 from conftest import CURRENT, SIBLING, UNRELATED, node, occurrence, rows, tie
 
 from caseweave.operators import graph, guards, render, similarity, walk
-from caseweave.operators.links import WalkGraph
+from caseweave.operators.links import WalkGraph, has
 from caseweave.plans.context import CaseGraph, similar_hits
 from caseweave.runtime import materialise, work_area
 from pyspark.sql import functions as F
@@ -180,6 +180,29 @@ def test_walk_keeps_but_does_not_leave_boundaries(spark, dump):
     assert walk.neighbourhood(g.numbers(start), g, 2).count() == 0
 
 
+def test_numbers_carry_flags_and_hot_nodes_walk_the_same(spark, dump):
+    nodes, edges = dump(
+        occurrence(1, "app_1", [1.0]) + occurrence(2, "app_2", [1.0])
+        + [node("v", "ValueNode"), tie("dec1", "about", "v"), tie("dec2", "about", "v"),
+           tie("rat1", "about", "v"), tie("rat2", "about", "v"), tie("v", "about", "v")]
+    )
+    asked = spark.createDataFrame([("app_1",), ("app_2",)], "asked string")
+    found = []
+    for limit in (100, 2):
+        g = WalkGraph(nodes, edges, hot_links=limit)
+        flagged = g.nodes.where(has("node", "is_case") != F.col("is_case"))
+        assert flagged.count() == 0 and g.edges.columns == ["src", "rel", "dst"]
+        assert (g.hot is None) == (limit == 100)
+        if g.hot is not None:
+            assert ("v",) in rows(g.names(g.hot), "node_id")
+        seeds = walk.case_seeds(g.case_numbers(graph.resolve(asked, g.nodes)), g)
+        found.append((
+            rows(g.names(walk.neighbourhood(seeds, g, 3)), "asked", "node_id"),
+            rows(walk.owners(g), "node_id", "app"),
+        ))
+    assert found[0] == found[1] and ("app_1", "dec2") in found[0][0]
+
+
 def test_owner_is_the_smallest_and_not_the_node_itself(spark, dump):
     both = node("x", "ProcessInstance", id="app_0")
     both["labels"].append("DecisionNode")
