@@ -173,3 +173,29 @@ def test_predictions_onto_records(spark):
     assert rows(predictions.onto_records(base, found), "record_pos", "x", "pred", "confidence") == [
         (0, "a", [], 0.0), (1, "b", ["p"], 0.7)
     ]
+
+
+def test_lines_are_trimmed_alike_with_and_without_the_short_way(spark):
+    from pyspark.sql import functions as F
+
+    from caseweave.functions.text import strip
+    from caseweave.sources.graph_dump import _trimmed
+
+    ends = ["", ",", ",,", " ,", ", ", "\t", " ,", " "]
+    texts = [a + body + b for body in ("{}", '{"a": "é"}', "{", "}", "", "x") for a in ("", " ", " ") for b in ends]
+    df = spark.createDataFrame([(t,) for t in texts], "line string")
+    long_way = strip(F.rtrim(strip(F.col("line")), F.lit(",")))
+    assert df.where(~_trimmed().eqNullSafe(long_way)).count() == 0
+
+
+def test_lines_do_not_move_to_their_splits(spark):
+    from caseweave.sources.graph_dump import Dump
+
+    lines = spark.createDataFrame(
+        [((f"f{i % 3}", i % 2, i), '{"type": "node", "id": "n%d", "labels": ["A"]},' % i) for i in range(6)],
+        "pos struct<file: string, block: long, row: long>, line string",
+    )
+    dump = Dump(lines)
+    plan = dump._sightings()._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    assert dump.nodes.count() == 6 and dump.n_rejected == 0
