@@ -17,6 +17,12 @@ from caseweave.fixed import (
 from caseweave.functions.text import span_index
 
 
+#: Edges of one node that one task collapses.
+HOT_EDGES = 1_000_000
+#: Counters among which nodes are dealt to see whether one has more.
+COUNTERS = 65_536
+
+
 def real_labels(labels: Column) -> Column:
     """Labels without the helper ones; order and duplicates stay."""
     return F.filter(labels, lambda x: ~x.isin(*HELPER_LABELS))
@@ -51,38 +57,60 @@ def node_table(raw: DataFrame) -> DataFrame:
     })
 
 
-def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def adjacency(nodes: DataFrame, edges: DataFrame, hot_edges: int = HOT_EDGES) -> DataFrame:
     """Undirected neighbour pairs with the flags walks need at either end.
 
     Parallel edges collapse: a walk only asks whether two nodes touch. Each pair
     gets the flags of both ends once, in two equi-joins on a node id, so a node
     that ends most of the edges is split by adaptive skew handling; only then it
-    is written both ways round.
+    is written both ways round. What travels of an end are its id and application
+    and its flags as the bits of one number. Where no node has very many edges,
+    pairs are dealt by their first end, collapse there and meet its flags without
+    moving again.
     """
-    pairs = edges.select(
-        F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
-    ).distinct()
-    names = [
-        "app_id", "is_case", "is_cluster", "is_actor", "is_leaky", "is_boundary", "links_case"
-    ]
-    flags = nodes.select("node_id", F.struct("node_id", *names).alias("end"))
+    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    counter = F.pmod(F.xxhash64("a"), F.lit(COUNTERS)).alias("counter")
+    largest, total = pairs.groupBy(counter).agg(F.count("*").alias("n")).agg(
+        F.max("n"), F.sum("n")
+    ).first()
+    if (largest or 0) <= max(hot_edges, (total or 0) // 10_000):
+        pairs = pairs.repartition("a")
+    pairs = pairs.distinct()
+    names = ["is_case", "is_cluster", "is_actor", "is_leaky", "is_boundary", "links_case"]
+    # two bits a flag, as labels may be missing and a flag NULL
+    bits = F.lit(0)
+    for i, name in enumerate(names):
+        bits = bits + F.when(F.col(name), 3 << 2 * i).when(~F.col(name), 1 << 2 * i).otherwise(0)
+    flags = nodes.select("node_id", "app_id", bits.alias("bits"))
 
     def ends(side: str) -> DataFrame:
-        return flags.select(F.col("node_id").alias(side), F.col("end").alias(f"{side}_end"))
-
-    both = pairs.join(ends("a"), "a").join(ends("b"), "b").select("a_end", "b_end")
-    ways = F.array_distinct(F.array(
-        F.struct(F.col("a_end").alias("src"), F.col("b_end").alias("dst")),
-        F.struct(F.col("b_end").alias("src"), F.col("a_end").alias("dst")),
-    ))
-    return both.select(F.inline(ways)).select(
-        F.col("src.node_id").alias("src"), F.col("dst.node_id").alias("dst"),
-        F.col("src.app_id").alias("src_app"), F.col("src.is_case").alias("src_case"),
-        F.col("src.is_actor").alias("src_actor"), F.col("dst.app_id").alias("dst_app"),
-        F.col("dst.is_cluster").alias("dst_cluster"), F.col("dst.is_actor").alias("dst_actor"),
-        F.col("dst.is_leaky").alias("dst_leaky"), F.col("dst.is_boundary").alias("dst_boundary"),
-        F.col("dst.links_case").alias("dst_links_case"),
-    )
+        return flags.select(
+            F.col("node_id").alias(side), F.col("app_id").alias(f"{side}_app"),
+            F.col("bits").alias(f"{side}_bits"),
+        )
+
+    def told(at: str, name: str) -> Column:
+        two = F.shiftright(f"{at}_bits", 2 * names.index(name)).bitwiseAND(3)
+        return F.when(two != 0, two == 3)
+
+    def way(src: str, dst: str) -> Column:
+        return F.struct(
+            F.col(src).alias("src"), F.col(dst).alias("dst"),
+            F.col(f"{src}_app").alias("src_app"), told(src, "is_case").alias("src_case"),
+            told(src, "is_actor").alias("src_actor"), F.col(f"{dst}_app").alias("dst_app"),
+            *[
+                told(dst, f"is_{name}").alias(f"dst_{name}")
+                for name in ("cluster", "actor", "leaky", "boundary")
+            ],
+            told(dst, "links_case").alias("dst_links_case"),
+        )
+
+    both = pairs.join(ends("a"), "a").join(ends("b"), "b")
+    return both.select(F.inline(F.when(
+        (F.col("a") == F.col("b")) & F.col("a_app").eqNullSafe(F.col("b_app"))
+        & F.col("a_bits").eqNullSafe(F.col("b_bits")),
+        F.array(way("a", "b")),
+    ).otherwise(F.array(way("a", "b"), way("b", "a")))))
 
 
 def case_ids(nodes: DataFrame) -> DataFrame:

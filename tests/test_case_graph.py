@@ -203,6 +203,23 @@ def test_numbers_carry_flags_and_hot_nodes_walk_the_same(spark, dump):
     assert found[0] == found[1] and ("app_1", "dec2") in found[0][0]
 
 
+def test_adjacency_is_the_same_however_pairs_are_dealt(spark, dump):
+    nodes, edges = dump(occurrence(1, "app_1", [1.0]) + [
+        tie("dec1", "a", "rat1"), tie("rat1", "b", "dec1"), tie("dec1", "about", "dec1"),
+    ])
+    table = graph.node_table(nodes)
+    dealt, plain = (graph.adjacency(table, edges, hot_edges=n) for n in (1_000_000, 0))
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
+    assert [tuple(r) for r in dealt.where("src = 'dec1' and dst = 'dec1'").collect()] == [
+        ("dec1", "dec1", None, False, False, None, False, False, False, False, True)
+    ]
+
+    def moves(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression")
+
+    assert (moves(dealt), moves(plain)) == (1, 0)
+
+
 def test_owner_is_the_smallest_and_not_the_node_itself(spark, dump):
     both = node("x", "ProcessInstance", id="app_0")
     both["labels"].append("DecisionNode")
