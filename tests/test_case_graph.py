@@ -1,8 +1,9 @@
 import pytest
 from conftest import CURRENT, SIBLING, UNRELATED, node, occurrence, rows, tie
 
+from caseweave.functions import text
 from caseweave.operators import graph, guards, render, similarity, walk
-from caseweave.operators.links import WalkGraph, has
+from caseweave.operators.links import WalkGraph, has, rank_of
 from caseweave.plans.context import CaseGraph, similar_hits
 from caseweave.runtime import materialise, work_area
 from pyspark.sql import functions as F
@@ -263,6 +264,54 @@ def test_bare_cases_are_dropped(spark, dump):
     assert rows(g.names(kept), "asked", "node_id") == [("k", "c1"), ("k", "p1"), ("k", "v"), ("m", "v")]
 
 
+def test_a_case_stays_whichever_of_its_neighbours_is_in_the_set(spark, dump):
+    nodes, edges = dump([
+        node("p1", "ProcessInstance", id="a"), node("c1", "ActivityCluster"), node("c2", "ActivityCluster"),
+        tie("c1", "part_of", "p1"), tie("c2", "part_of", "p1"),
+    ])
+    g = CaseGraph(nodes, edges)
+    sets = {"one": ["p1", "c1"], "other": ["p1", "c2"], "both": ["p1", "c1", "c2"], "none": ["p1"]}
+    members = spark.createDataFrame(
+        [(k, n) for k, held in sets.items() for n in held], "asked string, node_id string"
+    )
+    kept = walk.without_bare_cases(materialise(g.numbers(members), "sets"), g)
+    assert [k for k, n in rows(g.names(kept), "asked", "node_id") if n == "p1"] == ["both", "one", "other"]
+
+
+def test_numbers_sort_as_nodes_are_drawn_and_a_text_is_dealt_once(spark, dump):
+    items = [node(f"e{i}", "EvidenceNode", id=f"ev__s{s}") for i, s in ((1, 10), (2, 9), (10, 9), (3, 1))]
+    g = CaseGraph(*dump(items + [node("d1", "DecisionNode"), node("o", "Other")]))
+    drawn_as = [r.node_id for r in g.nodes.where(rank_of("node") == 0).orderBy("node").collect()]
+    assert drawn_as == ["e3", "e10", "e2", "e1"]
+    assert rows(g.nodes.where("label <> 'EvidenceNode'").select("node_id", rank_of("node").alias("r")), "node_id", "r") == [
+        ("d1", 4), ("o", 8)
+    ]
+    lines = spark.createDataFrame(
+        [("k", 0, 0, 1, "a")], "key string, section int, rank int, n long, line string"
+    )
+    plan = render.subgraph_text(lines, "key")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_drawing_says_what_the_text_functions_say(spark):
+    kinds = {"EvidenceNode": 0, "RationaleNode": 1, "DecisionNode": 2}
+    props = [{}, {"text": " \u00a0"}, {"name": "", "text": "a" * 4001}, {"name": " n ", "confidence": "1"}]
+    nodes = spark.createDataFrame(
+        [([k], k, p, s) for k in kinds for p in props for s in (0, 3)] + [([None], "Node", None, 0)],
+        "labels array<string>, label string, props map<string,string>, span long",
+    )
+    text_of, place = F.col("props"), (F.lit(False), F.col("span"))
+    said = render.drawing(nodes).withColumns({
+        "e": text.evidence_details(text_of, *place), "r": text.quoted_text(text_of), "d": text.format_props(text_of),
+        "own": text.evidence_details(text_of, F.lit(True), F.col("span")),
+    }).collect()
+    assert len(said) == 25
+    for x in said:
+        details = (x.e, x.r, x.d)[kinds.get(x.label, 2)]
+        assert x.shown == f" {x.label}({details})"
+        assert x.shown_own == (f" {x.label}({x.own})" if x.label == "EvidenceNode" else None)
+
+
 def test_similar_text(spark, three):
     found = hits(spark, three, "dec_1")
     text = three.similar_texts(found, "decision", 0.5, hops=1).first().text
