@@ -397,8 +397,8 @@ def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(both.mapInArrow(compare, "a binary, b binary"), "gram-links")
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(who, label) of linked classes, by class number, written."""
+def _labels(stars: DataFrame) -> DataFrame:
+    """(who, label) of linked classes, by class number, written; *stars* as of :func:`_joined`."""
 
     def numbers(batches_: Iterator):
         import pyarrow as pa
@@ -406,13 +406,24 @@ def _labels(links: DataFrame) -> DataFrame:
         for batch in batches_:
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([np.frombuffer(x, "<i8", 1)[0] for x in batch.column("node").to_pylist()], pa.int64()),
-                    batch.column("component"),
+                    pa.array([np.frombuffer(x, "<i8", 1)[0] for x in batch.column("a").to_pylist()], pa.int64()),
+                    batch.column("b"),
                 ],
                 names=["who", "label"],
             )
 
-    return materialise(components(links).mapInArrow(numbers, "who long, label binary"), "gram-labels")
+    roots = stars.select(F.col("b").alias("a"), "b").distinct()
+    return materialise(
+        stars.unionByName(roots).mapInArrow(numbers, "who long, label binary"), "gram-labels"
+    )
+
+
+def _joined(stars: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Links (a, b) of each class to the least of its component, from such links and further ones."""
+    both = found if stars is None else stars.unionByName(found)
+    return components(both).where("node <> component").select(
+        F.col("node").alias("a"), F.col("component").alias("b")
+    )
 
 
 def _apart(pairs: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
@@ -491,11 +502,14 @@ def links(docs: DataFrame, described_docs: DataFrame, text: str = "text") -> Dat
     )
     first = met.groupBy("a").agg(F.min(F.struct("own", "b"))["b"].alias("b"))
     found = verified(sets, first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    labels = _labels(found)
+    stars = _joined(None, found)
+    labels = _labels(stars)
 
     # the other pairs whose ends are still apart
-    found = found.union(verified(sets, _apart(pairs, labels)))
-    labels = _labels(found)
+    found = verified(sets, _apart(pairs, labels))
+    if not found.isEmpty():
+        stars = _joined(stars, found)
+        labels = _labels(stars)
 
     # pairs that need crowded columns, which are counted now
     both = (
@@ -503,8 +517,10 @@ def links(docs: DataFrame, described_docs: DataFrame, text: str = "text") -> Dat
         .join(crowds.select(F.col("who").alias("a"), F.col("columns").alias("x")), "a")
         .join(crowds.select(F.col("who").alias("b"), F.col("columns").alias("y")), "b")
     )
-    found = found.union(verified(sets, both.where(F.size(F.array_intersect("x", "y")) >= F.col("short"))))
-    labels = _labels(found)
+    found = verified(sets, both.where(F.size(F.array_intersect("x", "y")) >= F.col("short")))
+    if not found.isEmpty():
+        stars = _joined(stars, found)
+        labels = _labels(stars)
 
     # what is left: rows of a crowded column that are still apart. In the first column that two
     # rows have in common, what either has from there on must hold the whole overlap; where that
@@ -524,7 +540,7 @@ def links(docs: DataFrame, described_docs: DataFrame, text: str = "text") -> Dat
         & (UNDER * n >= OVER * m)
         & (F.least("rest", "rest_b") >= needed)
     ).select(F.least("who", "b").alias("a"), F.greatest("who", "b").alias("b"))
-    return found.union(verified(sets, apart))
+    return stars.unionByName(verified(sets, apart))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -64,6 +64,16 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 21)}, 30: 30, 40: 30}
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    write, written = components.materialise, []
+    monkeypatch.setattr(components, "materialise", lambda df, name: written.append(name) or write(df, name))
+    links = spark.createDataFrame([(1, 5), (1, 9), (7, 2), (1, 9)], "a long, b long")
+    got = dict(map(tuple, components.components(links).collect()))
+    assert got == {1: 1, 5: 1, 9: 1, 2: 2, 7: 2} and written == ["links"]
+    path = spark.createDataFrame([(i, i + 1) for i in range(4)], "a long, b long")
+    assert dict(map(tuple, components.components(path).collect())) == dict.fromkeys(range(5), 0)
+
+
 def test_line_quality_on_odd_rows(odd, none):
     got = by_id(line_quality.judge(odd, carry=["doc_id"]))
     assert got[0]["n_words"] == 0 and got[0]["base_failed"] and not got[1]["kept"]
