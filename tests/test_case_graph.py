@@ -3,7 +3,8 @@ from conftest import CURRENT, SIBLING, UNRELATED, node, occurrence, rows, tie
 
 from caseweave.functions import text
 from caseweave.operators import graph, guards, render, similarity, walk
-from caseweave.operators.links import WalkGraph, has, rank_of
+from caseweave import runtime
+from caseweave.operators.links import IdGraph, WalkGraph, has, rank_of
 from caseweave.plans.context import CaseGraph, similar_hits
 from caseweave.runtime import materialise, work_area
 from pyspark.sql import functions as F
@@ -204,6 +205,69 @@ def test_numbers_carry_flags_and_hot_nodes_walk_the_same(spark, dump):
     assert found[0] == found[1] and ("app_1", "dec2") in found[0][0]
 
 
+def _walked(spark, g, hops, keep_leaky):
+    asked = spark.createDataFrame([("app_1",), ("app_2",), ("nope",)], "asked string")
+    seeds = walk.case_seeds(g.case_numbers(graph.resolve(asked, g.nodes)), g)
+    members = walk.neighbourhood(seeds, g, hops, keep_leaky=keep_leaky)
+    return (
+        rows(g.names(members), "asked", "node_id"),
+        rows(walk.seed_ids(members, g), "asked", "kind", "stable_id"),
+    )
+
+
+@pytest.mark.parametrize("limit", [100, 2])
+def test_walks_over_hashed_ids_are_those_over_numbers(spark, dump, limit):
+    """Ends that are no nodes, leaky seeds and inner nodes, parallel edges, loops and nodes listed twice."""
+    raw, edges = dump(
+        occurrence(1, "app_1", [1.0]) + occurrence(2, "app_2", [1.0]) + [
+            node("v", "ValueNode"), node("act", "Actor"), node("ev", "Event"), node("leaf", "EvidenceNode"),
+            node("far", "EvidenceNode", id="ev_far"), node("cl3", "ActivityCluster"),
+            tie("dec1", "about", "v"), tie("dec2", "about", "v"), tie("rat1", "about", "v"), tie("v", "about", "v"),
+            tie("act", "ran", "cl1"), tie("act", "ran", "cl2"), tie("act", "ran", "cl1"), tie("act", "saw", "rat1"),
+            tie("ev", "names", "cl1"), tie("ev", "names", "far"), tie("cl1", "produced", "leaf"),
+            tie("leaf", "near", "cl3"), tie("cl3", "part_of", "pi2"), tie("cl3", "produced", "leaf"),
+        ]
+    )
+    missing = spark.createDataFrame([("dec1", "r", "gone"), ("gone", "r", "far"), (None, "r", "far")], edges.schema)
+    twice = raw.unionByName(raw.where("node_id in ('v', 'pi1', 'leaf')"))
+    every = edges.unionByName(missing)
+    for hops, keep in ((0, False), (1, True), (2, False), (3, True)):
+        plain, hashed = WalkGraph(twice, every, hot_links=limit), IdGraph(twice, every, hot_links=limit)
+        assert (hashed.hot is None) == (limit == 100)
+        want = _walked(spark, plain, hops, keep)
+        assert _walked(spark, hashed, hops, keep) == want and want[0]
+
+
+def test_a_walk_to_names_writes_no_tables(spark, tmp_path):
+    """Links and nodes move once for all hops; before, nodes, edges, links and levels were written."""
+    import pandas as pd
+
+    from caseweave.checks.queries import QUERIES
+
+    keys = pd.DataFrame({"k": range(1, 9)})
+    some = {
+        "orders": keys.assign(o_orderkey=keys.k, o_custkey=keys.k % 3, o_orderstatus="F", o_orderpriority="1"),
+        "lineitem": keys.assign(l_orderkey=keys.k, l_linenumber=1, l_partkey=keys.k % 2, l_suppkey=keys.k % 2,
+                                l_returnflag="R", l_linestatus="O"),
+        "supplier": keys.assign(s_suppkey=keys.k - 1, s_name="s"), "part": keys.assign(p_partkey=keys.k - 1, p_name="p"),
+    }
+    for name, table in some.items():
+        table.drop(columns="k").to_parquet(tmp_path / f"{name}.parquet")
+    sizes = {"case_neighbourhood_1": 8 * 6, "case_neighbourhood_2": 8 * 7, "case_neighbourhood_leaky": 8 * 7,
+             "case_seed_ids": 8 * 3}
+    for name, n in sizes.items():
+        with work_area(spark):
+            assert QUERIES[name](spark, str(tmp_path)).count() >= n
+            assert {p.rsplit("/", 1)[1].split("-")[0] for p in runtime._AREAS[-1]} <= {"counters", "hot"}
+
+
+def test_two_ids_of_one_hash_are_told(spark, dump, monkeypatch):
+    monkeypatch.setattr(IdGraph, "_hash", lambda self, name: F.length(name).cast("long"))
+    g = IdGraph(*dump(occurrence(1, "app_1", [1.0])))
+    with pytest.raises(Exception, match="two node ids of one hash"):
+        g.names(g.nodes.select("node")).collect()
+
+
 def test_adjacency_is_the_same_however_pairs_are_dealt(spark, dump):
     nodes, edges = dump(occurrence(1, "app_1", [1.0]) + [
         tie("dec1", "a", "rat1"), tie("rat1", "b", "dec1"), tie("dec1", "about", "dec1"),
