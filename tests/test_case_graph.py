@@ -397,3 +397,55 @@ def test_seed_lists(spark, three):
 
 def test_alias_fanout(three):
     assert rows(graph.alias_fanout(three.nodes), "alias", "n_cases") == [("Permit", 3)]
+
+
+def _bipartite(spark):
+    """Sets that share hubs at either end of their edges, in more of them than FEW_SETS and in fewer."""
+    members = [(f"k{i}", n) for i in range(6) for n in (1, 2, 10 + i)] + [("k0", 20), ("k1", 20)]
+    edges = [(1, "r", 2), (1, "s", 2), (2, "r", 1), (1, "r", 13), (14, "r", 2), (10, "r", 20), (20, "r", 11),
+             (10, "r", 11), (1, "r", 99), (99, "r", 1), (1, "r", 1)]
+    held = {}
+    for k, n in members:
+        held.setdefault(k, set()).add(n)
+    want = sorted((k, s, r, d) for k, ns in held.items() for s, r, d in edges if s in ns and d in ns)
+    return (
+        spark.createDataFrame([(k, n, f"n{n}") for k, n in members], "asked string, node long, name string"),
+        spark.createDataFrame(edges + edges[:3], "src long, rel string, dst long"), want,
+    )
+
+
+@pytest.mark.parametrize("few", [0, 2, 100])
+def test_edges_of_sets_are_the_same_wherever_they_are_looked_up(spark, monkeypatch, few):
+    monkeypatch.setattr(walk, "FEW_SETS", few)
+    members, edges, want = _bipartite(spark)
+    assert rows(walk.induced_edges(members, edges), "asked", "src", "rel", "dst") == want
+    tagged = walk.induced_edges(members, edges, tag="name")
+    assert rows(tagged, "asked", "src_tag", "rel", "dst_tag") == sorted((k, f"n{s}", r, f"n{d}") for k, s, r, d in want)
+
+
+def _few_orders(tmp_path, n=8):
+    import pandas as pd
+
+    keys = pd.DataFrame({"k": range(1, n + 1)})
+    some = {
+        "orders": keys.assign(o_orderkey=keys.k, o_custkey=keys.k % 3, o_orderstatus="F", o_orderpriority="1",
+                              o_orderdate=pd.Timestamp("2020-01-01")),
+        "lineitem": keys.assign(l_orderkey=keys.k, l_linenumber=1, l_partkey=keys.k % 2, l_suppkey=keys.k % 2,
+                                l_returnflag="R", l_linestatus="O").astype({"l_linenumber": "int32"}),
+        "supplier": keys.assign(s_suppkey=keys.k - 1, s_name="s"), "part": keys.assign(p_partkey=keys.k - 1, p_name="p"),
+    }
+    for name, table in some.items():
+        table.drop(columns="k").to_parquet(tmp_path / f"{name}.parquet", coerce_timestamps="us")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name, n, written", [
+    ("induced_edges", 8 * 7, {"members"}),
+])
+def test_queries_over_hashed_ids_write_few_tables(spark, tmp_path, name, n, written):
+    """Before, nodes, edges and links were numbered and written."""
+    from caseweave.checks.queries import QUERIES
+
+    with work_area(spark):
+        assert QUERIES[name](spark, _few_orders(tmp_path)).count() == n
+        assert {p.rsplit("/", 1)[1].split("-")[0] for p in runtime._AREAS[-1]} <= {"counters", "hot"} | written
