@@ -441,6 +441,7 @@ def _few_orders(tmp_path, n=8):
 
 @pytest.mark.parametrize("name, n, written", [
     ("induced_edges", 8 * 7, {"members"}),
+    ("masked_edges", 8 * 8, set()),
 ])
 def test_queries_over_hashed_ids_write_few_tables(spark, tmp_path, name, n, written):
     """Before, nodes, edges and links were numbered and written."""
@@ -449,3 +450,22 @@ def test_queries_over_hashed_ids_write_few_tables(spark, tmp_path, name, n, writ
     with work_area(spark):
         assert QUERIES[name](spark, _few_orders(tmp_path)).count() == n
         assert {p.rsplit("/", 1)[1].split("-")[0] for p in runtime._AREAS[-1]} <= {"counters", "hot"} | written
+
+
+def test_masking_over_hashed_ids_is_that_over_numbers(spark, dump):
+    """Clusters at either end or none, parallel edges that become one, ends that are no nodes, nodes listed twice."""
+    raw, edges = dump(case_with_actor() + [
+        tie("ac1", "ran", "a1"), tie("a1", "ran", "d1"), tie("a1", "reviewed", "ac1"), tie("a1", "linked_to", "ac1"),
+    ])
+    gone = spark.createDataFrame([("gone", "ran", "ac1"), ("ac1", "ran", "gone")], edges.schema)
+    twice = materialise(raw.unionByName(raw.where("node_id = 'a1'")), "raw")
+    every = materialise(edges.unionByName(gone), "every")
+    found = []
+    for g in (WalkGraph(twice, every), IdGraph(twice, every), IdGraph(twice, every, hot_links=1)):
+        for mask in (True, False):
+            named = render.masked_edges(g.edges, mask, graph=g if isinstance(g, IdGraph) else None)
+            for side in ("src", "dst"):
+                named = g.names(named.withColumnRenamed(side, "node")).withColumnRenamed("node_id", side)
+            found.append(rows(named, "src", "rel", "dst"))
+    assert found[0] == found[2] == found[4] and found[1] == found[3] == found[5]
+    assert ("a1", "linked_to", "ac1") in found[0] and ("a1", "ran", "d1") in found[0] and len(found[0]) < len(found[1])
