@@ -469,3 +469,30 @@ def test_masking_over_hashed_ids_is_that_over_numbers(spark, dump):
             found.append(rows(named, "src", "rel", "dst"))
     assert found[0] == found[2] == found[4] and found[1] == found[3] == found[5]
     assert ("a1", "linked_to", "ac1") in found[0] and ("a1", "ran", "d1") in found[0] and len(found[0]) < len(found[1])
+
+
+def test_links_are_counted_by_the_pass_that_counts_edges(spark, dump):
+    raw, edges = dump(occurrence(1, "app_1", [1.0]))
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        made.add(1)
+        return value
+
+    counted = edges.withColumn("src", F.udf(seen).asNondeterministic()("src"))
+    assert IdGraph(raw, counted).hot is None and made.value == edges.count() == 3
+
+
+def test_a_stable_id_needs_no_other_property(spark, tmp_path):
+    """Nor do nodes of one kind need those of another: before, all of a map and of an order's nodes were made."""
+    from caseweave.checks import tables as T
+
+    raw = T.graph_nodes(spark, _few_orders(tmp_path))
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    ids = graph.node_table(raw).select("node_id", "stable_id")
+    assert "l_returnflag" in plan(raw) and "min(l_returnflag" not in plan(ids) and "map(" not in plan(ids)
+    assert "l_orderkey" not in plan(graph.node_table(raw).where("is_actor"))
+    assert ids.count() == 8 * 8
