@@ -496,3 +496,16 @@ def test_a_stable_id_needs_no_other_property(spark, tmp_path):
     assert "l_returnflag" in plan(raw) and "min(l_returnflag" not in plan(ids) and "map(" not in plan(ids)
     assert "l_orderkey" not in plan(graph.node_table(raw).where("is_actor"))
     assert ids.count() == 8 * 8
+
+
+def test_texts_and_lists_of_one_request_share_a_walk(spark, three, monkeypatch):
+    asked = spark.createDataFrame([(CURRENT,), (UNRELATED,)], "asked string")
+    walked, plain = [], walk.neighbourhood
+    monkeypatch.setattr(walk, "neighbourhood", lambda *a, **b: walked.append(a[2]) or plain(*a, **b))
+    texts, lists = three.application_texts(asked, 2, this_email=True), three.seed_lists(asked, 2)
+    assert walked == [2]
+    assert {r.asked: r.decisions for r in lists.collect()} == {CURRENT: "dec_1", UNRELATED: "dec_3"}
+    assert texts.where("status = 'ok'").count() == 2
+    three.seed_lists(asked, 1)
+    three.seed_lists(asked.where(f"asked = '{CURRENT}'"), 1)
+    assert walked == [2, 1, 1]
