@@ -199,3 +199,23 @@ def test_lines_do_not_move_to_their_splits(spark):
     plan = dump._sightings()._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan
     assert dump.nodes.count() == 6 and dump.n_rejected == 0
+
+
+def test_a_comma_goes_without_counting_characters_and_plain_text_is_read_once(spark):
+    from pyspark.sql import functions as F
+
+    from caseweave.functions.variants import as_text, as_vector
+    from caseweave.sources.graph_dump import _trimmed
+
+    lines = spark.createDataFrame([('{"a": "é…"},',), ("{},",)], "line string")
+    cut = lines.select(_trimmed().alias("t"))
+    assert [r.t for r in cut.collect()] == ['{"a": "é…"}', "{}"]
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan and "char_length" not in plan.replace("octet_length", "") and "left(" not in plan
+    values = spark.createDataFrame([(x,) for x in ('"1.0"', "1.0", "2", "true", "null", '"true"', "[0.5]", "[]")], "j string")
+    value = F.parse_json("j")
+    got = [(r.t, r.v) for r in values.select(as_text(value).alias("t"), as_vector(value).alias("v")).collect()]
+    assert got == [("1.0", None), ("1.0", None), ("2", None), ("True", None), (None, None), ("true", None),
+                   ("[0.5]", [0.5]), ("[]", None)]
+    shown = values.select(as_text(value).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "STRING" in shown
